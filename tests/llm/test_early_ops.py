@@ -123,7 +123,7 @@ def test_pack_round_trip(spark, odd, empty):
     docs = spark.read.parquet(DOCS).select("doc_id", "text")
     pieces = packing.pack(docs, tokenizer_path()).toPandas()
     assert pieces.sequence_id.is_unique and (pieces.offset == 0).all()
-    assert ((1 << pieces.bucket) == pieces.length).all() and pieces.length.max() <= 2048
+    assert (2**pieces.bucket == pieces.length).all() and pieces.length.max() <= 2048
     texts = {r.doc_id: r.text for r in docs.collect()}
     for doc, own in pieces.sort_values("start").groupby("id"):
         ids = np.frombuffer(b"".join(own.ids), "<u4").tolist()
