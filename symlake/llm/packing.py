@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks whose ids a worker keeps before it starts anew, and the longest chunk kept, in bytes.
-CACHE_CHUNKS, CACHE_BYTES = 600_000, 64
-#: Chunks looked up at once, so that a very long text needs no more memory than others.
-STEP = 1 << 16
+CACHE_CHUNKS, CACHE_BYTES = 1_000_000, 64
+#: Bytes of text and chunks looked up at once, so that many or very long texts need no more memory than others.
+TEXT_BYTES, STEP = 4 << 20, 1 << 16
+#: The tokenizer's special token that separates chunks in a text to encode, and signs that follow a word as a token of their own.
+SEPARATOR, SIGNS = "<|startoftext|>", b".,;:!?"
 
 _CACHES: dict[str, tuple] = {}
 
@@ -35,35 +37,52 @@ def _tokenizer(path: str):
 
 def _encode(tokenizer, chunks: list[bytes]) -> list[bytes]:
     """The ids of each chunk as little-endian unsigned 32-bit numbers; all chunks are encoded as one text."""
+    raw = lambda text: np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
     texts = [c.decode("utf-8", "replace") for c in chunks]
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    found = tokenizer.encode(" ".join(texts), add_special_tokens=False)
-    ids = np.array(found.ids, dtype="<u4")
-    if not len(ids):
-        return [b""] * len(chunks)
-    starts = np.array(found.offsets, dtype=np.int64)[:, 0]
-    cuts = np.searchsorted(starts, ends)
-    raw, at, out = ids.tobytes(), 0, []
+    ids = raw(SEPARATOR.join([*texts, ""]))
+    cuts = np.flatnonzero(ids == tokenizer.token_to_id(SEPARATOR))
+    if len(cuts) != len(chunks):  # a chunk holds the separator
+        return [raw(text).tobytes() for text in texts]
+    joined, at, out = ids.tobytes(), 0, []
     for cut in (cuts * 4).tolist():
-        out.append(raw[at:cut])
-        at = cut
+        out.append(joined[at:cut])
+        at = cut + 4
     return out
 
 
-def token_bytes(text: bytes | None, tokenizer, cache: dict[bytes, bytes]) -> bytes:
-    """A text's ids as little-endian unsigned 32-bit numbers; null counts as empty."""
-    chunks, parts = (text or b"").split(), []
+def _learn(new: list[bytes], tokenizer, cache: dict[bytes, bytes]) -> None:
+    """Puts the ids of new chunks into the cache. ASCII words are encoded once, in lower case, without a sign after them."""
+    parts: dict[bytes, tuple[bytes, bytes]] = {}
+    for chunk in new:
+        if chunk.isalpha():
+            parts[chunk] = (chunk.lower(), b"")
+        elif chunk[-1] in SIGNS and chunk[:-1].isalpha():
+            parts[chunk] = (chunk[:-1].lower(), chunk[-1:])
+        else:
+            parts[chunk] = (chunk, b"")
+    missing = [c for c in dict.fromkeys(p for own in parts.values() for p in own if p) if c not in cache]
+    for at in range(0, len(missing), STEP):
+        cache.update(zip(missing[at : at + STEP], _encode(tokenizer, missing[at : at + STEP]), strict=True))
+    cache[b""] = b""
+    cache.update([(chunk, cache[a] + cache[b]) for chunk, (a, b) in parts.items()])
+
+
+def token_bytes(chunks: list[bytes], tokenizer, cache: dict[bytes, bytes]) -> bytes:
+    """The ids of chunks as little-endian unsigned 32-bit numbers."""
+    parts = []
     for at in range(0, len(chunks), STEP):
         some = chunks[at : at + STEP]
         try:
             parts.append(b"".join(map(cache.__getitem__, some)))
         except KeyError:
-            new = [c for c in dict.fromkeys(some) if c not in cache]
-            fresh = dict(zip(new, _encode(tokenizer, new), strict=True))
-            parts.append(b"".join([fresh[c] if c in fresh else cache[c] for c in some]))
+            long = [c for c in dict.fromkeys(some) if len(c) > CACHE_BYTES]
+            new = [c for c in dict.fromkeys(some) if len(c) <= CACHE_BYTES and c not in cache]
             if len(cache) > CACHE_CHUNKS:
                 cache.clear()
-            cache.update((c, ids) for c, ids in fresh.items() if len(c) <= CACHE_BYTES)
+                new = [c for c in dict.fromkeys(some) if len(c) <= CACHE_BYTES]
+            _learn(new, tokenizer, cache)
+            own = dict(zip(long, _encode(tokenizer, long), strict=True)) if long else {}
+            parts.append(b"".join([own[c] if c in own else cache[c] for c in some]))
     return b"".join(parts)
 
 
@@ -79,33 +98,29 @@ def _pieces(path: str, end_id: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, cache = _tokenizer(path)
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            held = 0
-            texts = batch.column(1).to_pylist()
-            fresh: dict[bytes, None] = {}
-            for text in texts:  # one call for the new chunks of a batch
-                if text and len(text) <= 1 << 20:
-                    fresh.update((c, None) for c in text.split() if c not in cache and len(c) <= CACHE_BYTES)
-            if fresh:
-                if len(cache) > CACHE_CHUNKS:
-                    cache.clear()
-                    fresh = dict.fromkeys(c for text in texts if text and len(text) <= 1 << 20 for c in text.split() if len(c) <= CACHE_BYTES)
-                new = list(fresh)
-                for at in range(0, len(new), STEP):
-                    cache.update(zip(new[at : at + STEP], _encode(tokenizer, new[at : at + STEP]), strict=True))
-            for index, text in enumerate(texts):
-                ids = token_bytes(text, tokenizer, cache) + end
-                total, start = len(ids) // 4, 0
-                for n in lengths(total, longest):
-                    for column, value in zip(rows, (index, start, n, ids[4 * start : 4 * (start + n)], total), strict=True):
-                        column.append(value)
-                    start += n
-                held += len(ids)
-                if held > 16 << 20:
-                    yield _batch(batch, rows)
-                    rows, held = [[], [], [], [], []], 0
-            if rows[0]:
-                yield _batch(batch, rows)
+            texts = batch.column(1)
+            sizes = np.cumsum([texts[k].as_buffer().size if texts[k].is_valid else 0 for k in range(batch.num_rows)]) if batch.num_rows else np.empty(0)
+            for some in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(sizes // TEXT_BYTES)) + 1):
+                yield pieces(batch, some.tolist(), tokenizer, cache)
+
+    def pieces(batch: pa.RecordBatch, some: list[int], tokenizer, cache: dict[bytes, bytes]) -> pa.RecordBatch:
+        chunks = [(batch.column(1)[k].as_py() or b"").split() for k in some]
+        # the new chunks of all texts are encoded by one call
+        new = {c for own in chunks if len(own) <= STEP for c in own if c not in cache and len(c) <= CACHE_BYTES}
+        if len(cache) > CACHE_CHUNKS:
+            cache.clear()
+            new = {c for own in chunks if len(own) <= STEP for c in own if len(c) <= CACHE_BYTES}
+        if new:
+            _learn(sorted(new), tokenizer, cache)
+        rows: list[list] = [[], [], [], [], []]
+        for index, own in zip(some, chunks, strict=True):
+            ids = token_bytes(own, tokenizer, cache) + end
+            total, start = len(ids) // 4, 0
+            for n in lengths(total, longest):
+                for column, value in zip(rows, (index, start, n, ids[4 * start : 4 * (start + n)], total), strict=True):
+                    column.append(value)
+                start += n
+        return _batch(batch, rows)
 
     return run
 
