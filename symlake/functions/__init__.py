@@ -1,0 +1 @@
+"""Functions on text: built-in expressions in `text`, state machines in `scan`."""

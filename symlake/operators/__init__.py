@@ -1,0 +1 @@
+"""Operators: extraction, relations, web assets, merging, summaries."""
