@@ -146,9 +146,10 @@ def _close(double: bool, threshold: float):
         i, j = i[use], j[use]
         use = np.einsum("nd,nd->n", units[i], units[j]) >= threshold - 1e-9
         i, j = i[use], j[use]
-        exact = np.einsum("nd,nd->n", vectors[i], vectors[j]) / (np.sqrt((vectors[i] ** 2).sum(axis=1)) * np.sqrt((vectors[j] ** 2).sum(axis=1)))
-        exact = np.where(np.isfinite(exact), exact, 1.0)  # too large to square; the unit vectors have decided
-        use = exact >= threshold
+        # powers of two taken out change no digit of the cosine, and keep squares from overflow
+        even = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+        length = np.sqrt((even**2).sum(axis=1))
+        use = np.einsum("nd,nd->n", even[i], even[j]) / (length[i] * length[j]) >= threshold
         return i[use], j[use]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
