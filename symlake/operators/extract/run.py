@@ -63,9 +63,10 @@ def _rows(symbols: list[Symbol], language: str, mode: str, confidence: str) -> l
             parameters, returns = signature(s.snippet, s.kind, s.name, language)
             number = len(out)
             member = depth > 0 and language in ("php", "java", "csharp", "rust", "objc", "cpp") and s.kind in ("method", "constructor", "property", "field", "constant", "variant")
+            line_only = language == "css"
             out.append(
                 {"sym_id": number, "parent_id": parent, "depth": depth, "ord": n, "kind": s.kind, "name": s.name, "line": s.line, "detail": s.detail, "snippet": s.snippet,
-                 "snippet_kind": "exact_construct" if s.snippet else "file_preview", "diagnostics_mode": "none" if member or not s.snippet else "parse_snippet",
+                 "snippet_kind": "line_excerpt" if line_only else "exact_construct" if s.snippet else "file_preview", "diagnostics_mode": "none" if member or line_only or not s.snippet else "parse_snippet",
                  "source_mode": s.source_mode or mode, "confidence": confidence, "parameters": parameters, "returns": returns, "calls": s.calls}
             )
             add(s.members, number, depth + 1)

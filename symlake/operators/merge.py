@@ -66,6 +66,20 @@ def merge_symbol_tables(primary: DataFrame, secondary: DataFrame, scope: list[st
     return merged.unionByName(pairs.where("p_ord IS NULL").select(*merged.columns))
 
 
+def canonical(relations: DataFrame, symbols: DataFrame, scope: list[str]) -> DataFrame:
+    """Relations (scope, owner_id, kind, name, line and more) with target_id: the surviving top-level symbol they mean.
+
+    That is the one of the same kind and name whose line is nearest, the first of ties; relations without one keep a
+    null, and of relations of an owner that mean the same symbol one stays.
+    """
+    top = symbols.where("depth = 0").select(*[F.col(c).alias(f"t_{c}") for c in (*scope, "kind", "name", "line", "sym_id")])
+    keys = [F.col(f"t_{c}") == F.col(c) for c in (*scope, "kind", "name")]
+    pairs = relations.join(top, keys, "left").groupBy(*relations.columns).agg(F.min(F.struct(F.abs(F.col("t_line") - F.col("line")), "t_sym_id")).alias("best"))
+    meant = pairs.withColumn("target_id", F.col("best.t_sym_id")).drop("best")
+    first = Window.partitionBy(*scope, "owner_id", F.coalesce(F.col("target_id").cast("string"), F.concat_ws("|", "kind", "name", "line"))).orderBy("line")
+    return meant.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+
+
 def provenance(mode: Column, errors: Column) -> Column:
     """Confidence by source mode: ast high, or medium with errors; heuristic and recovered medium; otherwise low."""
     return F.when(mode == "ast", F.when(errors, "medium").otherwise("high")).when(mode.isin("heuristic", "recovered"), "medium").otherwise("low")

@@ -259,12 +259,72 @@ def j1_analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyses_json(_project(supplier_files(spark, sf_dir)).analyses).select("path", F.get_json_object("value", "$.language").alias("language"), F.get_json_object("value", "$.source_mode").alias("source_mode"))
 
 
+# a rendered corpus of all languages: a file per nation and template, @ being the nation's key
+
+# (path, text, symbols (kind, name, depth), dependencies (type, target), routes (method, path))
+TEMPLATES = (
+    ("a/m_@.py", "import os@\n@app.route('/n@', methods=['GET', 'POST'])\ndef help_@(a: int) -> str:\n    return a\n\nclass C@:\n    def run_@(self):\n        return help_@(1)\n", (("function", "help_@", 0), ("class", "C@", 0), ("method", "run_@", 1)), (("import", "os@"),), (("GET, POST", "/n@"),)),
+    ("a/C@.java", "import a.b@;\npublic class C@ {\n    private int f@;\n    public C@(int a) {\n        f@ = a;\n    }\n    static int go_@() {\n        return 1;\n    }\n}\n", (("class", "C@", 0), ("property", "f@", 1), ("constructor", "C@", 1), ("method", "go_@", 1)), (("import", "a.b@"),), ()),
+    ("a/C@.cs", "using Sys@;\nclass P@ {\n    public int Q@ { get; set; }\n    int Go@(int a) {\n        app.MapGet(\"/c@\", Go);\n        return 1;\n    }\n}\n", (("class", "P@", 0), ("property", "Q@", 1), ("method", "Go@", 1)), (("using", "Sys@"),), (("GET", "/c@"),)),
+    ("a/r_@.rs", "use std::n@;\npub struct S@ {\n    v: i32,\n}\nimpl S@ {\n    pub fn get_@(&self) -> i32 {\n        help_@()\n    }\n}\nfn help_@() -> i32 {\n    1\n}\n", (("struct", "S@", 0), ("impl", "S@", 0), ("method", "get_@", 1), ("function", "help_@", 0)), (("use", "std::n@"),), ()),
+    ("a/p_@.php", "<?php\nclass W@ {\n    private $x@;\n    const MAX@ = 1;\n    public function go_@() {\n        return 1;\n    }\n}\nfunction top_@() {\n    return 2;\n}\n", (("class", "W@", 0), ("property", "x@", 1), ("constant", "MAX@", 1), ("method", "go_@", 1), ("function", "top_@", 0)), (), ()),
+    ("a/s_@.swift", "protocol P@ {\n}\nstruct S@ {\n    var v@: Int\n    func go_@() {\n        top_@()\n    }\n}\nfunc top_@() {\n}\n", (("protocol", "P@", 0), ("struct", "S@", 0), ("property", "v@", 1), ("method", "go_@", 1), ("function", "top_@", 0)), (), ()),
+    ("a/c_@.cpp", "#include \"h@.h\"\nclass K@ {\n};\nint do_@(int a) {\n    return a;\n}\n", (("class", "K@", 0), ("function", "do_@", 0)), (("include", "h@.h"),), ()),
+    ("a/o_@.m", "#import \"O@.h\"\n@implementation O@\n- (int)say_@ {\n    return 1;\n}\n@end\n".replace("@implementation", "\u0002implementation").replace("@end", "\u0002end"), (("class", "O@", 0), ("method", "say_@", 1)), (("include", "O@.h"),), ()),
+    ("a/q_@.qml", "import Qt@ 2.0\nItem {\n    property int w@: 1\n    signal done@()\n    function f@(a) {\n        return a\n    }\n}\n", (("component", "Item", 0), ("property", "w@", 1), ("signal", "done@", 1), ("function", "f@", 1)), (("import", "Qt@"),), ()),
+    ("a/y_@.css", ".a@ {\n  --v@: 1;\n}\n.b@:hover, .d@ {\n}\n", (("class", "a@", 0), ("custom-property", "--v@", 0), ("class", "b@", 0), ("class", "d@", 0)), (), ()),
+    ("a/x_@.jsx", "import Z@ from 'z@';\nexport function Card@(props) {\n  return null;\n}\nconst useIt@ = () => {\n  return 1;\n};\nrouter.post('/x@', it);\n", (("component", "Card@", 0), ("hook", "useIt@", 0)), (("import", "z@"),), (("POST", "/x@"),)),
+    ("a/t_@.ts", "export interface I@ {\n}\ntype T@ = string;\nclass D@ {\n  constructor(a: number) {\n  }\n  run_@(): void {\n  }\n}\n", (("props", "I@", 0), ("type", "T@", 0), ("class", "D@", 0), ("constructor", "constructor", 1), ("method", "run_@", 1)), (), ()),
+)
+
+
+def many_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    template = F.explode(F.array(*[F.struct(F.lit(path).alias("path"), F.lit(text).alias("text")) for path, text, *_ in TEMPLATES])).alias("t")
+    put = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("@app"), F.lit("\u0002app")), F.lit("@"), F.col("n").cast("string")), F.lit("\u0002"), F.lit("@"))
+    rows = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), template)
+    return rows.select(F.lit("all").alias("root"), put("t.path").alias("rel_path"), put("t.text").alias("text"))
+
+
+def h1_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _project(many_languages(spark, sf_dir)).symbols
+    return found.select("file_path", "kind", "name", F.col("depth").cast("long").alias("depth"))
+
+
+def d3_language_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.dependency_rows(_project(many_languages(spark, sf_dir)).analyses).select(F.col("path").alias("file_path"), "type", "target")
+
+
+def r2_language_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _project(many_languages(spark, sf_dir)).analyses.select(F.col("path").alias("file_path"), F.explode("routes").alias("r"))
+    return found.select("file_path", "r.method", F.col("r.path").alias("route"))
+
+
+def t22_shown_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .snippets import shown
+
+    p = _project(many_languages(spark, sf_dir))
+    return shown(p.symbols).join(p.symbols.select("file_id", "sym_id", "language"), ["file_id", "sym_id"]).groupBy("language").agg(F.count(F.lit(1)).alias("snippets"), F.sum(F.size("diagnostics")).alias("problems"), F.sum(F.when(F.col("display_html").contains("keyword"), 1).otherwise(0)).alias("coloured"))
+
+
+def m4_canonical_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file_id"), F.lit("function").alias("kind"), F.col("l_partkey").cast("string").alias("name"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("owner_id"))
+    symbols = lines.groupBy("file_id", "kind", "name").agg(F.min("line").alias("line")).withColumns({"sym_id": F.col("name").cast("int"), "depth": F.lit(0)})
+    found = merge.canonical(lines.distinct(), symbols, ["file_id"])
+    return found.groupBy("file_id").agg(F.count(F.lit(1)).alias("relations"), F.countDistinct("target_id").alias("targets"))
+
+
+def g6_deduped_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("owner_id"), F.lit("function").alias("kind"), F.col("l_returnflag").alias("name"), (F.col("l_partkey") % 50).alias("line")).distinct()
+    return graph.dedupe_relations(lines, ["owner_id"]).groupBy("owner_id", "name").agg(F.count(F.lit(1)).alias("relations"), F.sum("line").alias("lines"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         w2_html_classes, w3_css_classes, w1_html_assets, t1_lines_of_links, t2_excerpts, t4_first_lines, t6_call_names, t7_import_bindings, t9_signature_heads, t13_byte_sizes,
         t15_truncation, t16_tag_diagnostics, t24_relative_paths, s12_line_statistics, s14_previews, s2_crawl, s5_limits, q1_file_types, q3_main_entries, h8_symbols, t12_signatures,
         g3_same_file_calls, d1_dependencies, x1_cross_file_calls, x2_incoming_calls, r1_routes, f1_related_files, w6_class_usage, p1_packages, h12_json_keys, m3_flat_merge, m1_band_merge, j1_analysis_json,
+        h1_all_languages, d3_language_dependencies, r2_language_routes, t22_shown_snippets, m4_canonical_relations, g6_deduped_relations,
     )
 }
 
@@ -272,7 +332,27 @@ _CLASSES = r"""regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\
 _SUPPLIES = "WITH supplies AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s, l_partkey AS p FROM lineitem)"
 _HEAD5 = "array_to_string(string_split(text, chr(10))[1:5], chr(10))"
 
+
+
+def _expected(columns: str, pick) -> str:
+    """A SELECT per template row, @ replaced by the nation's key."""
+    rows = [(path, row) for template in TEMPLATES for path in template[:1] for row in pick(template)]
+    value = lambda x: str(x) if isinstance(x, int) else f"replace('{x}', '@', CAST(n_nationkey AS VARCHAR))"
+    names = columns.split(", ")
+    return "\nUNION ALL ".join("SELECT " + ", ".join(f"{f'CAST({value(v)} AS BIGINT)' if isinstance(v, int) else value(v)} AS {n}" for v, n in zip(("all/" + path, *row), names, strict=True)) + " FROM nation" for path, row in rows)
+
+
 ORACLES = {
+    "h1_all_languages": _expected("file_path, kind, name, depth", lambda t: t[2]),
+    "d3_language_dependencies": _expected("file_path, type, target", lambda t: t[3]),
+    "r2_language_routes": _expected("file_path, method, route", lambda t: t[4]),
+    "m4_canonical_relations": """
+WITH lines AS (SELECT DISTINCT l_suppkey AS f, l_orderkey AS o, l_partkey AS p FROM lineitem)
+SELECT f AS file_id, count(*) AS relations, count(DISTINCT p) AS targets FROM lines GROUP BY f""",
+    "g6_deduped_relations": """
+WITH lines AS (SELECT DISTINCT l_suppkey AS o, l_returnflag AS name, l_partkey % 50 AS line FROM lineitem),
+apart AS (SELECT *, lag(line) OVER (PARTITION BY o, name ORDER BY line) AS last FROM lines)
+SELECT o AS owner_id, name, count(*) AS relations, CAST(sum(line) AS BIGINT) AS lines FROM apart WHERE last IS NULL OR line - last > 1 GROUP BY o, name""",
     "w2_html_classes": f"""
 WITH lists AS (SELECT page_id, unnest(regexp_extract_all({_CLASSES}, '(?i)\\bclass\\s*=\\s*"([^"]*)"', 1)) AS l FROM pages),
 names AS (SELECT DISTINCT page_id, unnest(regexp_split_to_array(trim(l), '\\s+')) AS class FROM lists)

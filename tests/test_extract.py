@@ -103,6 +103,16 @@ def test_scan():
     assert scan.expand_tabs("\ta\n b\tc") == "  a\n b  c"
 
 
+def test_present():
+    from symlake.functions import present
+
+    assert present.highlighted('if x < 1: # "a"', "python").startswith('<span class="keyword">if</span> x &lt; <span class="number">1</span>')
+    assert present.highlighted("<a b='c'>&</a>", "html") == '<span class="tag">&lt;a</span> <span class="attr">b</span>=<span class="string">\'c\'</span><span class="tag">&gt;</span>&amp;<span class="tag">&lt;/a</span><span class="tag">&gt;</span>'
+    assert present.diagnostics("f(1]\n}", "js", "parse_snippet", False) == [("Missing ')'", 1, 2), ("Unexpected ']'", 1, 4), ("Unexpected '}'", 2, 1)]
+    assert present.diagnostics("f(1]", "js", "none", False) == present.diagnostics("f(1]", "js", "parse_snippet", True) == []
+    assert present.diagnostics('{"a": }', "json", "parse_snippet", False) == [("JSON does not parse", 1, 7)]
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     rows = [("demo", path, text) for path, text in SOURCES.items()]
