@@ -139,11 +139,16 @@ def parameter(raw: str, language: str) -> dict[str, str] | None:
     return {"name": found.group(1), "type": raw[: found.start()].strip()} if found else {"name": raw, "type": ""}
 
 
+_OPENS = re.compile(r"\s*(?:<[^(]*>)?\s*(?:=\s*(?:async\s*)?(?:function\s*\w*\s*)?)?[:=]?\s*\(")
+
+
 def signature(snippet: str, kind: str, name: str, language: str) -> tuple[list[dict[str, str]], list[str]]:
     """Parameters and return expressions or type of a callable's snippet."""
     if kind not in ("function", "method", "constructor", "hook") or not snippet:
         return [], []
-    at = re.search(re.escape(name) + r"\s*(?:<[^(]*>)?\s*(?:=\s*(?:async\s*)?(?:function\s*\w*\s*)?)?[:=]?\s*\(", snippet)
+    start, at = snippet.find(name), None
+    while start >= 0 and not (at := _OPENS.match(snippet, start + len(name))):
+        start = snippet.find(name, start + 1)
     parameters, kind_of = [], ""
     if at:
         masked = mask(snippet)
@@ -158,7 +163,7 @@ def signature(snippet: str, kind: str, name: str, language: str) -> tuple[list[d
             found = re.match(r"[ \t]*(?:async\s*)?(?:throws\s*)?->[ \t]*([^{;\n]+?)[ \t]*(?:[:{;\n]|where\b|$)", after)
         else:
             found = None
-            before = re.sub(r"^(?:@\w+(?:\([^)]*\))?\s*|\[[^\]]*\]\s*|template\s*<[^>]*>\s*)*", "", snippet[: at.start()].split("\n")[-1].strip())
+            before = re.sub(r"^(?:@\w+(?:\([^)]*\))?\s*|\[[^\]]*\]\s*|template\s*<[^>]*>\s*)*", "", snippet[:start].split("\n")[-1].strip())
             before = " ".join(w for w in before.split() if w not in ("public", "private", "protected", "internal", "static", "final", "virtual", "inline", "async", "override", "abstract", "sealed", "synchronized", "extern", "constexpr", "explicit"))
             kind_of = before if kind != "constructor" else ""
         kind_of = found.group(1).strip() if found else kind_of

@@ -75,11 +75,11 @@ def signature_head(snippet: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """B, KB, MB or GB by 1024; one decimal below 10, none for bytes."""
+    """B, KB, MB or GB by 1024; one decimal below 10, none for bytes; halves go to the even digit."""
     unit = F.when(n < 1024, 0).when(n < 1024**2, 1).when(n < 1024**3, 2).otherwise(3)
     value = n / F.pow(F.lit(1024.0), unit)
     name = F.element_at(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB")]), unit + 1)
-    return F.when((unit > 0) & (value < 10), F.format_string("%.1f %s", value, name)).otherwise(F.format_string("%.0f %s", value, name))
+    return F.when((unit > 0) & (value < 10), F.format_string("%.1f %s", F.bround(value, 1), name)).otherwise(F.format_string("%.0f %s", F.bround(value, 0), name))
 
 
 def truncation(snippet: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+from itertools import accumulate
 
 from ...functions.scan import brackets, excerpt, first_lines, line_of, mask
 from ...schemas import CONTROL_WORDS
@@ -105,6 +106,21 @@ def _flat(symbols: list[Symbol], names: set[str]) -> list[Symbol]:
     return [s for s in symbols if not (s.name in names or names.add(s.name))]
 
 
+def _line_stop(masked: str, at: int) -> int:
+    end = masked.find("\n", at)
+    return end if end >= 0 else len(masked)
+
+
+def _depths(masked: str, pairs: dict[int, int]) -> list[int]:
+    """How many matched braces are open at each position."""
+    change = [0] * (len(masked) + 2)
+    for a, b in pairs.items():
+        if masked[a] == "{":
+            change[a + 1] += 1
+            change[b] -= 1
+    return list(accumulate(change))
+
+
 def script(text: str, language: str, lenient: bool = False) -> tuple[list[Symbol], bool]:
     """JS, JSX, TS and TSX: functions, classes, object literals, arrows, interfaces and types.
 
@@ -114,8 +130,8 @@ def script(text: str, language: str, lenient: bool = False) -> tuple[list[Symbol
     pairs, broken = brackets(masked)
     react = language in ("jsx", "tsx")
     depth_free = lenient or language in ("script", "jsx")
-    spans = [(a, b) for a, b in pairs.items() if masked[a] == "{"]
-    nested = lambda at: any(a < at < b for a, b in spans)
+    depth = _depths(masked, pairs)
+    nested = lambda at: depth[at] > 0
     head = r"(?m)^[ \t]*(?:export\s+)?(?:default\s+)?"
     rules = [
         ("function", _R(head + r"(?:async\s+)?function\s*\*?\s+(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\s*(?=\()")),
@@ -139,7 +155,7 @@ def script(text: str, language: str, lenient: bool = False) -> tuple[list[Symbol
             at = masked.find("{", m.end())
             stop = masked.find(";", m.end())
             body = (at + 1, pairs.get(at, len(masked))) if at >= 0 and (stop < 0 or at < stop or kind in ("class", "props", "enum")) and kind not in ("variable", "type") else None
-            end = body[1] + 1 if body else (stop + 1 if stop >= 0 else masked.find("\n", m.end()) if "\n" in masked[m.end() :] else len(text))
+            end = body[1] + 1 if body else (stop + 1 if stop >= 0 else _line_stop(masked, m.end()))
             if kind == "function" and not body:
                 body = (m.end(), end)
             if kind == "exports":

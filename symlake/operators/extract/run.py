@@ -20,6 +20,12 @@ GRAMMARS = {"java": L.JAVA, "csharp": L.CSHARP, "rust": L.RUST, "php": L.PHP, "s
 #: Languages whose symbols come from patterns alone, and whose call names give no relations.
 HEURISTIC = ("script", "jsx", "html", "qml", "json", "cpp", "objc")
 RECOVERED = "Heuristic recovery supplemented partial AST analysis."
+#: Notices of files that are not parsed, by gate.
+GATE_NOTICES = {
+    "oversized": ("warning", "Analysis skipped: file is too large"),
+    "minified": ("info", "Analysis skipped: file looks minified"),
+    "unreadable": ("error", "Unable to read file"),
+}
 
 
 def parse(path: str, text: str, language: str) -> tuple[list[Symbol], str, bool]:
@@ -75,11 +81,12 @@ def _rows(symbols: list[Symbol], language: str, mode: str, confidence: str) -> l
     return out
 
 
-def analyse(file_id: str, path: str, text: str | None, language: str) -> dict:
+def analyse(file_id: str, path: str, text: str | None, language: str, gate: str = "ok") -> dict:
     """The analysis document of a file. A null text is an unreadable file; a parser's failure is a notice, not an error."""
     empty = {"file_id": file_id, "path": path, "language": language, "source_mode": "heuristic", "confidence": "low", "has_ast_errors": False, "partial": False, "symbols": [], "dependencies": [], "routes": [], "notices": [], "package": None}
-    if text is None:
-        return empty | {"summary": "Unable to read file"}
+    if text is None or gate != "ok":
+        severity, message = GATE_NOTICES[gate if gate != "ok" else "unreadable"]
+        return empty | {"partial": True, "summary": message, "notices": [{"severity": severity, "message": message}]}
     text = text.replace("\r\n", "\n")
     try:
         symbols, mode, broken = parse(path, text, language)
@@ -103,5 +110,7 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Analyses (schemas.ANALYSIS) of files with file_id, path, text and language; one row in, one row out, no shuffle."""
-    return files.select("file_id", "path", "text", F.coalesce("language", F.lit("script"))).mapInArrow(_analyse, ANALYSIS)
+    """Analyses (schemas.ANALYSIS) of files with file_id, path, text, language and perhaps gate; a row in, a row out, no shuffle."""
+    gate = F.coalesce("gate", F.lit("ok")) if "gate" in files.columns else F.lit("ok")
+    text = F.when(gate == "ok", F.col("text"))
+    return files.select("file_id", "path", text, F.coalesce("language", F.lit("script")), gate).mapInArrow(_analyse, ANALYSIS)

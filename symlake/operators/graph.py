@@ -90,14 +90,16 @@ def cross_file_calls(symbols: DataFrame, dependencies: DataFrame, max_imported:
     if max_imported is not None:
         linked = linked.withColumn("__n", F.row_number().over(Window.partitionBy("file_id").orderBy("ord"))).where(F.col("__n") <= max_imported).drop("__n")
     targets = name_targets(script).select(F.col("file_id").alias("target_file_id"), F.col("name").alias("imported"), "target_id")
-    plain = linked.join(targets, "target_file_id").select("file_id", "ord", "target_file_id", "target_id", F.col("imported").alias("name"))
-    bound = linked.select("file_id", "ord", "target_file_id", F.explode("bindings").alias("b")).select("file_id", "ord", "target_file_id", F.col("b.local").alias("name"), F.col("b.imported").alias("imported"))
-    alias = bound.where("name <> imported").join(targets, ["target_file_id", "imported"]).select("file_id", "ord", "target_file_id", "target_id", "name")
-    known = plain.unionByName(alias).groupBy("file_id", "name").agg(F.min(F.struct("ord", "target_file_id", "target_id")).alias("t"))
-    calls = script.where(can_own_calls(F.col("kind"))).select("file_id", F.col("sym_id").alias("owner_id"), F.explode("calls").alias("name"))
     own = name_targets(script).select("file_id", "name")
-    found = calls.join(own, ["file_id", "name"], "left_anti").join(known, ["file_id", "name"])
-    return found.select("file_id", "owner_id", F.col("t.target_file_id").alias("target_file_id"), F.col("t.target_id").alias("target_id"), "name").distinct()
+    calls = script.where(can_own_calls(F.col("kind"))).select("file_id", F.col("sym_id").alias("owner_id"), F.explode("calls").alias("name"))
+    calls = calls.join(own, ["file_id", "name"], "left_anti")
+    # calls meet the file's imports first, so rows grow with calls and imports, not with the names of imported files
+    plain = calls.join(linked.select("file_id", "ord", "target_file_id"), "file_id").withColumn("imported", F.col("name"))
+    bound = linked.select("file_id", "ord", "target_file_id", F.explode("bindings").alias("b")).select("file_id", "ord", "target_file_id", F.col("b.local").alias("name"), F.col("b.imported").alias("imported"))
+    alias = calls.join(bound.where("name <> imported"), ["file_id", "name"]).select(*plain.columns)
+    found = plain.unionByName(alias).join(targets, ["target_file_id", "imported"])
+    first = found.groupBy("file_id", "owner_id", "name").agg(F.min(F.struct("ord", "target_file_id", "target_id")).alias("t"))
+    return first.select("file_id", "owner_id", F.col("t.target_file_id").alias("target_file_id"), F.col("t.target_id").alias("target_id"), "name")
 
 
 def incoming_calls(edges: DataFrame, max_incoming: int | None = None) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.scan import tag_problems
 from ..operators import graph, links, summary, web
 from ..operators.extract import extract
-from ..operators.merge import with_notice
 from ..sources import tree
 
 
@@ -39,30 +38,15 @@ class Project:
             table.createOrReplaceTempView(prefix + name)
 
 
-GATE_NOTICES = {
-    "oversized": ("warning", "Analysis skipped: file is too large"),
-    "minified": ("info", "Analysis skipped: file looks minified"),
-    "unreadable": ("error", "Unable to read file"),
-}
-
-
-def gated(files: DataFrame) -> DataFrame:
-    """Analyses of all files: parsed where the gate is open, else empty with a notice of the reason."""
-    parsed = extract(files.where("gate = 'ok'"))
-    closed = extract(files.where("gate <> 'ok'").withColumn("text", F.lit(None).cast("string")))
-    closed = closed.join(files.select("file_id", "gate"), "file_id")
-    for gate, (severity, message) in GATE_NOTICES.items():
-        closed = closed.withColumn("notices", F.when(F.col("gate") == gate, with_notice(F.col("notices"), severity, message)).otherwise(F.col("notices")))
-        closed = closed.withColumn("summary", F.when(F.col("gate") == gate, message).otherwise(F.col("summary")))
-    return parsed.unionByName(closed.withColumn("partial", F.lit(True)).drop("gate"))
-
-
-def project(files: DataFrame, max_imported: int | None = None, max_side_bytes: int = tree.MAX_SIDE_BYTES) -> Project:
+def project(files: DataFrame, max_imported: int | None = None, max_side_bytes: int = tree.MAX_SIDE_BYTES, persist: bool = False) -> Project:
     """Tables of files with root, rel_path, path, length, text, gate, file_id and the classified columns.
 
-    Web joins read HTML and CSS up to max_side_bytes. Cross-file relations have no cap unless one is given.
+    Web joins read HTML and CSS up to max_side_bytes. Cross-file relations have no cap unless one is given. With
+    persist, files are parsed once for all tables (memory, then disk) instead of once for each use.
     """
-    analyses = gated(files)
+    analyses = extract(files)
+    if persist:
+        analyses = analyses.persist()
     symbols = graph.symbols(analyses)
     named = graph.same_file_calls(symbols)
     place = files.select("file_id", "root", "dir")

@@ -164,8 +164,10 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.lit("shop").alias("root"), F.format_string("src/order_%d.ts", "o").alias("rel_path"), F.concat("imports", F.format_string("\n\nexport function order_%d(count: number): number {\n", "o"), "body", F.lit("\n  return count;\n}\n")).alias("text"))
 
 
-def _project(texts: DataFrame) -> P.Project:
-    return P.from_texts(texts)
+def _project(texts: DataFrame, persist: bool = False) -> P.Project:
+    """The rendered texts are small and parsing them is not, so they are dealt to all tasks."""
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return P.from_texts(texts.repartition(tasks, "rel_path"), persist=persist)
 
 
 def h8_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +182,7 @@ def t12_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g3_same_file_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _project(supplier_files(spark, sf_dir))
+    p = _project(supplier_files(spark, sf_dir), persist=True)
     names = p.symbols.select("file_id", "file_path", "sym_id", "name")
     edges = graph.same_file_calls(p.symbols, graph.snippet_calls(p.symbols)).unionByName(p.calls).distinct()
     owner = names.select("file_id", F.col("sym_id").alias("owner_id"), "file_path", F.col("name").alias("owner"))
@@ -189,18 +191,18 @@ def g3_same_file_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d1_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _project(order_files(spark, sf_dir).unionByName(supplier_files(spark, sf_dir)))
+    p = _project(order_files(spark, sf_dir).unionByName(supplier_files(spark, sf_dir)), persist=True)
     return p.dependencies.groupBy("target_path").agg(F.count(F.lit(1)).alias("importers"), F.sum(F.size("bindings")).alias("bindings"))
 
 
 def x1_cross_file_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _project(order_files(spark, sf_dir).unionByName(supplier_files(spark, sf_dir)))
+    p = _project(order_files(spark, sf_dir).unionByName(supplier_files(spark, sf_dir)), persist=True)
     place = p.files.select(F.col("file_id").alias("target_file_id"), "rel_path")
     return p.cross_calls.join(place, "target_file_id").groupBy("rel_path").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("file_id").alias("files"))
 
 
 def x2_incoming_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _project(order_files(spark, sf_dir).unionByName(supplier_files(spark, sf_dir)))
+    p = _project(order_files(spark, sf_dir).unionByName(supplier_files(spark, sf_dir)), persist=True)
     names = p.symbols.select("file_id", F.col("sym_id").alias("symbol_id"), "name")
     return graph.incoming_calls(p.cross_calls).join(names, ["file_id", "symbol_id"]).where("name LIKE 'part%'").groupBy("name").agg(F.countDistinct("caller_file_id").alias("callers"))
 
