@@ -84,4 +84,5 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     docs = scratch.table(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "docs")
     gone = repeated_lines(scratch, docs, min_lines, min_words)
     kind = df.schema[id_col].dataType.simpleString()
-    return docs.join(gone.select("row", "gone"), "row", "left").select("id", "text", "gone").mapInArrow(_cut, f"id {kind}, text string, lines long, deleted long")
+    # the same join at every size, whatever the size of `gone`
+    return docs.join(gone.select("row", "gone").hint("merge"), "row", "left").select("id", "text", "gone").mapInArrow(_cut, f"id {kind}, text string, lines long, deleted long")
