@@ -10,6 +10,7 @@ white space, so a chunk's ids are kept and reused while the worker lives.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks whose ids a worker keeps before it starts anew, and the longest chunk kept, in bytes.
-CACHE_CHUNKS, CACHE_BYTES = 1_000_000, 64
+#: Chunks whose ids a worker keeps before it lets go those that the text at hand does not use, and the longest chunk kept, in bytes.
+CACHE_CHUNKS, CACHE_BYTES = 300_000, 64
 #: Bytes of text and chunks looked up at once, so that many or very long texts need no more memory than others.
-TEXT_BYTES, STEP = 4 << 20, 1 << 16
+TEXT_BYTES, STEP = 4 << 20, 1 << 14
 #: The tokenizer's special token that separates chunks in a text to encode, and signs that follow a word as a token of their own.
 SEPARATOR, SIGNS = "<|startoftext|>", b".,;:!?"
 
@@ -29,6 +30,8 @@ _CACHES: dict[str, tuple] = {}
 
 def _tokenizer(path: str):
     if path not in _CACHES:
+        # one thread per worker: more would each hold memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         _CACHES[path] = (Tokenizer.from_file(path), {})
@@ -102,14 +105,16 @@ def _pieces(path: str, end_id: int, longest: int):
             sizes = np.cumsum([texts[k].as_buffer().size if texts[k].is_valid else 0 for k in range(batch.num_rows)]) if batch.num_rows else np.empty(0)
             for some in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(sizes // TEXT_BYTES)) + 1):
                 yield pieces(batch, some.tolist(), tokenizer, cache)
+        pa.default_memory_pool().release_unused()
 
     def pieces(batch: pa.RecordBatch, some: list[int], tokenizer, cache: dict[bytes, bytes]) -> pa.RecordBatch:
         chunks = [(batch.column(1)[k].as_py() or b"").split() for k in some]
         # the new chunks of all texts are encoded by one call
         new = {c for own in chunks if len(own) <= STEP for c in own if c not in cache and len(c) <= CACHE_BYTES}
-        if len(cache) > CACHE_CHUNKS:
+        if len(cache) + len(new) > CACHE_CHUNKS:
+            used = {c: cache[c] for own in chunks if len(own) <= STEP for c in own if c in cache}
             cache.clear()
-            new = {c for own in chunks if len(own) <= STEP for c in own if len(c) <= CACHE_BYTES}
+            cache.update(used)
         if new:
             _learn(sorted(new), tokenizer, cache)
         rows: list[list] = [[], [], [], [], []]

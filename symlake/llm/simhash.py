@@ -69,6 +69,7 @@ def _fingerprints(width: int):
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -28,7 +28,7 @@ from ._common import LOWER, UPPER, Scratch, small
 #: Lengths of the prefixes that are features, in bytes of UTF-8.
 PREFIXES = range(3, 10)
 #: Features kept at most (by significance), words a worker remembers, words counted before they are passed on.
-MODEL_TERMS, CACHE_WORDS, FLUSH_WORDS = 20_000, 400_000, 300_000
+MODEL_TERMS, CACHE_WORDS, FLUSH_WORDS = 20_000, 200_000, 200_000
 #: Width of the bins of evidence that the logistic curve is fitted to, and their number.
 BIN, BINS = 0.5, 400
 
@@ -55,38 +55,38 @@ def held_out(id_col: str, folds: int, fold: int):
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """word, clean, toxic, before: counts by class and the hashed set of words before it in toxic texts."""
-    found: dict[bytes, list[int]] = {}
+    clean: dict[bytes, int] = {}
+    toxic: dict[bytes, list[int]] = {}
 
     def out() -> pa.RecordBatch:
-        rows = list(found.values())
-        columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), *columns], names=["word", "clean", "toxic", "before"])
+        words = list({**clean, **toxic})
+        both = [toxic.get(w, (0, 0)) for w in words]
+        columns = [pa.array([clean.get(w, 0) for w in words], pa.int64()), *(pa.array([r[k] for r in both], pa.int64()) for k in (0, 1))]
+        found = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *columns], names=["word", "clean", "toxic", "before"])
+        clean.clear()
+        toxic.clear()
+        return found
 
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = tokens(text)
-            if toxic:
+        for text, is_toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            words = tokens(text.as_py())
+            if is_toxic:
                 last = b""
                 for word in words:
-                    row = found.get(word)
+                    row = toxic.get(word)
                     if row is None:
-                        row = found[word] = [0, 0, 0]
-                    row[1] += 1
-                    bit = 1 << (sum(last) * 31 + len(last)) % 63
-                    row[2] |= bit
+                        row = toxic[word] = [0, 0]
+                    row[0] += 1
+                    row[1] |= 1 << (sum(last) * 31 + len(last)) % 63
                     last = word
             else:
                 for word in words:
-                    row = found.get(word)
-                    if row is None:
-                        found[word] = [1, 0, 0]
-                    else:
-                        row[0] += 1
-            if len(found) > FLUSH_WORDS:
+                    clean[word] = clean.get(word, 0) + 1
+            if len(clean) + len(toxic) > FLUSH_WORDS:
                 yield out()
-                found.clear()
-    if found:
+    if clean or toxic:
         yield out()
+    pa.default_memory_pool().release_unused()
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +142,8 @@ def _scan(terms: dict[bytes, float], rate: float, drift: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             evidence, starts, ends, parts, sizes = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = tokens(text)
-                scores = []
+            for text in batch.column(1):
+                words = tokens(text.as_py())
                 try:
                     scores = [known[w] for w in words]
                 except KeyError:
@@ -166,6 +165,7 @@ def _scan(terms: dict[bytes, float], rate: float, drift: float):
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32())
             spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(parts, pa.float64())], names=["start", "end", "evidence"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(evidence, pa.float64()), spans], names=["id", "held_out", "evidence", "passages"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
