@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm import exact_dedup, mixing, packing, simhash, toxicity
+from symlake.llm import exact_dedup, mixing, near_sets, packing, toxicity
 from symlake.llm._common import Scratch, read
 from symlake.llm.queries import tokenizer_path
 
@@ -23,8 +23,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id; shingles hold five words."""
-    return simhash.drop_near_copies(docs, width=5)
+    """Of each group of linked documents (Jaccard of five-word shingles at least 0.8) that with the smallest doc_id."""
+    return near_sets.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

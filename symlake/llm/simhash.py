@@ -41,6 +41,18 @@ def position_triples() -> list[tuple[int, int, int]]:
     return [tuple(sorted(t)) for t in found]
 
 
+def spans(text: bytes | None, width: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The folded words of a text, joined by spaces, and where its shingles start and end there; one empty shingle without words."""
+    words = (text or b"").translate(_FOLD).split()
+    if not words:
+        return b"", np.zeros(1, np.int64), np.zeros(1, np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    width = min(width, len(words))
+    return joined, starts[: len(words) - width + 1], ends[width - 1 :]
+
+
 def fingerprint(text: bytes | None, width: int = 4) -> int:
     """The SimHash of a text as a signed 64-bit number.
 
@@ -48,14 +60,9 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
     one shingle, and a text without words has fingerprint 0. A bit is set if more than half of the
     shingles' hashes (XXH64, seed 42), repeats included, have it set.
     """
-    words = (text or b"").translate(_FOLD).split()
-    if not words:
+    joined, starts, ends = spans(text, width)
+    if not joined:
         return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    width = min(width, len(words))
-    starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     digest, set_bits = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, len(starts), STEP):
         some = [digest(joined[a:b], 42) for a, b in zip(starts[at : at + STEP].tolist(), ends[at : at + STEP].tolist(), strict=True)]
@@ -98,7 +105,7 @@ def linked(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         differ = fps[at] ^ fps[at + step]
         shared = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= SHARED
-        near = at[shared][np.bitwise_count(differ[shared]) <= DISTANCE]
+        near = at[shared][np.bitwise_count(differ[shared].view(np.uint64)) <= DISTANCE]
         unite(roots, near, near + step)
     tied = np.flatnonzero(roots != np.arange(n))
     return fps[tied], fps[roots[tied]]
