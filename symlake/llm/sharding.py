@@ -7,8 +7,10 @@ the room left, decide which share of the movers goes. Documents without neighbou
 left, first the large ones and then, to an even level, the small ones.
 
 Neighbours are found through their group, never as pairs, and the documents of a group with the same `home`
-(one of `HOMES` by a hash) move as one cell, so a group of any size is at most HOMES rows of the state. All
-of it is DataFrame operations; the driver sees matrices of shards by shards only.
+(one of `HOMES` by a hash, of more in a large group) move as one cell, so that the state has a bounded number of
+rows for a group of any size and a cell is about `CELL` of a shard at most. Movers are admitted by running sums of
+their bytes up to the quota; cells then leave shards that are too full, those of large groups first. All of it is
+DataFrame operations; the driver sees matrices of shards by shards only.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from ._common import Scratch, small
 
 #: Cells that a group's documents are dealt to, and rows of a block within which slots are counted.
 HOMES, BLOCK_ROWS = 64, 20_000
+#: Part of a shard that a cell of a large group holds on average.
+CELL = 0.0005
 
 
 def quotas(demand: list[list[int]], load: list[int], capacity: float) -> list[list[float]]:
@@ -40,16 +44,48 @@ def quotas(demand: list[list[int]], load: list[int], capacity: float) -> list[li
     return share
 
 
-def _unit(*parts: Column) -> Column:
-    """A number in [0, 1) by a hash."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
-
-
 def _table(values: list[float], at: Column) -> Column:
     return F.element_at(F.array(*[F.lit(float(v)) for v in values]), (at + 1).cast("int"))
 
 
-def propagate(scratch: Scratch, cells: DataFrame, shards: int, capacity: float, rounds: int) -> DataFrame:
+def _running(cells: DataFrame, by: list[str], block: Column, *order: str | Column) -> DataFrame:
+    """Adds `before`, the bytes of earlier cells with the same values of `by`; blocks by number, then by `order`."""
+    parts = cells.withColumn("block", block)
+    sums = parts.groupBy(*by, "block").agg(F.sum("bytes").alias("of_block"))
+    earlier = sums.select(*by, "block", (F.sum("of_block").over(Window.partitionBy(*by).orderBy("block")) - F.col("of_block")).alias("earlier"))
+    within = F.sum("bytes").over(Window.partitionBy(*by, "block").orderBy(*order)) - F.col("bytes")
+    return parts.withColumn("within", within).join(small(earlier), [*by, "block"]).withColumn("before", F.col("earlier") + F.col("within")).drop("block", "within", "earlier")
+
+
+def relieve(scratch: Scratch, cells: DataFrame, shards: int, capacity: float, level: float, blocks: int) -> DataFrame:
+    """The cells (group, home, bytes, shard, split) after those beyond the capacity went where there is room, cells of split groups first."""
+    load = [0] * shards
+    for r in cells.groupBy("shard").agg(F.sum("bytes").alias("n")).collect():
+        load[r["shard"]] = r["n"]
+    excess, room = [max(0.0, x - capacity) for x in load], [max(0.0, level - x) for x in load]
+    if not any(excess) or not any(room):
+        return cells
+    starts, ends, at = [], [], 0.0
+    for x in excess:
+        starts.append(at)
+        at += x
+    scale, at = at / sum(room), 0.0
+    for x in room:
+        at += x * scale
+        ends.append(at)
+    over = _table(excess, F.col("shard"))
+    block = F.pmod(F.xxhash64(F.lit(3), "group", "home"), F.lit(blocks)) + F.when(F.col("split"), 0).otherwise(blocks)
+    movable = _running(cells.where(F.col("bytes") <= over), ["shard"], block, "group", "home")
+    middle = _table(starts, F.col("shard")) + F.col("before") + F.col("bytes") / 2
+    others = [t for t in range(shards) if room[t]]
+    to = F.lit(others[-1])
+    for t in reversed(others[:-1]):
+        to = F.when(middle < F.lit(ends[t]), F.lit(t)).otherwise(to)
+    moved = movable.where(F.col("before") < over).select("group", "home", to.cast("int").alias("to"))
+    return scratch.table(cells.join(moved, ["group", "home"], "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"), "relieved")
+
+
+def propagate(scratch: Scratch, cells: DataFrame, shards: int, capacity: float, rounds: int, blocks: int = 1) -> DataFrame:
     """The cells (group, home, bytes, shard) after at most so many rounds, fewer if nothing wants to move."""
     for turn in range(rounds):
         held = cells.groupBy("group", "shard").agg(F.sum("bytes").alias("held"))
@@ -64,9 +100,11 @@ def propagate(scratch: Scratch, cells: DataFrame, shards: int, capacity: float,
         share = quotas(demand, load, capacity)
         if not any(x for row in share for x in row):
             return wish.drop("best")
-        allowed = _table([x for row in share for x in row], F.col("shard") * shards + F.col("best"))
-        goes = _unit(F.lit(turn), F.col("group"), F.col("home")) < allowed
-        cells = wish.select("group", "home", "bytes", F.when(goes, F.col("best")).otherwise(F.col("shard")).alias("shard"))
+        allowed = _table([x * n for row, some in zip(share, demand, strict=True) for x, n in zip(row, some, strict=True)], F.col("shard") * shards + F.col("best"))
+        mixed = F.xxhash64(F.lit(turn), "group", "home")
+        going = _running(wish, ["shard", "best"], F.pmod(mixed, F.lit(blocks)), mixed, "group", "home")
+        goes = F.col("before") + F.col("bytes") <= allowed + 1e-6 * F.col("bytes")
+        cells = going.select(*cells.columns[:3], F.when(goes, F.col("best")).otherwise(F.col("shard")).alias("shard"), *cells.columns[4:])
         cells = scratch.table(cells, f"cells-{turn}")
         scratch.drop(f"wish-{turn}", f"cells-{turn - 1}")
     return cells
@@ -112,13 +150,19 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
     whole = docs.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).first()
     rows, total = whole["n"], whole["bytes"] or 0
     blocks, level = max(1, -(-rows // BLOCK_ROWS)), total / shards
-    home = F.pmod(F.xxhash64(F.lit(0), F.col("row")), F.lit(HOMES)).cast("int")
-    docs = docs.withColumn("home", home)
+    home = lambda n: F.pmod(F.xxhash64(F.lit(0), F.col("row")), n).cast("int")
+    # groups that need more cells are few, as each holds some part of a shard
+    coarse = docs.where(F.col("group").isNotNull()).groupBy("group", home(F.lit(HOMES)).alias("home")).agg(F.sum("bytes").alias("bytes"))
+    split = coarse.groupBy("group").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > HOMES * CELL * level)
+    split = scratch.table(split.select("group", F.ceil(F.col("bytes") / (CELL * max(level, 1.0))).cast("int").alias("homes")), "split")
+    docs = docs.join(F.broadcast(split), "group", "left").withColumn("home", home(F.coalesce("homes", F.lit(HOMES)))).drop("homes")
     # cells of groups with two documents at least
     counted = docs.where(F.col("group").isNotNull()).groupBy("group", "home").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
     tied = counted.groupBy("group").agg(F.sum("n").alias("n")).where("n > 1").select("group")
-    cells = scratch.table(counted.join(tied, "group", "left_semi").select("group", "home", "bytes", (F.col("home") % shards).alias("shard")), "cells")
-    cells = scratch.table(propagate(scratch, cells, shards, (1 + slack) * level, rounds), "moved")
+    cells = counted.join(tied, "group", "left_semi").join(F.broadcast(split.withColumn("split", F.lit(True))), "group", "left")
+    cells = scratch.table(cells.select("group", "home", "bytes", (F.col("home") % shards).alias("shard"), F.coalesce("split", F.lit(False)).alias("split")), "cells")
+    cells = scratch.table(propagate(scratch, cells, shards, (1 + slack) * level, rounds, blocks), "moved")
+    cells = relieve(scratch, cells, shards, (1 + slack) * level, level, blocks)
     spread = docs.join(cells.select("group", "home", F.col("shard").alias("put")), ["group", "home"], "left").select("row", "id", "bytes", "crc32", "put")
     spread = scratch.table(spread, "spread")
     load = [0] * shards
