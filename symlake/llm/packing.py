@@ -5,7 +5,8 @@ piece being the sequence length; every piece is a sequence of its own. Sequences
 bucket, none crosses documents and none is padded. No rows are shuffled.
 
 Tokens are found chunk by chunk: the tokenizer's own rules never let a token or a merge cross ASCII
-white space, so a chunk's ids are kept and reused while the worker lives.
+white space, so a chunk's ids are kept and reused while the worker lives. The rules lower-case all text, so
+chunks are looked up in lower case, and words of plain letters skip the rules and go to the merges at once.
 """
 
 from __future__ import annotations
@@ -18,75 +19,131 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import LOWER, UPPER, release
+
 #: Chunks whose ids a worker keeps before it lets go those that the text at hand does not use, and the longest chunk kept, in bytes.
-CACHE_CHUNKS, CACHE_BYTES = 300_000, 64
-#: Bytes of text and chunks looked up at once, so that many or very long texts need no more memory than others.
-TEXT_BYTES, STEP = 4 << 20, 1 << 14
-#: The tokenizer's special token that separates chunks in a text to encode, and signs that follow a word as a token of their own.
-SEPARATOR, SIGNS = "<|startoftext|>", b".,;:!?"
+CACHE_CHUNKS, CACHE_BYTES = 450_000, 64
+#: Bytes of text looked up and chunks encoded at once, so that many or very long texts need no more memory than others.
+TEXT_BYTES, STEP = 2 << 20, 1 << 14
+#: The tokenizer's special token that separates chunks in a text to encode, and how its special tokens begin.
+SEPARATOR, SPECIAL = "<|startoftext|>", b"<|"
+#: ASCII signs: a run of them at the end of a word is split from it by the tokenizer's rules.
+SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: Below this code point every letter is composed already, so that the rules leave it as it is but for its case.
+COMPOSED = 0x250
+
+_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_ENCODERS: dict[str, Encoder] = {}
 
-_CACHES: dict[str, tuple] = {}
 
+class Encoder:
+    """Ids of texts as little-endian unsigned 16-bit numbers, by a tokenizer file with fewer than 65536 ids."""
 
-def _tokenizer(path: str):
-    if path not in _CACHES:
+    def __init__(self, path: str):
         # one thread per worker: more would each hold memory of their own
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _CACHES[path] = (Tokenizer.from_file(path), {})
-    return _CACHES[path]
-
-
-def _encode(tokenizer, chunks: list[bytes]) -> list[bytes]:
-    """The ids of each chunk as little-endian unsigned 32-bit numbers; all chunks are encoded as one text."""
-    raw = lambda text: np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-    texts = [c.decode("utf-8", "replace") for c in chunks]
-    ids = raw(SEPARATOR.join([*texts, ""]))
-    cuts = np.flatnonzero(ids == tokenizer.token_to_id(SEPARATOR))
-    if len(cuts) != len(chunks):  # a chunk holds the separator
-        return [raw(text).tobytes() for text in texts]
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.whole.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
+        if max(vocabulary.values()) > 0xFFFF:
+            raise ValueError("the tokenizer has ids beyond 16 bits")
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
+        self.cache: dict[bytes, bytes] = {}
+
+    def _raw(self, tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
+
+    def chunks(self, own: list[bytes]) -> list[bytes]:
+        """The ids of each chunk by all of the tokenizer's rules; chunks are encoded as one text."""
+        if not own:
+            return []
+        texts = [c.decode("utf-8", "replace") for c in own]
+        ids = self._raw(self.whole, SEPARATOR.join([*texts, ""]))
+        cuts = np.flatnonzero(ids == self.whole.token_to_id(SEPARATOR))
+        if len(cuts) != len(own):  # a chunk holds the separator
+            return [self._raw(self.whole, text).tobytes() for text in texts]
+        return _parts(ids, cuts, 0)
+
+    def plain(self, own: list[str]) -> list[bytes]:
+        """The ids of each word of lower-case letters; the last token of a word ends it."""
+        if not own:
+            return []
+        ids = self._raw(self.words, " ".join(own))
+        return _parts(ids, np.flatnonzero(self.ends[ids]) + 1, 1)
+
+    def learn(self, new: list[bytes]) -> None:
+        """Puts the ids of new chunks in lower case into the cache; of a word with signs after it, both are found by themselves."""
+        cache, words, others, parts = self.cache, {}, [], []
+        for chunk in new:
+            base = chunk.rstrip(SIGNS)
+            if base.isalpha():
+                words[base] = base.lower().decode()  # a text with special tokens is not folded
+            elif base and (text := base.decode("utf-8", "replace").lower()).isalpha() and max(map(ord, text)) < COMPOSED:
+                words[base] = text
+            else:
+                others.append(chunk)
+                continue
+            if base != chunk:
+                parts.append((chunk, base, chunk[len(base) :]))
+        others += [s for s in {s for _, _, s in parts} if s not in cache]
+        missing = [w for w in words if w not in cache]
+        for at in range(0, len(missing), STEP):
+            some = missing[at : at + STEP]
+            cache.update(zip(some, self.plain([words[w] for w in some]), strict=True))
+        for at in range(0, len(others), STEP):
+            cache.update(zip(others[at : at + STEP], self.chunks(others[at : at + STEP]), strict=True))
+        cache.update([(chunk, cache[base] + cache[signs]) for chunk, base, signs in parts])
+
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; the texts should not hold much more than TEXT_BYTES together, and if they do, one chunk after another is looked up."""
+        own = [(t if SPECIAL in t else t.translate(_FOLD)).split() for t in texts]
+        cache, out = self.cache, []
+        for some in _strips(own):
+            used = set().union(*some)
+            new = used.difference(cache)
+            if len(cache) + len(new) > CACHE_CHUNKS:
+                kept = {c: cache[c] for c in used.difference(new)}
+                cache.clear()
+                cache.update(kept)
+            long = [c for c in new if len(c) > CACHE_BYTES or SPECIAL in c]
+            self.learn(list(new.difference(long)) if long else list(new))
+            if long:
+                extra = {c: self.chunks([c])[0] for c in long}
+                out.append([b"".join([extra[c] if c in extra else cache[c] for c in x]) for x in some])
+            else:
+                out.append([b"".join(map(cache.__getitem__, x)) for x in some])
+        if len(own) == 1:
+            return [b"".join(x[0] for x in out)]
+        return out[0] if out else []
+
+
+def _parts(ids: np.ndarray, cuts: np.ndarray, gap: int) -> list[bytes]:
+    """The ids up to each cut; the id at a cut belongs to nothing if gap is 0."""
     joined, at, out = ids.tobytes(), 0, []
-    for cut in (cuts * 4).tolist():
+    for cut in (cuts * 2).tolist():
         out.append(joined[at:cut])
-        at = cut + 4
+        at = cut if gap else cut + 2
     return out
 
 
-def _learn(new: list[bytes], tokenizer, cache: dict[bytes, bytes]) -> None:
-    """Puts the ids of new chunks into the cache. ASCII words are encoded once, in lower case, without a sign after them."""
-    parts: dict[bytes, tuple[bytes, bytes]] = {}
-    for chunk in new:
-        if chunk.isalpha():
-            parts[chunk] = (chunk.lower(), b"")
-        elif chunk[-1] in SIGNS and chunk[:-1].isalpha():
-            parts[chunk] = (chunk[:-1].lower(), chunk[-1:])
-        else:
-            parts[chunk] = (chunk, b"")
-    missing = [c for c in dict.fromkeys(p for own in parts.values() for p in own if p) if c not in cache]
-    for at in range(0, len(missing), STEP):
-        cache.update(zip(missing[at : at + STEP], _encode(tokenizer, missing[at : at + STEP]), strict=True))
-    cache[b""] = b""
-    cache.update([(chunk, cache[a] + cache[b]) for chunk, (a, b) in parts.items()])
-
-
-def token_bytes(chunks: list[bytes], tokenizer, cache: dict[bytes, bytes]) -> bytes:
-    """The ids of chunks as little-endian unsigned 32-bit numbers."""
-    parts = []
-    for at in range(0, len(chunks), STEP):
-        some = chunks[at : at + STEP]
-        try:
-            parts.append(b"".join(map(cache.__getitem__, some)))
-        except KeyError:
-            long = [c for c in dict.fromkeys(some) if len(c) > CACHE_BYTES]
-            new = [c for c in dict.fromkeys(some) if len(c) <= CACHE_BYTES and c not in cache]
-            if len(cache) > CACHE_CHUNKS:
-                cache.clear()
-                new = [c for c in dict.fromkeys(some) if len(c) <= CACHE_BYTES]
-            _learn(new, tokenizer, cache)
-            own = dict(zip(long, _encode(tokenizer, long), strict=True)) if long else {}
-            parts.append(b"".join([own[c] if c in own else cache[c] for c in some]))
-    return b"".join(parts)
+def _strips(own: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
+    """All texts at once, or a text by itself in strips of chunks."""
+    if len(own) != 1:
+        yield own
+    else:
+        for at in range(0, max(1, len(own[0])), 1 << 19):
+            yield [own[0][at : at + (1 << 19)]]
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a tokenizer file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def lengths(tokens: int, longest: int) -> list[int]:
@@ -95,31 +152,34 @@ def lengths(tokens: int, longest: int) -> list[int]:
     return [longest] * whole + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+def _slabs(texts: pa.Array) -> Iterator[list[int]]:
+    """Places of texts that hold TEXT_BYTES together at most, a longer text by itself."""
+    some, size = [], 0
+    for place in range(len(texts)):
+        own = texts[place].as_buffer().size if texts[place].is_valid else 0
+        if some and size + own > TEXT_BYTES:
+            yield some
+            some, size = [], 0
+        some.append(place)
+        size += own
+    if some:
+        yield some
+
+
 def _pieces(path: str, end_id: int, longest: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, cache = _tokenizer(path)
+        own = encoder(path)
         for batch in batches:
-            texts = batch.column(1)
-            sizes = np.cumsum([texts[k].as_buffer().size if texts[k].is_valid else 0 for k in range(batch.num_rows)]) if batch.num_rows else np.empty(0)
-            for some in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(sizes // TEXT_BYTES)) + 1):
-                yield pieces(batch, some.tolist(), tokenizer, cache)
-        pa.default_memory_pool().release_unused()
-
-    def pieces(batch: pa.RecordBatch, some: list[int], tokenizer, cache: dict[bytes, bytes]) -> pa.RecordBatch:
-        chunks = [(batch.column(1)[k].as_py() or b"").split() for k in some]
-        # the new chunks of all texts are encoded by one call
-        new = {c for own in chunks if len(own) <= STEP for c in own if c not in cache and len(c) <= CACHE_BYTES}
-        if len(cache) + len(new) > CACHE_CHUNKS:
-            used = {c: cache[c] for own in chunks if len(own) <= STEP for c in own if c in cache}
-            cache.clear()
-            cache.update(used)
-        if new:
-            _learn(sorted(new), tokenizer, cache)
+            for some in _slabs(batch.column(1)):
+                yield pieces(batch, some, own)
+        release()
+
+    def pieces(batch: pa.RecordBatch, some: list[int], own: Encoder) -> pa.RecordBatch:
         rows: list[list] = [[], [], [], [], []]
-        for index, own in zip(some, chunks, strict=True):
-            ids = token_bytes(own, tokenizer, cache) + end
+        for index, short in zip(some, own.texts([batch.column(1)[k].as_py() or b"" for k in some]), strict=True):
+            ids = np.frombuffer(short + end, "<u2").astype("<u4").tobytes()
             total, start = len(ids) // 4, 0
             for n in lengths(total, longest):
                 for column, value in zip(rows, (index, start, n, ids[4 * start : 4 * (start + n)], total), strict=True):

@@ -109,11 +109,25 @@ def test_tokens_equal_the_tokenizer(spark):
 
     plain = Tokenizer.from_file(tokenizer_path())
     texts = [r.text for r in spark.read.parquet(DOCS).collect()] + [t for _, t, _ in ODD] + ["é İ'S don't x\u0085y ΣΑΣ 한국 12345 <|startoftext|>a b<|endoftext|>c", "word,word. WORD? it's. a.b x" + "y" * 99, "́ a"]
-    cache = {}
+    texts += ["Don't, DON'T!! l'été,%%% ÉTÉ... ß ǅ İstanbul I\u0307 K Å e\u0301t e\u0301, ÀÉ'S &&& 'tis x' y's' 9a a9, a_b -- ŉ ª º", "<|STARTOFTEXT|> A<|endoftext|>B <|", "\u00a0a\u00a0 \u2003b a\u200bb \x1c\x1f c", "ТЕСТ слово, 中文文本。 ไทย ｆｕｌｌ，"]
+    own = packing.encoder(tokenizer_path())
     for text in texts:
         want = plain.encode(text or "", add_special_tokens=False).ids
         for _ in range(2):
-            assert np.frombuffer(packing.token_bytes((text or "").encode().split(), plain, cache), "<u4").tolist() == want
+            assert np.frombuffer(own.texts([(text or "").encode()])[0], "<u2").tolist() == want
+    many = own.texts([(t or "").encode() for t in texts])
+    assert [np.frombuffer(x, "<u2").tolist() for x in many] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_tokens_of_random_texts_equal_the_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain, own, rng = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path()), np.random.default_rng(8)
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 50)
+    signs = [*"aAbEéÉßIİsStT'.,;!&%<|>-_#0 9\n\t\u0301\u0307\u00a0\u2028ΣσжЖ中"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(signs, rng.integers(0, 60))) for _ in range(3)]
+        assert [np.frombuffer(x, "<u2").tolist() for x in own.texts([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_pack_round_trip(spark, odd, empty):
