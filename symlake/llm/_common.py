@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Where intermediate tables go if the session names no spark.checkpoint.dir (tests only).
+#: Where intermediate tables go if a session of one process names no spark.checkpoint.dir.
 LOCAL_SHARED = "/tmp/checkpoints"
-#: Rows a table may have to be broadcast; every such table has rows of some dozen bytes.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes of their strings, that a table may have to be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space of the word contracts: U+0020 and U+0009 to U+000D.
@@ -30,7 +30,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = LOCAL_SHARED
         self.root = f"{root.rstrip('/')}/symlake-{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
@@ -43,6 +47,16 @@ class Scratch:
         for name in names:
             self._delete(f"{self.root}/{name}")
 
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.root)
+        files = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(where):
+            for status in files.listStatus(where):
+                if status.getPath().getName() not in names:
+                    files.delete(status.getPath(), True)
+
     def close(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
@@ -69,8 +83,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, marked for broadcast if it has at most so many rows, else left to shuffled joins."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """The table, marked for broadcast if it has at most so many rows and BROADCAST_BYTES of strings, else left to shuffled joins."""
+    long = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(sum(long, F.lit(0)).cast("long")), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["rows"] <= rows and found["bytes"] <= BROADCAST_BYTES else df
 
 
 def lowered(text: Column) -> Column:

@@ -1,10 +1,14 @@
-"""Near copies by exact Jaccard similarity of shingle sets, joined by their rarest shingles.
-
-Texts whose sets have a Jaccard similarity of at least 4/5 share one of the first n - ceil(4n/5) + 1 members of
-each set in any order common to all sets (prefix filtering), so lists by these members hold every such pair.
-The order puts shingles that are frequent in a bounded sample of texts last; it decides the length of the lists,
-never the result. A pair is left if the sizes, or the parities of 256 bins of shingles (odd sketches: two sets
-differ at least in as many members as bins), rule it out; all others are decided by the intersection.
+"""Near copies by SimHash, verified by exact Jaccard similarity, and completed where SimHash gives no guarantee.
+
+SimHash links (byte-position inverted index, simhash.links) over shingles of five words find the closest copies;
+each is verified by the exact similarity of the shingle sets. Texts of similarity 0.8 differ in about ten of 64
+bits, so that they need not share any byte at the same position: an index by bytes alone would miss nearly all of
+them. What it leaves is found by prefix filtering: texts whose sets have a Jaccard similarity of at least 4/5 share
+one of the first n - ceil(4n/5) + 1 members of each set in any order common to all sets, so lists by these members
+hold every such pair. The order puts shingles that are frequent in a bounded sample of texts last; it decides the
+length of the lists, never the result. A pair is left if verified links connect it already, or if the sizes or the
+parities of 256 bins of shingles (odd sketches: two sets differ at least in as many members as bins) rule it out;
+all others are decided by the intersection.
 
 A list over `limit` rows is first tied to a few of its rows; only its pairs that are not connected after
 that are compared.
@@ -16,13 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, small
+from . import simhash
+from ._common import Scratch, release, small
 from .components import components
-from .simhash import spans
 
 #: The least similarity as a fraction.
 NUM, DEN = 4, 5
@@ -30,11 +33,11 @@ NUM, DEN = 4, 5
 SAMPLE, FREQUENT, CENTRES, PARTS = 8000, 100_000, 8, 16
 
 
-def shingles(text: bytes | None, width: int) -> np.ndarray:
-    """The sorted distinct hashes (XXH64, seed 42) of a text's shingles; a text without words has that of the empty one."""
-    joined, starts, ends = spans(text, width)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)))
+def shingles(text: bytes | None, width: int) -> tuple[np.ndarray, int]:
+    """The sorted distinct hashes of a text's shingles and its fingerprint; a text without words has the hash of the empty shingle and 0."""
+    joined, starts, ends = simhash.spans(text, width)
+    found = simhash.hashes(joined, starts, ends)
+    return np.unique(found), simhash.majority(found) if joined else 0
 
 
 def _sets(width: int):
@@ -42,23 +45,23 @@ def _sets(width: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                sets = [shingles(t.as_py(), width).view(np.int64) for t in some.column(1)]
+                sets = [shingles(t.as_py(), width)[0].view(np.int64) for t in some.column(1)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "set"])
-        pa.default_memory_pool().release_unused()
+        release()
 
     return run
 
 
 def _prefixes(width: int, frequent: np.ndarray, counts: np.ndarray):
-    """row, size, the odd sketch and the shingles that the row is filed under."""
+    """row, size, the fingerprint, the odd sketch and the shingles that the row is filed under."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                sizes, sketches, keys = [], [], []
+                sizes, fps, sketches, keys = [], [], [], []
                 for text in some.column(1):
-                    own = shingles(text.as_py(), width)
+                    own, fp = shingles(text.as_py(), width)
                     n, often = len(own), np.zeros(len(own), np.int64)
                     if len(frequent):
                         where = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
@@ -67,10 +70,11 @@ def _prefixes(width: int, frequent: np.ndarray, counts: np.ndarray):
                     odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1
                     sketches.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
                     sizes.append(n)
+                    fps.append(fp)
                 words = np.array(sketches, np.int64).reshape(-1, 4)
-                columns = [some.column(0), pa.array(sizes, pa.int64()), *(pa.array(words[:, k]) for k in range(4)), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "size", "s0", "s1", "s2", "s3", "keys"])
-        pa.default_memory_pool().release_unused()
+                columns = [some.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), *(pa.array(words[:, k]) for k in range(4)), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "size", "fp", "s0", "s1", "s2", "s3", "keys"])
+        release()
 
     return run
 
@@ -163,6 +167,18 @@ def _similar(scratch: Scratch, rows: DataFrame, pairs: DataFrame, width: int, na
     return found
 
 
+def _simhash_links(scratch: Scratch, rows: DataFrame, filed: DataFrame, width: int) -> DataFrame:
+    """Verified links of rows whose fingerprints are equal or linked; fewer than rows."""
+    classes = scratch.table(filed.groupBy("fp").agg(F.min("row").alias("first")), "classes")
+    equal = filed.join(classes, "fp").where("row != first").select(F.col("first").alias("u"), F.col("row").alias("v"))
+    linked = simhash.links(scratch, classes.select("fp")).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    ends = linked.join(classes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(classes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    pairs = equal.unionByName(ends.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))).distinct()
+    near = pairs.join(filed.alias("a"), F.col("u") == F.col("a.row")).join(filed.alias("b"), F.col("v") == F.col("b.row"))
+    pairs = scratch.table(near.where(_possible("a", "b")).select("u", "v"), "close-pairs")
+    return _similar(scratch, rows, pairs, width, "close-similar")
+
+
 def links(scratch: Scratch, rows: DataFrame, width: int, limit: int = 64) -> DataFrame:
     """Links u, v of rows (row, text as binary) that join every two of the least similarity, directly or by other such links."""
     total = rows.count()
@@ -172,20 +188,22 @@ def links(scratch: Scratch, rows: DataFrame, width: int, limit: int = 64) -> Dat
     frequent, counts = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
     order = np.argsort(frequent)
     filed = scratch.table(
-        rows.select("row", "text").mapInArrow(_prefixes(width, frequent[order], counts[order]), "row long, size long, s0 long, s1 long, s2 long, s3 long, keys array<long>"), "filed"
+        rows.select("row", "text").mapInArrow(_prefixes(width, frequent[order], counts[order]), "row long, size long, fp long, s0 long, s1 long, s2 long, s3 long, keys array<long>"), "filed"
     )
+    close = _simhash_links(scratch, rows, filed.drop("keys"), width)
+    sketches = filed.drop("keys", "fp").join(components(scratch, close, "close"), F.col("row") == F.col("node"), "left").withColumn("label", F.coalesce("label", "row")).drop("node")
     postings = filed.select(F.explode("keys").alias("key"), "row", "size").repartition("key").sortWithinPartitions("key", "row")
     found = scratch.table(postings.mapInArrow(_candidates(limit), "u long, v long, key long, size long"), "candidates")
-    sketches = filed.drop("keys")
     pairs = found.where("v IS NOT NULL").select("u", "v").distinct()
     near = pairs.join(sketches.alias("a"), F.col("u") == F.col("a.row")).join(sketches.alias("b"), F.col("v") == F.col("b.row"))
-    pairs = scratch.table(near.where(_possible("a", "b")).select("u", "v"), "pairs")
-    tied = _similar(scratch, rows, pairs, width, "similar")
+    pairs = scratch.table(near.where((F.col("a.label") != F.col("b.label")) & _possible("a", "b")).select("u", "v"), "pairs")
+    tied = close.unionByName(_similar(scratch, rows, pairs, width, "similar"))
     lists = found.where("v IS NULL").select("key", F.col("u").alias("row"))
     if not lists.limit(1).count():
         return tied
     # rows of long lists by what they are connected to; the largest part of a list needs no comparison with itself
     labels = components(scratch, tied, "tied")
+    sketches = filed.drop("keys", "fp")
     lists = lists.join(labels, F.col("row") == F.col("node"), "left").select("key", "row", F.coalesce("label", "row").alias("label"))
     parts = scratch.table(lists.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "parts")
     most = parts.groupBy("key").agg(F.max_by("label", "n").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -215,4 +233,6 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct(F.col("id").isNull(), "id", "row")
     kept = own.groupBy("label").agg(F.min(place).alias("first"))
     gone = own.join(kept, "label").where(F.col("row") != F.col("first.row")).select(F.col("row").alias("__row"))
-    return docs.join(scratch.table(gone, "gone"), "__row", "left_anti").select(*df.columns)
+    gone = scratch.table(gone, "gone")
+    scratch.keep("docs", "gone")
+    return docs.join(small(gone), "__row", "left_anti").select(*df.columns)

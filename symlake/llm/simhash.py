@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import LOWER, UPPER, Scratch
+from ._common import LOWER, UPPER, Scratch, release
 from .components import components
 
 DISTANCE, BYTES = 4, 8
@@ -53,6 +53,21 @@ def spans(text: bytes | None, width: int) -> tuple[bytes, np.ndarray, np.ndarray
     return joined, starts[: len(words) - width + 1], ends[width - 1 :]
 
 
+def hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64 (seed 42) of the spans of a text."""
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(found: np.ndarray) -> int:
+    """The signed 64-bit number whose bits are set in over half of the hashes."""
+    set_bits = np.zeros(64, np.int64)
+    for at in range(0, len(found), STEP):
+        some = found[at : at + STEP].astype("<u8").view(np.uint8).reshape(-1, 8)
+        set_bits += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(set_bits * 2 > len(found), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: bytes | None, width: int = 4) -> int:
     """The SimHash of a text as a signed 64-bit number.
 
@@ -61,14 +76,7 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
     shingles' hashes (XXH64, seed 42), repeats included, have it set.
     """
     joined, starts, ends = spans(text, width)
-    if not joined:
-        return 0
-    digest, set_bits = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), STEP):
-        some = [digest(joined[a:b], 42) for a, b in zip(starts[at : at + STEP].tolist(), ends[at : at + STEP].tolist(), strict=True)]
-        set_bits += np.unpackbits(np.array(some, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(set_bits * 2 > len(starts), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return majority(hashes(joined, starts, ends)) if joined else 0
 
 
 def _fingerprints(width: int):
@@ -76,7 +84,7 @@ def _fingerprints(width: int):
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
-        pa.default_memory_pool().release_unused()
+        release()
 
     return run
 
