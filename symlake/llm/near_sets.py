@@ -7,8 +7,8 @@ them. What it leaves is found by prefix filtering: texts whose sets have a Jacca
 one of the first n - ceil(4n/5) + 1 members of each set in any order common to all sets, so lists by these members
 hold every such pair. The order puts shingles that are frequent in a bounded sample of texts last; it decides the
 length of the lists, never the result. A pair is left if verified links connect it already, or if the sizes or the
-parities of 256 bins of shingles (odd sketches: two sets differ at least in as many members as bins) rule it out;
-all others are decided by the intersection.
+parities of bins of shingles rule it out (odd sketches: two sets differ at least in as many members as bins), first
+those of 256 bins, then of two to four bins for each shingle. All others are decided by the intersection.
 
 A list over `limit` rows is first tied to a few of its rows; only its pairs that are not connected after
 that are compared.
@@ -52,6 +52,12 @@ def _sets(width: int):
     return run
 
 
+def _parity(members: np.ndarray, bins: int) -> np.ndarray:
+    """Bits that tell of each bin (by the lowest bits of the members) whether it has an odd number of them, as 64-bit words."""
+    odd = np.bincount((members & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _prefixes(width: int, frequent: np.ndarray, counts: np.ndarray):
     """row, size, the fingerprint, the odd sketch and the shingles that the row is filed under."""
 
@@ -59,7 +65,7 @@ def _prefixes(width: int, frequent: np.ndarray, counts: np.ndarray):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                sizes, fps, sketches, keys = [], [], [], []
+                sizes, fps, sketches, parities, keys = [], [], [], [], []
                 for text in some.column(1):
                     own, fp = shingles(text.as_py(), width)
                     n, often = len(own), np.zeros(len(own), np.int64)
@@ -67,13 +73,13 @@ def _prefixes(width: int, frequent: np.ndarray, counts: np.ndarray):
                         where = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
                         often = np.where(frequent[where] == own, counts[where], 0)
                     keys.append(own[np.lexsort((own, often))[: n + 1 - -(-NUM * n // DEN)]].view(np.int64))
-                    odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-                    sketches.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
+                    sketches.append(_parity(own >> np.uint64(56), 256))
+                    parities.append(_parity(own, max(256, 1 << (2 * n - 1).bit_length())))
                     sizes.append(n)
                     fps.append(fp)
                 words = np.array(sketches, np.int64).reshape(-1, 4)
-                columns = [some.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), *(pa.array(words[:, k]) for k in range(4)), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "size", "fp", "s0", "s1", "s2", "s3", "keys"])
+                columns = [some.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), *(pa.array(words[:, k]) for k in range(4)), pa.array(parities, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "size", "fp", "s0", "s1", "s2", "s3", "parity", "keys"])
         release()
 
     return run
@@ -148,22 +154,36 @@ def _candidates(limit: int):
     return run
 
 
+def _allowed(differ: Column, a: str, b: str) -> Column:
+    """Whether sets that differ in so many members at least can be similar."""
+    return differ * (NUM + DEN) <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * (DEN - NUM)
+
+
 def _possible(a: str, b: str) -> Column:
-    """Whether the sizes and sketches of a and b allow the similarity."""
-    both = F.col(f"{a}.size") + F.col(f"{b}.size")
+    """Whether the sizes and small sketches of a and b allow the similarity."""
     differ = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(4)), F.lit(0))
-    fit = F.least(f"{a}.size", f"{b}.size") * DEN >= F.greatest(f"{a}.size", f"{b}.size") * NUM
-    return fit & (differ * (NUM + DEN) <= both * (DEN - NUM))
+    return (F.least(f"{a}.size", f"{b}.size") * DEN >= F.greatest(f"{a}.size", f"{b}.size") * NUM) & _allowed(differ, a, b)
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    """Bits in which two large sketches differ; of sizes that may be similar one has twice the bins at most, and is folded."""
+    words = F.least(F.size(a), F.size(b))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda x: F.when(F.size(x) == words, x).otherwise(F.zip_with(F.slice(x, F.lit(1), words), F.slice(x, words + 1, words), xor))
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda n, x: n + x)
 
 
-def _similar(scratch: Scratch, rows: DataFrame, pairs: DataFrame, width: int, name: str) -> DataFrame:
+def _similar(scratch: Scratch, rows: DataFrame, filed: DataFrame, pairs: DataFrame, width: int, name: str) -> DataFrame:
     """The pairs (u, v) whose sets are similar."""
+    own = filed.select("row", "size", "parity")
+    near = pairs.join(own.alias("a"), F.col("u") == F.col("a.row")).join(own.alias("b"), F.col("v") == F.col("b.row"))
+    pairs = scratch.table(near.where(_allowed(_bits_apart(F.col("a.parity"), F.col("b.parity")), "a", "b")).select("u", "v"), f"{name}-pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
     sets = scratch.table(rows.select("row", "text").join(small(wanted), "row", "left_semi").mapInArrow(_sets(width), "row long, set array<long>"), f"{name}-sets")
     both = pairs.join(sets.select(F.col("row").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("row").alias("v"), F.col("set").alias("b")), "v")
     found = both.where(F.size(F.array_intersect("a", "b")) * (NUM + DEN) >= (F.size("a") + F.size("b")) * NUM).select("u", "v")
     found = scratch.table(found, name)
-    scratch.drop(f"{name}-sets")
+    scratch.drop(f"{name}-sets", f"{name}-pairs")
     return found
 
 
@@ -174,9 +194,10 @@ def _simhash_links(scratch: Scratch, rows: DataFrame, filed: DataFrame, width: i
     linked = simhash.links(scratch, classes.select("fp")).select(F.col("u").alias("a"), F.col("v").alias("b"))
     ends = linked.join(classes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(classes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     pairs = equal.unionByName(ends.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))).distinct()
-    near = pairs.join(filed.alias("a"), F.col("u") == F.col("a.row")).join(filed.alias("b"), F.col("v") == F.col("b.row"))
+    light = filed.drop("parity")
+    near = pairs.join(light.alias("a"), F.col("u") == F.col("a.row")).join(light.alias("b"), F.col("v") == F.col("b.row"))
     pairs = scratch.table(near.where(_possible("a", "b")).select("u", "v"), "close-pairs")
-    return _similar(scratch, rows, pairs, width, "close-similar")
+    return _similar(scratch, rows, filed, pairs, width, "close-similar")
 
 
 def links(scratch: Scratch, rows: DataFrame, width: int, limit: int = 64) -> DataFrame:
@@ -188,22 +209,22 @@ def links(scratch: Scratch, rows: DataFrame, width: int, limit: int = 64) -> Dat
     frequent, counts = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
     order = np.argsort(frequent)
     filed = scratch.table(
-        rows.select("row", "text").mapInArrow(_prefixes(width, frequent[order], counts[order]), "row long, size long, fp long, s0 long, s1 long, s2 long, s3 long, keys array<long>"), "filed"
+        rows.select("row", "text").mapInArrow(_prefixes(width, frequent[order], counts[order]), "row long, size long, fp long, s0 long, s1 long, s2 long, s3 long, parity array<long>, keys array<long>"), "filed"
     )
     close = _simhash_links(scratch, rows, filed.drop("keys"), width)
-    sketches = filed.drop("keys", "fp").join(components(scratch, close, "close"), F.col("row") == F.col("node"), "left").withColumn("label", F.coalesce("label", "row")).drop("node")
+    sketches = filed.drop("keys", "parity", "fp").join(components(scratch, close, "close"), F.col("row") == F.col("node"), "left").withColumn("label", F.coalesce("label", "row")).drop("node")
     postings = filed.select(F.explode("keys").alias("key"), "row", "size").repartition("key").sortWithinPartitions("key", "row")
     found = scratch.table(postings.mapInArrow(_candidates(limit), "u long, v long, key long, size long"), "candidates")
     pairs = found.where("v IS NOT NULL").select("u", "v").distinct()
     near = pairs.join(sketches.alias("a"), F.col("u") == F.col("a.row")).join(sketches.alias("b"), F.col("v") == F.col("b.row"))
     pairs = scratch.table(near.where((F.col("a.label") != F.col("b.label")) & _possible("a", "b")).select("u", "v"), "pairs")
-    tied = close.unionByName(_similar(scratch, rows, pairs, width, "similar"))
+    tied = close.unionByName(_similar(scratch, rows, filed, pairs, width, "similar"))
     lists = found.where("v IS NULL").select("key", F.col("u").alias("row"))
     if not lists.limit(1).count():
         return tied
     # rows of long lists by what they are connected to; the largest part of a list needs no comparison with itself
     labels = components(scratch, tied, "tied")
-    sketches = filed.drop("keys", "fp")
+    sketches = filed.drop("keys", "parity", "fp")
     lists = lists.join(labels, F.col("row") == F.col("node"), "left").select("key", "row", F.coalesce("label", "row").alias("label"))
     parts = scratch.table(lists.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "parts")
     most = parts.groupBy("key").agg(F.max_by("label", "n").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -213,7 +234,7 @@ def links(scratch: Scratch, rows: DataFrame, width: int, limit: int = 64) -> Dat
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part"))
     more = one.alias("a").join(other.alias("b"), same & (F.col("a.label") != F.col("b.label")) & _possible("a", "b"))
     more = scratch.table(more.select(F.least("a.row", "b.row").alias("u"), F.greatest("a.row", "b.row").alias("v")).distinct(), "more")
-    return tied.unionByName(_similar(scratch, rows, more, width, "more-similar"))
+    return tied.unionByName(_similar(scratch, rows, filed, more, width, "more-similar"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, limit: int = 64) -> DataFrame:
