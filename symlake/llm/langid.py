@@ -1,38 +1,72 @@
 """Language of texts, which may switch between languages, by a linear-chain conditional random field.
 
 Every word is labelled: its features are the word itself (lexicon), its affixes and its byte n-grams, hashed
-to a fixed table of weights; transitions between the labels of neighbouring words are learned too. Marginals
-come from forward-backward over the whole text, for many texts at a time. A text's language is the label
-with the largest sum of marginals.
-
-The model is fitted on a bounded sample: at most about `train_docs` texts, dealt evenly to the languages
-(`MAX_LABELS` most frequent) by a hash of the id, and of each the first `train_chars` characters. Half of the
-training chains are spliced from several texts, so that switches are learned. Prediction reads whole texts.
+to a fixed table of weights; transitions between the labels of neighbouring words are learned too. A run of
+letters without spaces, as some scripts write, is cut into short pieces one after another, each a word of the
+chain. Marginals come from forward-backward over the whole text, for many texts at a time. A text's language is
+the label with the largest sum of marginals.
+
+The model is fitted on a bounded sample: about `train_docs` texts, dealt evenly to all languages by a hash of id
+and text (`LEAST_DOCS` of a language if there are many), and of each a window of `train_chars` characters whose
+place is hashed too. Half of the training chains are spliced from several texts, so that switches are learned.
+Prediction reads whole texts.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ._common import release
 from .toxicity import held_out, tokens
 
 BITS = 17
-MAX_LABELS = 64
-#: Words whose emissions a worker remembers, and words in one run of forward-backward (one text at least).
-CACHE_WORDS, CHAIN_WORDS = 400_000, 500_000
+#: Texts of a language to learn from at least, if it has so many.
+LEAST_DOCS = 20
+#: Numbers (words by labels) that a worker remembers emissions in, and numbers in one run of forward-backward (one text at least).
+CACHE_CELLS, CHAIN_CELLS = 2_000_000, 2_500_000
+#: Longest word of a chain in bytes, and characters in a piece of a script that puts no spaces between words.
+LONGEST, PIECE = 40, 3
 _MASK = (1 << BITS) - 1
 
 
+#: Bytes that only texts with letters outside the Latin, Greek, Cyrillic and like alphabets, or with non-ASCII signs, have.
+_ODD = re.compile(rb"[\xc2\xcc\xcd\xe0-\xff]")
+#: Scripts that put no spaces between words, and runs of letters (with their marks) of such a script or of others.
+_UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_RUNS = regex.compile(rf"(?P<unspaced>[{_UNSPACED}][{_UNSPACED}\p{{M}}]*)|(?:(?![{_UNSPACED}])[\p{{L}}\p{{M}}])+")
+
+
+@lru_cache(20_000)
+def pieces(token: bytes) -> tuple[bytes, ...]:
+    """The words of a token: runs of letters of one kind, cut one after another where they are long or a script has no spaces."""
+    found = []
+    for match in _RUNS.finditer(token.decode("utf-8", "replace")):
+        run = match.group()
+        step = PIECE if match["unspaced"] else LONGEST // 4 if len(run.encode()) > LONGEST else len(run)
+        found += [run[at : at + step].encode() for at in range(0, len(run), step)]
+    return tuple(found)
+
+
+def words(text: bytes | None) -> list[bytes]:
+    """The words of the chain: all letters of the text belong to one."""
+    own = tokens(text)
+    if own and (_ODD.search(text) or max(map(len, own)) > LONGEST):
+        return [p for w in own for p in (pieces(w) if len(w) > LONGEST or _ODD.search(w) else (w,))]
+    return own
+
+
 def word_features(word: bytes) -> list[int]:
-    """Hashed lexicon, affix and n-gram features; of a word over 40 bytes the ends only."""
-    if len(word) > 40:
-        word = word[:20] + word[-20:]
+    """Hashed lexicon, affix and n-gram features."""
     crc, padded = zlib.crc32, b"<" + word + b">"
     found = [crc(b"w" + word)]
     found += [crc(b"p" + word[:n]) for n in (2, 3, 4) if n < len(word)]
@@ -90,10 +124,10 @@ class Model:
         """Potentials of starts and transitions; like those of words none is so small that products vanish."""
         return tuple(np.exp(np.clip(x.astype(np.float64) - x.max(), -20, 0)) for x in (self.start, self.move))
 
-    def emissions(self, words: list[bytes]) -> np.ndarray:
-        if not words:
+    def emissions(self, new: list[bytes]) -> np.ndarray:
+        if not new:
             return np.zeros((0, len(self.labels)), np.float32)
-        own = [word_features(w) for w in words]
+        own = [word_features(w) for w in new]
         flat = np.array([f for x in own for f in x], np.int64)
         return np.add.reduceat(self.weights[flat], np.concatenate(([0], np.cumsum([len(x) for x in own])[:-1])), axis=0)
 
@@ -107,7 +141,7 @@ def fit(texts: list[tuple[bytes, str]], rounds: int = 4, chain: int = 48, batch:
     vocabulary: dict[bytes, int] = {}
     runs: list[tuple[np.ndarray, int]] = []
     for text, lang in texts:
-        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in tokens(text)], np.int64)
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(text)], np.int64)
         runs += [(ids[at : at + chain], number[lang]) for at in range(0, len(ids), chain)]
     if not runs:
         return model
@@ -127,8 +161,8 @@ def fit(texts: list[tuple[bytes, str]], rounds: int = 4, chain: int = 48, batch:
                 ids += [x for x, _ in parts]
                 gold += [np.full(len(x), y) for x, y in parts]
                 lengths.append(sum(len(x) for x, _ in parts))
-            words, gold, lengths = np.concatenate(ids), np.concatenate(gold), np.array(lengths)
-            unique, where = np.unique(words, return_inverse=True)
+            chained, gold, lengths = np.concatenate(ids), np.concatenate(gold), np.array(lengths)
+            unique, where = np.unique(chained, return_inverse=True)
             spans = np.repeat(begin[unique] - np.concatenate(([0], np.cumsum(sizes[unique])[:-1])), sizes[unique]) + np.arange(sizes[unique].sum())
             features, owner = flat[spans], np.repeat(np.arange(len(unique)), sizes[unique])
             logs = np.add.reduceat(model.weights[features], np.concatenate(([0], np.cumsum(sizes[unique])[:-1])), axis=0)
@@ -177,29 +211,33 @@ def _predict(model: Model):
 
             texts, letters = batch.column(1), batch.column(3)
             for row in range(batch.num_rows if k else 0):
-                words = tokens(texts[row].as_py()) if letters[row].as_py() else []
-                if not words:
+                own = words(texts[row].as_py()) if letters[row].as_py() else []
+                if not own:
                     continue
                 try:
-                    found = [index[w] for w in words]
+                    found = [index[w] for w in own]
                 except KeyError:
-                    if len(index) > CACHE_WORDS and not ids:
+                    if len(index) * k > CACHE_CELLS:
+                        if ids:
+                            done()
+                            rows, ids, total = [], [], 0
                         index.clear()
                         known[0] = known[0][:0]
-                    new = [w for w in dict.fromkeys(words) if w not in index]
+                    new = [w for w in dict.fromkeys(own) if w not in index]
                     known[0] = _grown(known[0], len(index), model.potentials(model.emissions(new)))
                     index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
-                    found = [index[w] for w in words]
+                    found = [index[w] for w in own]
                 rows.append(row)
                 ids.append(np.array(found, np.int64))
                 total += len(found)
-                if total > CHAIN_WORDS:
+                if total * k > CHAIN_CELLS:
                     done()
                     rows, ids, total = [], [], 0
             if ids:
                 done()
             names = pa.array([model.labels[b] if b >= 0 else "und" for b in best.tolist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), names, pa.array(score)], names=["id", "held_out", "lang_pred", "score"])
+        release()
 
     return run
 
@@ -213,16 +251,19 @@ def _grown(table: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
 
 
 def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int, train_chars: int) -> Model:
-    """The model of a sample of the rows with a language and a text."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LABELS).collect()}
+    """The model of a sample of the rows with a language and a text; equal windows of a language count once."""
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return Model([])
-    each = train_docs / len(counts)
-    place = F.conv(F.substring(F.md5(F.concat(F.lit("train:"), F.coalesce(F.col("id").cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / 2**32
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))]), F.col("lang"))
-    picked = rows.where((place < share) & F.col("text").isNotNull()).select(F.substring("text", 1, train_chars).alias("text"), "lang").limit(2 * train_docs).collect()
-    return fit(sorted((r["text"].encode("utf-8", "replace"), r["lang"]) for r in picked))
+    each = max(LEAST_DOCS, -(-train_docs // len(counts)))
+    shares = df.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in counts], "of string, share double")
+    keyed = rows.join(F.broadcast(shares), F.col("lang") == F.col("of")).withColumn("key", F.xxhash64(F.lit("train"), "id", "text"))
+    start = F.pmod(F.xxhash64(F.lit("start"), "key"), F.greatest(F.length("text") - train_chars + 1, F.lit(1))).cast("int") + 1
+    picked = keyed.where(F.pmod("key", F.lit(1 << 40)) < F.col("share") * (1 << 40)).select("lang", F.substring("text", start, F.lit(train_chars)).alias("window")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("window"), "window"))
+    picked = picked.withColumn("place", place).where(F.col("place") <= 2 * each).select("lang", "window").collect()
+    return fit(sorted((r["window"].encode("utf-8", "replace"), r["lang"]) for r in picked))
 
 
 def identify(
