@@ -3,8 +3,9 @@
 Training counts, over every labelled document of the training part, how often each word stands in toxic
 and in clean documents. A word's features are the word itself and its prefixes (inflected terms share a
 stem). A feature's score is its log-odds between the classes under a Dirichlet prior in proportion to its
-overall rate; features that are significant are kept. Words that copies of one document repeat always
-follow the same word, so a toxic count is never above an estimate of the different words before it.
+overall rate; all features that are significant are kept, however many. Words that copies of one document
+repeat always stand as far from the same word, so a toxic count is never above an estimate of the different
+words `APART` places away; a term that stands in one phrase only, but in many documents, has many of them.
 
 A token scores its best feature, any other token costs `drift`. A linear scan (Ruzzo and Tompa) finds all
 maximal scoring segments of a text. Under clean text, segment scores S of n tokens follow an extreme-value
@@ -16,6 +17,7 @@ where positive, summed over passages. A logistic curve fitted to the training do
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, Scratch, small
+from ._common import LOWER, UPPER, Scratch, release, small
 
 #: Lengths of the prefixes that are features, in bytes of UTF-8.
 PREFIXES = range(3, 10)
-#: Features kept at most (by significance), words a worker remembers, words counted before they are passed on.
-MODEL_TERMS, CACHE_WORDS, FLUSH_WORDS = 20_000, 200_000, 200_000
-#: Width of the bins of evidence that the logistic curve is fitted to, and their number.
-BIN, BINS = 0.5, 400
+#: Words a worker remembers, words counted before they are passed on.
+CACHE_WORDS, FLUSH_WORDS = 200_000, 200_000
+#: How far away the word is that tells copies of a document from other documents; more than a phrase has.
+APART = 16
+#: Bins of evidence that the logistic curve is fitted to, for each power of e.
+BINS = 40.0
 
 _LETTERS = bytearray(b" " * 128) + bytearray(range(128, 256))
 for _upper, _lower in zip(UPPER.encode(), LOWER.encode(), strict=True):
@@ -54,7 +58,7 @@ def held_out(id_col: str, folds: int, fold: int):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, clean, toxic, before: counts by class and the hashed set of words before it in toxic texts."""
+    """word, clean, toxic, apart: counts by class and the hashed set of words APART places before it (after it, near the start) in toxic texts."""
     clean: dict[bytes, int] = {}
     toxic: dict[bytes, list[int]] = {}
 
@@ -62,7 +66,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = list({**clean, **toxic})
         both = [toxic.get(w, (0, 0)) for w in words]
         columns = [pa.array([clean.get(w, 0) for w in words], pa.int64()), *(pa.array([r[k] for r in both], pa.int64()) for k in (0, 1))]
-        found = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *columns], names=["word", "clean", "toxic", "before"])
+        found = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *columns], names=["word", "clean", "toxic", "apart"])
         clean.clear()
         toxic.clear()
         return found
@@ -71,14 +75,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, is_toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             words = tokens(text.as_py())
             if is_toxic:
-                last = b""
-                for word in words:
+                end = len(words) - 1
+                for place, word in enumerate(words):
+                    other = words[place - APART] if place >= APART else words[min(place + APART, end)]
                     row = toxic.get(word)
                     if row is None:
                         row = toxic[word] = [0, 0]
                     row[0] += 1
-                    row[1] |= 1 << (sum(last) * 31 + len(last)) % 63
-                    last = word
+                    row[1] |= 1 << zlib.crc32(other) % 63
             else:
                 for word in words:
                     clean[word] = clean.get(word, 0) + 1
@@ -86,7 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out()
     if clean or toxic:
         yield out()
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +98,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = batch.column(0).to_pylist()
         own = [features(w) for w in words]
         at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
-        yield pa.RecordBatch.from_arrays([pa.array([f for x in own for f in x], pa.binary()), *(batch.column(k).take(at) for k in (1, 2, 3))], names=["term", "clean", "toxic", "before"])
+        yield pa.RecordBatch.from_arrays([pa.array([f for x in own for f in x], pa.binary()), *(batch.column(k).take(at) for k in (1, 2, 3))], names=["term", "clean", "toxic", "apart"])
 
 
 def score_of(word: bytes, terms: dict[bytes, float]) -> float:
@@ -105,23 +109,27 @@ def score_of(word: bytes, terms: dict[bytes, float]) -> float:
 def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of a text; scores: position and score above 0, in order.
 
-    Every other position scores -drift. Linear but for the search for a segment to join, which is short.
+    Every other position scores -drift. Each candidate keeps where the last one before it with a smaller sum on its
+    left is; candidates that a search passes over are never passed again, so the scan is linear.
     """
-    found: list[list] = []  # first, last, sum before the first, sum up to the last
+    firsts, lasts, lows, highs, links = [], [], [], [], []  # lows, highs: sums before the first position and up to the last
     total, after = 0.0, 0
     for position, score in scores:
-        total -= drift * (position - after)
-        start, end = total, total + score
-        total, after = end, position + 1
-        first = position
+        low = total - drift * (position - after)
+        total = high = low + score
+        after, first, k = position + 1, position, len(lows) - 1
         while True:
-            k = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < start), None)
-            if k is None or found[k][3] >= end:
+            while k >= 0 and lows[k] >= low:
+                k = links[k]
+            if k < 0 or highs[k] >= high:
                 break
-            first, start = found[k][0], found[k][2]
-            del found[k:]
-        found.append([first, position, start, end])
-    return [(a, b, r - l) for a, b, l, r in found]
+            first, low, earlier = firsts[k], lows[k], links[k]
+            for own in (firsts, lasts, lows, highs, links):
+                del own[k:]
+            k = earlier
+        for own, value in zip((firsts, lasts, lows, highs, links), (first, position, low, high, k), strict=True):
+            own.append(value)
+    return [(a, b, high - low) for a, b, low, high in zip(firsts, lasts, lows, highs, strict=True)]
 
 
 def decay(scores: np.ndarray, rates: np.ndarray) -> float:
@@ -164,8 +172,8 @@ def _scan(terms: dict[bytes, float], rate: float, drift: float):
                 sizes.append(n)
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32())
             spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(parts, pa.float64())], names=["start", "end", "evidence"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(evidence, pa.float64()), spans], names=["id", "held_out", "evidence", "passages"])
-        pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(evidence, pa.float64()), spans, batch.column(3)], names=["id", "held_out", "evidence", "passages", "digest"])
+        release()
 
     return run
 
@@ -186,20 +194,20 @@ def logistic(x: np.ndarray, positive: np.ndarray, total: np.ndarray, ridge: floa
 
 
 def terms_of(counted: DataFrame, clean: int, toxic: int, prior_share: float = 0.05, least_z: float = 3.0, least_odds: float = 2.0, least_contexts: int = 4) -> dict[bytes, float]:
-    """The significant features (columns term, clean, toxic, before) and their scores, MODEL_TERMS at most.
+    """The significant features (columns term, clean, toxic, apart) and their scores, all of them.
 
     The prior weighs as much as `prior_share` of all words. A count by hashed contexts that fills its 63 bins is
     not bounded by them.
     """
     prior = prior_share * (clean + toxic)
-    bits = F.bit_count("before")
+    bits = F.bit_count("apart")
     contexts = F.when(bits >= 62, F.lit(float("inf"))).otherwise(-63.0 * F.log(1 - bits / 63.0))
     one = F.least(F.col("toxic").cast("double"), contexts)
     alpha = prior * (F.col("clean") + F.col("toxic")) / (clean + toxic)
     odds = F.log((one + alpha) / (toxic + prior - one - alpha)) - F.log((F.col("clean") + alpha) / (clean + prior - F.col("clean") - alpha))
     spread = F.sqrt(1 / (one + alpha) + 1 / (F.col("clean") + alpha))
     scored = counted.where(bits >= least_contexts).select("term", odds.alias("odds"), (odds / spread).alias("z"))
-    best = scored.where((F.col("z") >= least_z) & (F.col("odds") >= least_odds)).orderBy(F.desc("z"), "term").limit(MODEL_TERMS)
+    best = scored.where((F.col("z") >= least_z) & (F.col("odds") >= least_odds))
     return {bytes(r["term"]): float(r["odds"]) for r in best.collect()}
 
 
@@ -219,7 +227,9 @@ def _scored(terms: dict[bytes, float]):
 def detect(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, fold: int = 0, drift: float = 0.1,
 ) -> DataFrame:
-    """One row per input row: id, held_out, evidence, passages (start, end in tokens, evidence), score, predicted.
+    """One row per input row: id, held_out, evidence, passages (start, end in tokens, evidence), digest (MD5 of the text), score, predicted.
+
+    The model is sent to every task; it has the significant features, of which there are far fewer than words.
 
     Labels are read for ids outside the fold only; of repeated labels of an id the largest counts, other
     values than 0 and 1 none. A null or empty text has no passages and the score of no evidence, which is
@@ -231,13 +241,13 @@ def detect(
     marked = labels.select(F.col(id_col).alias("of"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1) AND of IS NOT NULL")
     marked = scratch.table(marked.where(~held_out("of", folds, fold)).groupBy("of").agg(F.max("toxic").alias("toxic")), "marked")
     learn = rows.join(small(marked), F.col("id") == F.col("of")).select("text", "toxic")
-    words = learn.mapInArrow(_count, "word binary, clean long, toxic long, before long").groupBy("word")
-    words = scratch.table(words.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("before").alias("before")), "words")
+    words = learn.mapInArrow(_count, "word binary, clean long, toxic long, apart long").groupBy("word")
+    words = scratch.table(words.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("apart").alias("apart")), "words")
     clean, toxic = (int(x or 0) for x in words.agg(F.sum("clean"), F.sum("toxic")).first())
     terms: dict[bytes, float] = {}
     if clean and toxic:
-        counted = words.mapInArrow(_features, "term binary, clean long, toxic long, before long").groupBy("term")
-        terms = terms_of(counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("before").alias("before")), clean, toxic)
+        counted = words.mapInArrow(_features, "term binary, clean long, toxic long, apart long").groupBy("term")
+        terms = terms_of(counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("apart").alias("apart")), clean, toxic)
     rate = 1.0
     if terms:
         bins = words.select("word", "clean").mapInArrow(_scored(terms), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()
@@ -245,18 +255,23 @@ def detect(
         rates = np.array([float(r["n"]) for r in bins] + [0.5])
         if (scores * rates).sum() < 0:
             rate = decay(scores, rates / rates.sum())
-    scratch.drop("words")
-    held = rows.select("id", "text", held_out("id", folds, fold).alias("held_out"))
+    held = rows.select("id", "text", held_out("id", folds, fold).alias("held_out"), _digest(F.col("text")).alias("digest"))
     kind = df.schema[id_col].dataType.simpleString()
-    found = scratch.table(held.mapInArrow(_scan(terms, rate, drift), f"id {kind}, held_out boolean, evidence double, passages array<struct<start:int,end:int,evidence:double>>"), "found")
-    step = F.least(F.floor(F.col("evidence") / BIN), F.lit(BINS - 1)).cast("int")
+    found = scratch.table(held.mapInArrow(_scan(terms, rate, drift), f"id {kind}, held_out boolean, evidence double, passages array<struct<start:int,end:int,evidence:double>>, digest binary"), "found")
+    step = F.floor(F.log1p("evidence") * BINS).cast("int")
+    scratch.keep("marked", "found")
     fit = found.where("NOT held_out").join(small(marked), F.col("id") == F.col("of")).groupBy(step.alias("bin")).agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"), F.avg("evidence").alias("x")).collect()
     a, b = logistic(*(np.array([float(r[k]) for r in fit]) for k in ("x", "toxic", "n")))
-    score = F.lit(1.0) / (1 + F.exp(-(F.lit(a) + F.lit(max(b, 0.0)) * F.least(F.col("evidence"), F.lit(BIN * BINS)))))
+    score = F.lit(1.0) / (1 + F.exp(-(F.lit(a) + F.lit(max(b, 0.0)) * F.col("evidence"))))
     return found.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def _digest(text):
+    return F.unhex(F.md5(F.coalesce(text.cast("binary"), F.lit(b""))))
+
+
 def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows not predicted toxic, with all their columns; rows that repeat an id go if any of them is toxic."""
-    found = Scratch(df.sparkSession, "clean").table(detect(df, labels, id_col, text_col, **how).where("predicted = 1").select(F.col("id").alias("__id")).distinct(), "toxic")
-    return df.join(small(found), F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    """The rows not predicted toxic, with all their columns. Rows are decided by id and text, so rows that share an id, or have none, go only for their own text."""
+    found = detect(df, labels, id_col, text_col, **how).where("predicted = 1").select(F.col("id").alias("__id"), F.col("digest").alias("__gone"))
+    found = Scratch(df.sparkSession, "clean").table(found.distinct(), "toxic")
+    return df.join(small(found), F.col(id_col).eqNullSafe(F.col("__id")) & (_digest(F.col(text_col)) == F.col("__gone")), "left_anti")
