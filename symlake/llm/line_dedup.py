@@ -71,7 +71,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(deleted, pa.int64())], names=["id", "text", "lines", "deleted"])
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int = 8) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int = 1) -> DataFrame:
     """One row per input row: id, text without deleted lines, lines (before), deleted.
 
     Lines end at U+000A; words are separated by U+0020 and U+0009 to U+000D. Earlier means a smaller id (null

@@ -57,7 +57,7 @@ paired AS (
   SELECT *, lead(words) OVER (PARTITION BY doc_id ORDER BY line) AS next FROM lines),
 marked AS (
   SELECT doc_id, line, words, next,
-         row_number() OVER (PARTITION BY words ORDER BY doc_id, line) > 1 AND len(regexp_extract_all(words, '[^\x20\x09-\x0D]+')) >= 8 AS single,
+         row_number() OVER (PARTITION BY words ORDER BY doc_id, line) > 1 AND len(regexp_extract_all(words, '[^\x20\x09-\x0D]+')) >= 1 AS single,
          next IS NOT NULL AND row_number() OVER (PARTITION BY words, next ORDER BY doc_id, line) > 1 AS pair
   FROM paired),
 gone AS (

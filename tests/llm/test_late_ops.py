@@ -70,13 +70,14 @@ def brute_lines(rows, min_lines, min_words):
     return [sorted(gone[k]) for k in range(len(rows))]
 
 
+@pytest.mark.parametrize("min_words", [1, 8])
 @pytest.mark.parametrize("min_lines", [1, 2, 3, 5])
-def test_lines_against_brute_force(spark, min_lines):
+def test_lines_against_brute_force(spark, min_lines, min_words):
     rng = np.random.default_rng(min_lines)
-    rows = [(int(i), "\n".join(rng.choice(list("aab cde fgh ij"), rng.integers(0, 14)))) for i in rng.permutation(40)] + [(None, "a\na\na")]
+    rows = [(int(i), "\n".join(rng.choice(list("aab cde fgh ij"), rng.integers(0, 14)))) for i in rng.permutation(40)] + [(None, "a\na\na"), (50, "\n\nnew\n"), (51, "\nother\n\nnew")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["id"]: (r["text"], r["deleted"]) for r in line_dedup.dedup_lines(df, min_lines=min_lines).collect()}
-    for (i, text), gone in zip(rows, brute_lines(rows, min_lines, 8), strict=True):
+    got = {r["id"]: (r["text"], r["deleted"]) for r in line_dedup.dedup_lines(df, min_lines=min_lines, min_words=min_words).collect()}
+    for (i, text), gone in zip(rows, brute_lines(rows, min_lines, min_words), strict=True):
         assert got[i] == ("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone), len(gone)), i
 
 
