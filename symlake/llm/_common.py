@@ -89,6 +89,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if found["rows"] <= rows and found["bytes"] <= BROADCAST_BYTES else df
 
 
+def one_of_each(df: DataFrame, key: list[str], keys: DataFrame) -> DataFrame:
+    """Of rows with one key (nulls being equal) that `keys` has more than once, the earliest."""
+    repeated = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*[F.col(c).alias(f"__of_{c}") for c in key])
+    same = [df[c].eqNullSafe(F.col(f"__of_{c}")) for c in key]
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    placed = df.withColumn("__place", F.monotonically_increasing_id())
+    first = placed.join(repeated, [placed[c].eqNullSafe(F.col(f"__of_{c}")) for c in key], "left_semi")
+    first = first.groupBy(*key).agg(F.min_by(row, "__place").alias("__row"))
+    return df.join(repeated, same, "left_anti").unionByName(first.select("__row.*"))
+
+
 def lowered(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, lowered
+from ._common import Scratch, lowered, one_of_each, small
 
 
 def misra_gries(counts: Counter, more: Counter, counters: int) -> Counter:
@@ -69,14 +69,11 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counte
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Of rows that repeat id and text one stays."""
+    """The rows that stay, with all their columns. Of rows that repeat id and text the earliest stays."""
     marked = Scratch(df.sparkSession, "kept").table(copies(df, id_col, text_col), "marked")
-    gone = marked.where(~F.col("kept")).select(F.col("id").alias("__id"), F.col("digest").alias("__gone"))
-    stays = marked.where("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__gone"))
-    repeated = gone.join(stays, (gone["__id"].eqNullSafe(stays["__id"])) & (gone["__gone"] == stays["__gone"]), "left_semi").distinct()
+    gone = marked.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("__id"), F.col("digest").alias("__gone")).distinct()
     rows = df.withColumn("__digest", F.unhex(F.sha2(lowered(F.col(text_col)), 256)))
-    same = lambda other: rows[id_col].eqNullSafe(other["__id"]) & (rows["__digest"] == other["__gone"])
-    kept = rows.join(gone, same(gone), "left_anti")
-    if repeated.limit(1).count():
-        kept = kept.unionByName(rows.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "__digest"]))
+    kept = rows.join(small(gone), rows[id_col].eqNullSafe(F.col("__id")) & (rows["__digest"] == F.col("__gone")), "left_anti")
+    if marked.where(F.col("id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).limit(1).count():
+        kept = one_of_each(kept, [id_col, "__digest"], marked.select(F.col("id").alias(id_col), F.col("digest").alias("__digest")))
     return kept.drop("__digest")

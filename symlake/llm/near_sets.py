@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from ._common import Scratch, release, small
+from ._common import Scratch, lowered, one_of_each, release, small
 from .components import components
 
 #: The least similarity as a fraction.
@@ -59,14 +59,14 @@ def _parity(members: np.ndarray, bins: int) -> np.ndarray:
 
 
 def _prefixes(width: int, frequent: np.ndarray, counts: np.ndarray):
-    """row, size, the fingerprint, the odd sketch and the shingles that the row is filed under."""
+    """row, id and digest as given, size, the fingerprint, the odd sketches and the shingles that the row is filed under."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 sizes, fps, sketches, parities, keys = [], [], [], [], []
-                for text in some.column(1):
+                for text in some.column(3):
                     own, fp = shingles(text.as_py(), width)
                     n, often = len(own), np.zeros(len(own), np.int64)
                     if len(frequent):
@@ -78,8 +78,8 @@ def _prefixes(width: int, frequent: np.ndarray, counts: np.ndarray):
                     sizes.append(n)
                     fps.append(fp)
                 words = np.array(sketches, np.int64).reshape(-1, 4)
-                columns = [some.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), *(pa.array(words[:, k]) for k in range(4)), pa.array(parities, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "size", "fp", "s0", "s1", "s2", "s3", "parity", "keys"])
+                columns = [*some.columns[:3], pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), *(pa.array(words[:, k]) for k in range(4)), pa.array(parities, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "digest", "size", "fp", "s0", "s1", "s2", "s3", "parity", "keys"])
         release()
 
     return run
@@ -173,58 +173,65 @@ def _bits_apart(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda n, x: n + x)
 
 
-def _similar(scratch: Scratch, rows: DataFrame, filed: DataFrame, pairs: DataFrame, width: int, name: str) -> DataFrame:
-    """The pairs (u, v) whose sets are similar."""
+def _similar(scratch: Scratch, texts: DataFrame, filed: DataFrame, pairs: DataFrame, width: int, name: str) -> DataFrame:
+    """The pairs (u, v) whose sets are similar; texts: id, digest, text."""
     own = filed.select("row", "size", "parity")
     near = pairs.join(own.alias("a"), F.col("u") == F.col("a.row")).join(own.alias("b"), F.col("v") == F.col("b.row"))
     pairs = scratch.table(near.where(_allowed(_bits_apart(F.col("a.parity"), F.col("b.parity")), "a", "b")).select("u", "v"), f"{name}-pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    sets = scratch.table(rows.select("row", "text").join(small(wanted), "row", "left_semi").mapInArrow(_sets(width), "row long, set array<long>"), f"{name}-sets")
+    wanted = scratch.table(filed.select("row", F.col("id").alias("of"), F.col("digest").alias("is")).join(wanted, "row", "left_semi"), f"{name}-wanted")
+    found = texts.join(small(wanted), F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("is"))).select("row", "text")
+    # rows that repeat id and text give the same set
+    sets = scratch.table(found.mapInArrow(_sets(width), "row long, set array<long>").groupBy("row").agg(F.any_value("set").alias("set")), f"{name}-sets")
     both = pairs.join(sets.select(F.col("row").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("row").alias("v"), F.col("set").alias("b")), "v")
-    found = both.where(F.size(F.array_intersect("a", "b")) * (NUM + DEN) >= (F.size("a") + F.size("b")) * NUM).select("u", "v")
-    found = scratch.table(found, name)
-    scratch.drop(f"{name}-sets", f"{name}-pairs")
-    return found
+    similar = both.where(F.size(F.array_intersect("a", "b")) * (NUM + DEN) >= (F.size("a") + F.size("b")) * NUM).select("u", "v")
+    similar = scratch.table(similar, name)
+    scratch.drop(f"{name}-sets", f"{name}-pairs", f"{name}-wanted")
+    return similar
 
 
-def _simhash_links(scratch: Scratch, rows: DataFrame, filed: DataFrame, width: int) -> DataFrame:
+def _simhash_links(scratch: Scratch, texts: DataFrame, filed: DataFrame, width: int) -> DataFrame:
     """Verified links of rows whose fingerprints are equal or linked; fewer than rows."""
     classes = scratch.table(filed.groupBy("fp").agg(F.min("row").alias("first")), "classes")
     equal = filed.join(classes, "fp").where("row != first").select(F.col("first").alias("u"), F.col("row").alias("v"))
     linked = simhash.links(scratch, classes.select("fp")).select(F.col("u").alias("a"), F.col("v").alias("b"))
     ends = linked.join(classes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(classes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     pairs = equal.unionByName(ends.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))).distinct()
-    light = filed.drop("parity")
+    light = filed.drop("parity", "id", "digest")
     near = pairs.join(light.alias("a"), F.col("u") == F.col("a.row")).join(light.alias("b"), F.col("v") == F.col("b.row"))
     pairs = scratch.table(near.where(_possible("a", "b")).select("u", "v"), "close-pairs")
-    return _similar(scratch, rows, filed, pairs, width, "close-similar")
+    return _similar(scratch, texts, filed, pairs, width, "close-similar")
 
 
-def links(scratch: Scratch, rows: DataFrame, width: int, limit: int = 64) -> DataFrame:
-    """Links u, v of rows (row, text as binary) that join every two of the least similarity, directly or by other such links."""
-    total = rows.count()
-    part = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(1, total)) * (1 << 30))))
-    sampled = part.select("row", "text").mapInArrow(_sets(width), "row long, set array<long>").select(F.explode("set").alias("key"))
+def file(scratch: Scratch, texts: DataFrame, width: int) -> DataFrame:
+    """One row per row of texts (id, digest, text): row (a number), id, digest, size, fingerprint, sketches and the shingles it is filed under."""
+    total = texts.count()
+    part = texts.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(1, total)) * (1 << 30))))
+    sampled = part.select(F.lit(0).cast("long").alias("row"), "text").mapInArrow(_sets(width), "row long, set array<long>").select(F.explode("set").alias("key"))
     often = sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     frequent, counts = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
     order = np.argsort(frequent)
-    filed = scratch.table(
-        rows.select("row", "text").mapInArrow(_prefixes(width, frequent[order], counts[order]), "row long, size long, fp long, s0 long, s1 long, s2 long, s3 long, parity array<long>, keys array<long>"), "filed"
-    )
-    close = _simhash_links(scratch, rows, filed.drop("keys"), width)
-    sketches = filed.drop("keys", "parity", "fp").join(components(scratch, close, "close"), F.col("row") == F.col("node"), "left").withColumn("label", F.coalesce("label", "row")).drop("node")
+    shape = f"row long, id {texts.schema['id'].dataType.simpleString()}, digest binary, size long, fp long, s0 long, s1 long, s2 long, s3 long, parity array<long>, keys array<long>"
+    # written once, since all uses must see the same row numbers
+    return scratch.table(texts.select(F.monotonically_increasing_id().alias("row"), "id", "digest", "text").mapInArrow(_prefixes(width, frequent[order], counts[order]), shape), "filed")
+
+
+def links(scratch: Scratch, texts: DataFrame, filed: DataFrame, width: int, limit: int = 64) -> DataFrame:
+    """Links u, v of rows of filed (one per text) that join every two of the least similarity, directly or by other such links."""
+    close = _simhash_links(scratch, texts, filed.drop("keys"), width)
+    sketches = filed.drop("keys", "parity", "fp", "id", "digest").join(components(scratch, close, "close"), F.col("row") == F.col("node"), "left").withColumn("label", F.coalesce("label", "row")).drop("node")
     postings = filed.select(F.explode("keys").alias("key"), "row", "size").repartition("key").sortWithinPartitions("key", "row")
     found = scratch.table(postings.mapInArrow(_candidates(limit), "u long, v long, key long, size long"), "candidates")
     pairs = found.where("v IS NOT NULL").select("u", "v").distinct()
     near = pairs.join(sketches.alias("a"), F.col("u") == F.col("a.row")).join(sketches.alias("b"), F.col("v") == F.col("b.row"))
     pairs = scratch.table(near.where((F.col("a.label") != F.col("b.label")) & _possible("a", "b")).select("u", "v"), "pairs")
-    tied = close.unionByName(_similar(scratch, rows, filed, pairs, width, "similar"))
+    tied = close.unionByName(_similar(scratch, texts, filed, pairs, width, "similar"))
     lists = found.where("v IS NULL").select("key", F.col("u").alias("row"))
     if not lists.limit(1).count():
         return tied
     # rows of long lists by what they are connected to; the largest part of a list needs no comparison with itself
     labels = components(scratch, tied, "tied")
-    sketches = filed.drop("keys", "parity", "fp")
+    sketches = filed.drop("keys", "parity", "fp", "id", "digest")
     lists = lists.join(labels, F.col("row") == F.col("node"), "left").select("key", "row", F.coalesce("label", "row").alias("label"))
     parts = scratch.table(lists.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "parts")
     most = parts.groupBy("key").agg(F.max_by("label", "n").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -234,7 +241,7 @@ def links(scratch: Scratch, rows: DataFrame, width: int, limit: int = 64) -> Dat
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part"))
     more = one.alias("a").join(other.alias("b"), same & (F.col("a.label") != F.col("b.label")) & _possible("a", "b"))
     more = scratch.table(more.select(F.least("a.row", "b.row").alias("u"), F.greatest("a.row", "b.row").alias("v")).distinct(), "more")
-    return tied.unionByName(_similar(scratch, rows, filed, more, width, "more-similar"))
+    return tied.unionByName(_similar(scratch, texts, filed, more, width, "more-similar"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, limit: int = 64) -> DataFrame:
@@ -242,18 +249,27 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are linked if their sets of shingles of `width` words have a Jaccard similarity of at least 4/5. Words are
     folded and separated as in simhash.fingerprint; a shorter text is one shingle; a null text and texts without words
-    equal each other. Rows are decided one by one, so rows that repeat an id, or have none, go only for their own text;
-    of rows with the smallest id an earlier one stays. An empty table gives an empty result.
+    equal each other. Rows are decided by id and text, so rows that share an id, or have none, go only for their own
+    text; of different texts with the smallest id that of an earlier row stays, and of rows that repeat id and text the
+    earliest. An empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "near-sets")
-    # written once, since all uses must see the same row numbers
-    docs = scratch.table(df.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    rows = docs.select(F.col("__row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    labels = components(scratch, links(scratch, rows, width, limit))
-    own = rows.select("row", "id").join(labels, F.col("row") == F.col("node"))
-    place = F.struct(F.col("id").isNull(), "id", "row")
-    kept = own.groupBy("label").agg(F.min(place).alias("first"))
-    gone = own.join(kept, "label").where(F.col("row") != F.col("first.row")).select(F.col("row").alias("__row"))
-    gone = scratch.table(gone, "gone")
-    scratch.keep("docs", "gone")
-    return docs.join(small(gone), "__row", "left_anti").select(*df.columns)
+    digest = F.unhex(F.md5(lowered(F.col(text_col)).cast("binary")))
+    texts = df.select(F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).cast("binary").alias("text"))
+    filed = file(scratch, texts, width)
+    reps = filed.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
+    reps = scratch.table(reps, "reps")
+    copied = reps.where("n > 1").limit(1).count() > 0
+    nodes = scratch.table(filed.join(reps.select("first.row"), "row", "left_semi"), "nodes") if copied else filed
+    labels = components(scratch, links(scratch, texts, nodes, width, limit))
+    own = reps.join(labels, F.col("first.row") == F.col("node"), "left").where("node IS NOT NULL OR n > 1").select("digest", "first", F.coalesce("label", "first.row").alias("label"))
+    own = scratch.table(own, "own")
+    kept = own.groupBy("label").agg(F.min(F.struct("first", "digest")).alias("best"))
+    decided = own.join(kept, "label").select("digest", F.col("best.first.id").alias("keep"), F.col("best.digest").alias("kept"))
+    rows = filed.select("id", "digest").join(decided, "digest")
+    gone = rows.where(~(F.col("id").eqNullSafe(F.col("keep")) & (F.col("digest") == F.col("kept")))).select(F.col("id").alias("__id"), F.col("digest").alias("__gone"))
+    gone = scratch.table(gone.distinct(), "gone")
+    scratch.keep("filed", "gone")
+    keyed = df.withColumn("__digest", digest)
+    stay = keyed.join(small(gone), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone")), "left_anti")
+    return (one_of_each(stay, [id_col, "__digest"], filed.select(F.col("id").alias(id_col), F.col("digest").alias("__digest"))) if copied else stay).select(*df.columns)
