@@ -100,6 +100,19 @@ def one_of_each(df: DataFrame, key: list[str], keys: DataFrame) -> DataFrame:
     return df.join(repeated, same, "left_anti").unionByName(first.select("__row.*"))
 
 
+def split_join(rows: DataFrame, table: DataFrame, key: list[str], n: str) -> DataFrame:
+    """The rows with the columns of a table that has each key once and in n how many rows have it.
+
+    Keys with a fourth of a task's share of the rows or more are few (four times the tasks at most); they are
+    broadcast, so that their rows stay where they are. All others are joined by a shuffle.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    often = F.col(n) > max(1, total // (4 * partitions(rows.sparkSession)))
+    hot = table.where(often)
+    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(table.where(~often), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def lowered(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)

@@ -5,9 +5,8 @@ Any 4 of the 8 positions hold one of 20 fixed triples (a Turan system), so the i
 posting list for each triple of positions and its three bytes, not for single bytes, whose lists would
 grow with the square of the corpus. Within a list, the shared positional bytes of each pair are tallied,
 pairs with fewer than the guaranteed 4 are left, and the others are verified by the differing bits. A list
-returns the links of a spanning forest only. The fingerprints in a list longer than `posting_limit` are
-linked in another exact way: two are at most 4 bits apart if and only if some word is at most 2 bits from
-both, so each is filed under the 2081 words around it.
+returns the links of a spanning forest only. A list longer than `posting_limit` is dealt to blocks, and every
+two blocks of it are tallied as a list of their own.
 """
 
 from __future__ import annotations
@@ -20,9 +19,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._common import LOWER, UPPER, Scratch, release
+from ._common import LOWER, UPPER, Scratch, release, small, split_join
 from .components import components
 
 DISTANCE, BYTES = 4, 8
@@ -119,7 +117,9 @@ def linked(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[tied], fps[roots[tied]]
 
 
-def _posting_links(limit: int):
+def _posting_links(limit: int | None):
+    """Links of the posting lists (key, fp), sorted by key; of a list over the limit the fingerprints and the key, marked long."""
+
     def out(u: np.ndarray, v: np.ndarray, long: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(np.full(len(u), long))], names=["u", "v", "long"])
 
@@ -127,12 +127,11 @@ def _posting_links(limit: int):
         keys, fps, overlong = np.empty(0, np.int64), np.empty(0, np.int64), None
 
         def done(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            _, first, counts = np.unique(k, return_index=True, return_counts=True)
-            big = np.repeat(counts > limit, counts)
-            alone = np.repeat(counts == 1, counts)
+            _, counts = np.unique(k, return_counts=True)
+            big = np.repeat(counts > limit, counts) if limit else np.zeros(len(k), bool)
             if big.any():
-                yield out(f[big], f[big], True)
-            use = ~big & ~alone
+                yield out(f[big], k[big], True)
+            use = ~big & np.repeat(counts > 1, counts)
             if use.any():
                 u, v = linked(k[use], f[use])
                 if len(u):
@@ -143,7 +142,7 @@ def _posting_links(limit: int):
             if overlong is not None:  # the rest of a long list
                 same = int(np.searchsorted(k, overlong, side="right"))
                 if same:
-                    yield out(f[:same], f[:same], True)
+                    yield out(f[:same], k[:same], True)
                 k, f = k[same:], f[same:]
                 if not len(k):
                     continue
@@ -152,26 +151,14 @@ def _posting_links(limit: int):
             last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             yield from done(keys[:last], fps[:last])
             keys, fps = keys[last:], fps[last:]
-            if len(keys) > limit:
-                yield out(fps, fps, True)
+            if limit and len(keys) > limit:
+                yield out(fps, keys, True)
                 overlong, keys, fps = keys[0], keys[:0], fps[:0]
         yield from done(keys, fps)
 
     return run
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every word at most DISTANCE / 2 bits from each fingerprint."""
-    bits = [1 << k for k in range(64)]
-    masks = np.array([0, *bits, *(a | b for a, b in combinations(bits, 2))], np.uint64)
-    for batch in batches:
-        fps = batch.column(0).to_numpy().view(np.uint64)
-        for at in range(0, len(fps), 64):
-            some = fps[at : at + 64]
-            words = (some[:, None] ^ masks[None, :]).ravel().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.repeat(some.view(np.int64), len(masks)))], names=["word", "fp"])
-
-
 def links(scratch: Scratch, fps: DataFrame, posting_limit: int = 4096) -> DataFrame:
     """Links u, v between distinct fingerprints (column fp) that join every two at most 4 bits apart, directly or by other such links."""
     byte = lambda k: F.shiftrightunsigned("fp", 8 * k).bitwiseAND(255)
@@ -179,16 +166,20 @@ def links(scratch: Scratch, fps: DataFrame, posting_limit: int = 4096) -> DataFr
         F.lit(n << 24).cast("long").bitwiseOR(F.shiftleft(byte(a), 16)).bitwiseOR(F.shiftleft(byte(b), 8)).bitwiseOR(byte(c))
         for n, (a, b, c) in enumerate(position_triples())
     ]
-    lists = fps.select(F.explode(F.array(*filed)).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    found = scratch.table(lists.mapInArrow(_posting_links(posting_limit), "u long, v long, long boolean"), "found")
+    sort = lambda lists: lists.repartition("key").sortWithinPartitions("key", "fp")
+    lists = fps.select(F.explode(F.array(*filed)).alias("key"), "fp")
+    found = scratch.table(sort(lists).mapInArrow(_posting_links(posting_limit), "u long, v long, long boolean"), "found")
     short = found.where("NOT long").select("u", "v")
-    crowded = found.where("long").select(F.col("u").alias("fp")).distinct()
-    if not crowded.limit(1).count():
+    crowded = found.where("long").select(F.col("v").alias("key"), F.col("u").alias("fp"))
+    sizes = scratch.table(crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "crowded")
+    if not sizes.limit(1).count():
         return short
-    words = crowded.repartition(F.col("fp")).mapInArrow(_around, "word long, fp long")
-    # a word has at most 2081 fingerprints around it, so these groups are bounded
-    centre = F.min("fp").over(Window.partitionBy("word"))
-    return short.unionByName(words.select(F.col("fp").alias("u"), centre.alias("v")).where("u != v").distinct())
+    blocks = F.ceil(F.col("n") / posting_limit).cast("long")
+    dealt = crowded.join(small(sizes), "key").select("key", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("block"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block != other")
+    # a key is below 2 ** 29, a block below 2 ** 17
+    both = F.shiftleft("key", 34).bitwiseOR(F.shiftleft(F.least("block", "other"), 17)).bitwiseOR(F.greatest("block", "other"))
+    return short.unionByName(scratch.table(sort(dealt.select(both.alias("key"), "fp")).mapInArrow(_posting_links(None), "u long, v long, long boolean"), "found-long").select("u", "v"))
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, posting_limit: int = 4096) -> DataFrame:
@@ -203,12 +194,16 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     docs = scratch.table(rows.mapInArrow(_fingerprints(width), f"id {kind}, fp long"), "docs")
-    classes = scratch.table(docs.groupBy("fp").agg(F.min("id").alias("first")), "classes")
+    classes = scratch.table(docs.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     labels = components(scratch, links(scratch, classes.select("fp"), posting_limit))
-    of = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    of = scratch.table(of, "labelled")
-    whole = of.groupBy("label").agg(F.min("first").alias("component_id"))
-    return docs.join(of.join(whole, "label").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    # most fingerprints are linked with no other
+    linked = classes.join(labels, classes["fp"] == labels["node"]).select("fp", "first", "label")
+    whole = linked.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = linked.join(whole, "label").select(F.col("fp").alias("of"), "component_id")
+    named = classes.join(named, F.col("fp") == F.col("of"), "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
+    named = scratch.table(named, "named")
+    scratch.keep("docs", "named")
+    return split_join(docs, named, ["fp"], "n").select("id", "fp", "component_id")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -198,7 +198,7 @@ def test_near_copies_against_brute_force(spark):
 @pytest.mark.parametrize("limit", [4096, 3])
 def test_links_against_brute_force(spark, limit):
     rng = np.random.default_rng(5)
-    fps = {0, 2**64 - 1}
+    fps = {0, 2**64 - 1, 0xFFFFFFFF00000000, 1, 2**63 + 3, 2**63 + 12}  # far but for a sign, and pairs across bit 63
     for base in rng.integers(0, 2**63, 6).tolist():
         for _ in range(12):
             base ^= sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 6), replace=False))
