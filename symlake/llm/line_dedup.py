@@ -20,17 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, Scratch, numbered
+from ._common import WORD, Scratch, numbered, split_join
 
 PLACE = ["late", "id", "row", "line"]
 
 
 def _ranked(scratch: Scratch, keyed: DataFrame, key: list[str], name: str) -> DataFrame:
     """Places whose key occurs twice or more, with the key's rank and whether an earlier place has it."""
-    groups = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1").drop("n")
+    groups = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1")
     groups = numbered(scratch, groups, key, "rank", f"{name}-groups")
     first = F.struct(*PLACE) == F.col("first")
-    return scratch.table(keyed.join(groups, key).select(*PLACE, "rank", "enough", (~first).alias("again")), name)
+    groups = scratch.table(groups, f"{name}-ranks")
+    scratch.drop(f"{name}-groups")
+    found = scratch.table(split_join(keyed, groups, key, "n").select(*PLACE, "rank", "enough", (~first).alias("again")), name)
+    scratch.drop(f"{name}-ranks")
+    return found
 
 
 def suffix_ranks(scratch: Scratch, lines: DataFrame, depth: int) -> DataFrame:
@@ -41,7 +45,9 @@ def suffix_ranks(scratch: Scratch, lines: DataFrame, depth: int) -> DataFrame:
         further = now.select(F.col("row").alias("r"), (F.col("line") - step).alias("l"), F.col("rank").alias("next"))
         pairs = now.join(further, (F.col("row") == F.col("r")) & (F.col("line") == F.col("l"))).select(*PLACE, "rank", "next", "enough").withColumnRenamed("rank", "own")
         have += step
+        pairs = scratch.table(pairs, f"pairs-{have}")
         now = _ranked(scratch, pairs, ["own", "next"], f"depth-{have}")
+        scratch.drop(f"pairs-{have}")
     return now
 
 
@@ -83,6 +89,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     # written once, since both uses must see the same row numbers
     docs = scratch.table(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "docs")
     gone = repeated_lines(scratch, docs, min_lines, min_words)
+    scratch.keep("docs", "gone")
     kind = df.schema[id_col].dataType.simpleString()
     # the same join at every size, whatever the size of `gone`
     return docs.join(gone.select("row", "gone").hint("merge"), "row", "left").select("id", "text", "gone").mapInArrow(_cut, f"id {kind}, text string, lines long, deleted long")
