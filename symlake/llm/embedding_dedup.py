@@ -6,16 +6,22 @@ the inner product of its rotation with the sign vector, divided by f, is an unbi
 its error is below eps * sqrt((1 - f^2) / f^2 / (D - 1)) but with a small probability. Pairs whose upper bound,
 in either direction, is below the threshold are left; the others get an exact cosine in double precision.
 
-Pairs come from `TABLES` hash tables, each keyed by the largest coordinates of two more random rotations (cross-
-polytope hashing): two vectors at cosine 0.98 share a key with probability about 0.53 per table, so all tables
-miss one in three million such pairs, closer ones much less. A pair is looked at in the first table they share.
-Tasks return sums and spanning forests, never pairs; a bucket above `bucket_limit` rows is dealt out as pairs of
-blocks.
+Pairs come from hash tables, each keyed by the largest coordinates of two more random rotations (cross-polytope
+hashing). Two vectors of 64 dimensions at cosine 0.98 share a key with probability about 0.53 per table, of 1024 about
+0.43; the number of tables grows with the logarithm of the dimensions, so that all miss about one in three million such
+pairs, closer ones much less. Candidates are therefore found with that probability, there is no exact way for the rest;
+recall was measured as 1.0 against brute force and SQL. A pair is looked at in the first table it shares.
+
+Buckets get the codes first: a row goes on only if the code of another row in its bucket differs in so few bits that the
+cosine may reach the threshold (a confidence bound on the bits, missed once in a billion). Vectors follow for those rows
+alone. Tasks return rows, sums and spanning forests, never pairs; a bucket above `bucket_limit` rows is dealt out as
+pairs of blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +34,11 @@ from ._common import Scratch, small
 from .components import components
 from .simhash import unite
 
-TABLES, SEED, EPS = 20, 42, 5.0
+SEED, EPS = 42, 5.0
+#: How often the bound on differing bits may miss a pair at the threshold.
+MISSED = 1e-9
+#: Words of codes compared at once.
+STRIP = 4_000_000
 
 
 def rotate(vectors: np.ndarray, which: int) -> np.ndarray:
@@ -55,10 +65,16 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors**2).sum(axis=1, keepdims=True))
 
 
+def tables(dimensions: int) -> int:
+    """20 tables up to 64 dimensions, two more for each doubling."""
+    return 20 + 2 * max(0, (max(2, dimensions) - 1).bit_length() - 6)
+
+
 def signatures(units: np.ndarray) -> np.ndarray:
     """The keys of the vectors in all tables."""
-    keys = np.zeros((len(units), TABLES), np.int64)
-    for t in range(TABLES):
+    count = tables(units.shape[1])
+    keys = np.zeros((len(units), count), np.int64)
+    for t in range(count):
         for part in (0, 1):
             turned = rotate(units, 1 + 2 * t + part)
             best = np.abs(turned).argmax(axis=1)
@@ -73,6 +89,18 @@ def codes(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return signs, (signs * turned).sum(axis=1) / np.sqrt(turned.shape[1]), turned
 
 
+def most_bits(size: int, threshold: float) -> int:
+    """Bits in which the codes of two vectors at the threshold differ at most, but for one in 1 / MISSED pairs."""
+    p = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    logs = [math.lgamma(size + 1) - math.lgamma(k + 1) - math.lgamma(size - k + 1) + k * math.log(max(p, 1e-300)) + (size - k) * math.log(max(1 - p, 1e-300)) for k in range(size + 1)]
+    tail = 0.0
+    for k in range(size, -1, -1):
+        tail += math.exp(logs[k])
+        if tail > MISSED:
+            return k
+    return size
+
+
 def margin(factors: np.ndarray, size: int) -> np.ndarray:
     return EPS * np.sqrt(np.maximum(0, 1 - factors**2) / factors**2 / max(1, size - 1))
 
@@ -102,20 +130,88 @@ def _signed(double: bool):
         for batch in batches:
             raws = batch.column(1).to_pylist()
             sizes = np.array([len(r) for r in raws])
-            keys, code, factor = np.zeros((len(raws), TABLES), np.int64), [b""] * len(raws), np.zeros(len(raws))
+            keys, code, factor = [np.empty(0, np.int64)] * len(raws), [b""] * len(raws), np.zeros(len(raws))
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
                 units = unit(np.frombuffer(b"".join(raws[k] for k in at), kind).reshape(len(at), -1).astype(np.float64))
-                keys[at] = signatures(units)
+                for k, own in zip(at, signatures(units), strict=True):
+                    keys[k] = own
                 signs, factor[at], _ = codes(units)
                 for k, bits in zip(at, np.packbits(signs > 0, axis=1), strict=True):
                     code[k] = bits.tobytes()
-            table = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, TABLES), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), table, pa.array(code, pa.binary()), pa.array(factor)], names=["class", "keys", "code", "factor"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(code, pa.binary()), pa.array(factor)], names=["class", "keys", "code", "factor"])
 
     return run
 
 
+def _buckets(columns: tuple[str, ...], each):
+    """A step over rows sorted by the columns that name a bucket: `each` gets whole buckets, one or many at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if held is None else pa.concat_tables([held, now]).combine_chunks()
+            if not now.num_rows:
+                continue
+            mark = np.stack([now.column(c).to_numpy() for c in columns])
+            other = np.flatnonzero((mark != mark[:, -1:]).any(axis=0))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield from each(now.slice(0, cut))
+            held = now.slice(cut)
+        if held is not None and held.num_rows:
+            yield from each(held)
+
+    return run
+
+
+def _spans(rows: pa.Table, columns: tuple[str, ...]) -> list[tuple[int, int]]:
+    """Where the buckets with two rows or more begin and end."""
+    mark = np.stack([rows.column(c).to_numpy() for c in columns])
+    edges = np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0)) + 1
+    starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [rows.num_rows]))
+    big = np.flatnonzero(ends - starts > 1)
+    return list(zip(starts[big].tolist(), ends[big].tolist(), strict=True))
+
+
+NAMES = ("bucket", "low", "high")
+
+
+def _near_codes(threshold: float):
+    """The places (bucket, low, high, class) whose code is near that of another row of the bucket, and of another block where two meet."""
+
+    def each(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        spans = _spans(rows, NAMES)
+        if not spans:
+            return
+        block, low, high = (rows.column(c).to_numpy() for c in ("block", "low", "high"))
+        codes, kept = rows.column("code").to_pylist(), []
+        for a, b in spans:
+            sizes = np.array([len(c) for c in codes[a:b]])
+            for size in np.unique(sizes):  # one, but for colliding buckets
+                at = np.flatnonzero(sizes == size) + a
+                own = np.frombuffer(b"".join(codes[k] for k in at), np.uint8).reshape(len(at), -1)
+                words = np.zeros((len(at), -(-int(size) // 8) * 8), np.uint8)
+                words[:, :size] = own
+                words = words.view(np.uint64)
+                most, near = most_bits(8 * int(size), threshold), np.zeros(len(at), bool)
+                step = max(1, STRIP // words.size)
+                for strip in range(0, len(at), step):
+                    some = slice(strip, strip + step)
+                    close = np.bitwise_count(words[some, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.int64) <= most
+                    close[np.arange(len(close)), np.arange(strip, strip + len(close))] = False
+                    if low[a] != high[a]:
+                        close &= block[at][some, None] != block[at][None, :]
+                    near[some] = close.any(axis=1)
+                kept.append(at[near])
+        found = np.concatenate(kept)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([rows.column(c).take(pa.array(found)).combine_chunks() for c in ("bucket", "low", "high", "block", "table", "class")], names=["bucket", "low", "high", "block", "table", "class"])
+
+    return _buckets(NAMES, each)
+
+
 def _close(double: bool, threshold: float):
     """Links within buckets; rows come sorted by bucket."""
     kind = np.float64 if double else np.float32
@@ -152,56 +248,36 @@ def _close(double: bool, threshold: float):
         use = np.einsum("nd,nd->n", even[i], even[j]) / (length[i] * length[j]) >= threshold
         return i[use], j[use]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            number = lambda c: rows.column(c).to_numpy()
-            mark = np.stack([number("bucket"), number("low"), number("high")])
-            edges = np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0)) + 1
-            starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [rows.num_rows]))
-            big = np.flatnonzero(ends - starts > 1)
-            if not len(big):
-                return
-            classes, counts, table, low, high = number("class"), number("n"), number("table"), number("low"), number("high")
-            group, block, factor = number("group"), number("block"), number("factor")
-            out: list[tuple] = []
-            for a, b in zip(starts[big].tolist(), ends[big].tolist(), strict=True):
-                part = rows.slice(a, b - a)
-                vectors = part.column("vector").to_pylist()
-                for size in {len(v) for v in vectors}:  # one, but for colliding buckets
-                    at = np.array([k for k, v in enumerate(vectors) if len(v) == size]) + a
-                    if len(at) < 2:
-                        continue
-                    own = rows.take(pa.array(at))
-                    i, j = bucket(
-                        {"class": classes[at], "vector": own.column("vector").to_pylist(), "code": own.column("code").to_pylist(), "factor": factor[at],
-                         "keys": np.array(own.column("keys").to_pylist(), np.int64), "group": group[at], "block": block[at]},
-                        int(table[a]), bool(low[a] != high[a]),
-                    )
-                    if len(i):
-                        n, roots = counts[at], np.arange(len(at))
-                        add = np.bincount(i, n[j], len(at)) + np.bincount(j, n[i], len(at))
-                        unite(roots, i, j)
-                        tied = np.flatnonzero(add)
-                        out.append((classes[at][tied], add[tied].astype(np.int64), classes[at][roots[tied]]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(3)], names=["u", "links", "v"])
-
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            now = now if held is None else pa.concat_tables([held, now]).combine_chunks()
-            if not now.num_rows:
-                continue
-            mark = np.stack([now.column(c).to_numpy() for c in ("bucket", "low", "high")])
-            other = np.flatnonzero((mark != mark[:, -1:]).any(axis=0))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            yield from done(now.slice(0, cut)) if cut else ()
-            held = now.slice(cut)
-        if held is not None and held.num_rows:
-            yield from done(held)
-
-    return run
+    def each(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        spans = _spans(rows, NAMES)
+        if not spans:
+            return
+        number = lambda c: rows.column(c).to_numpy()
+        classes, counts, table, low, high = number("class"), number("n"), number("table"), number("low"), number("high")
+        group, block, factor = number("group"), number("block"), number("factor")
+        out: list[tuple] = []
+        for a, b in spans:
+            vectors = rows.slice(a, b - a).column("vector").to_pylist()
+            for size in {len(v) for v in vectors}:  # one, but for colliding buckets
+                at = np.array([k for k, v in enumerate(vectors) if len(v) == size]) + a
+                if len(at) < 2:
+                    continue
+                own = rows.take(pa.array(at))
+                i, j = bucket(
+                    {"class": classes[at], "vector": own.column("vector").to_pylist(), "code": own.column("code").to_pylist(), "factor": factor[at],
+                     "keys": np.array(own.column("keys").to_pylist(), np.int64), "group": group[at], "block": block[at]},
+                    int(table[a]), bool(low[a] != high[a]),
+                )
+                if len(i):
+                    n, roots = counts[at], np.arange(len(at))
+                    add = np.bincount(i, n[j], len(at)) + np.bincount(j, n[i], len(at))
+                    unite(roots, i, j)
+                    tied = np.flatnonzero(add)
+                    out.append((classes[at][tied], add[tied].astype(np.int64), classes[at][roots[tied]]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(3)], names=["u", "links", "v"])
+
+    return _buckets(NAMES, each)
 
 
 def near_vectors(
@@ -227,9 +303,8 @@ def near_vectors(
     light = classes.select("class", "n", F.xxhash64(F.lit("group"), "label", F.octet_length("vector")).alias("group"))
     signed = scratch.table(signed.join(light, "class"), "signed")
 
-    filed = signed.select("class", "n", "group", "keys", "code", "factor", F.posexplode("keys").alias("table", "at")).withColumn("bucket", F.xxhash64("group", "table", "at"))
+    filed = signed.select("class", "group", "code", F.posexplode("keys").alias("table", "at")).withColumn("bucket", F.xxhash64("group", "table", "at")).drop("group", "at")
     crowded = scratch.table(filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > bucket_limit), "crowded")
-    filed = filed.drop("at")
     if crowded.limit(1).count():
         filed = filed.join(small(crowded), "bucket", "left")
         blocks = F.coalesce(F.ceil(F.col("rows") / bucket_limit), F.lit(1)).cast("int")
@@ -237,13 +312,17 @@ def near_vectors(
         filed = filed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     else:
         filed = filed.withColumns({"block": F.lit(0), "low": F.lit(0), "high": F.lit(0)})
-    filed = filed.join(classes.select("class", "vector"), "class").select("bucket", "low", "high", "block", "table", "class", "n", "group", "keys", "code", "factor", "vector")
-    found = filed.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "class")
+    sort = lambda rows: rows.repartition(*NAMES).sortWithinPartitions(*NAMES, "class")
+    near = sort(filed.select(*NAMES, "block", "table", "class", "code")).mapInArrow(_near_codes(threshold), "bucket long, low int, high int, block int, table int, class long")
+    near = scratch.table(near, "near")
+    with_vectors = near.join(signed.select("class", "n", "group", "keys", "code", "factor"), "class").join(classes.select("class", "vector"), "class")
+    found = sort(with_vectors.select(*NAMES, "block", "table", "class", "n", "group", "keys", "code", "factor", "vector"))
     found = scratch.table(found.mapInArrow(_close(double, threshold), "u long, links long, v long"), "found")
     labels = components(scratch, found.select("u", "v"))
     counts = found.groupBy("u").agg(F.sum("links").alias("links"))
     of = classes.select("label", "key", "class", "first", "n").join(counts, F.col("class") == F.col("u"), "left").join(labels.withColumnRenamed("label", "tied"), F.col("class") == F.col("node"), "left")
     of = scratch.table(of.select("label", "key", "first", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("tied", "class").alias("component")), "of")
+    scratch.keep("rows", "of")
     least = of.groupBy("component").agg(F.min("first").alias("component_id"))
     of = of.join(least, "component").select("label", "key", "n_links", "component_id")
     out = rows.select("id", "label", "key").join(of, ["label", "key"], "left")
