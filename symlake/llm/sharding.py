@@ -174,6 +174,7 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
     filled = large.unionByName(rest).select("row", "shard")
     placed = spread.join(filled, "row", "left").select("row", "id", "bytes", "crc32", F.coalesce("put", "shard").alias("shard"))
     placed = scratch.table(placed.withColumn("block", F.pmod(F.xxhash64(F.lit(2), F.col("row")), F.lit(blocks))), "placed")
+    scratch.keep("placed")
     sizes = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("before"))
     slot = F.col("before") + F.row_number().over(Window.partitionBy("shard", "block").orderBy("row")) - 1
