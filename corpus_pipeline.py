@@ -1,4 +1,9 @@
-"""The corpus pipeline: toxic documents, exact and near copies go, sources are mixed, documents are packed."""
+"""The corpus pipeline: toxic documents, exact and near copies go, sources are mixed, documents are packed.
+
+Every stage takes any documents: null and empty texts are texts without words, which equal each other in the copy
+stages, stay once in the mix and pack as their end token; rows are decided by id and text, so rows that share an id or
+have none go only for their own text; columns of other names pass through; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +28,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents (Jaccard of five-word shingles at least 0.8) that with the smallest doc_id."""
+    """Of each group of linked documents that with the smallest doc_id: SimHash links, verified, and what they cannot reach of Jaccard 0.8."""
     return near_sets.drop_near_copies(docs)
 
 

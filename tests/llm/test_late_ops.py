@@ -326,3 +326,36 @@ def test_pipeline_against_its_parts(spark, db):
     run = corpus_pipeline.run(spark, DIR).toPandas()
     columns = ["doc_id", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, run[columns].values.tolist())) == sorted(map(tuple, kept["packing"][columns].values.tolist()))
+
+
+def test_stages_on_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 0), (2, 0), (9, 1)], "doc_id long, toxic int")
+    labels.write.mode("overwrite").parquet("/tmp/checkpoints/odd/labels.parquet")
+    rows = [(20, "same words in the same order for all of us here today", "en"), (None, "SAME words in the same order for all of us here today", "en"), (None, None, None)]
+    docs = odd.unionByName(spark.createDataFrame([(i, t, lang, None, "clash", "clash", 1, "clash", "clash") for i, t, lang in rows], SCHEMA))
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (docs, empty):
+            after = stage(spark, given, "/tmp/checkpoints/odd")
+            if given is empty:
+                assert after.count() == 0, name
+        if name == "packing":
+            break
+        assert after.columns == docs.columns
+        docs = spark.createDataFrame(stage(spark, docs, "/tmp/checkpoints/odd").collect(), SCHEMA)
+        ids = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+        assert len({t for _, t in ids if t}) >= 5
+        if name == "exact dedup":
+            # largest id of equal texts, one of repeated rows; null and empty texts are equal
+            assert [i for i, t in ids if not t] == [8] and [i for i, t in ids if t and t.lower().startswith("same")] == [20] and len([i for i, _ in ids if i == 1]) == 1
+    pieces = corpus_pipeline.pack_documents(spark, docs, "").collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()} and all(r.offset == 0 for r in pieces)
+
+
+def test_no_table_is_left_but_those_in_use(spark):
+    import os
+
+    before = set(os.listdir("/tmp/checkpoints"))
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    held = [line_dedup.dedup_lines(docs), sharding.shard(docs), embedding_dedup.near_vectors(spark.read.parquet(f"{DIR}/embeddings.parquet"))]
+    left = {name: sorted(os.listdir(f"/tmp/checkpoints/{name}")) for name in set(os.listdir("/tmp/checkpoints")) - before}
+    assert sorted(x for own in left.values() for x in own) == ["docs", "gone", "of", "placed", "rows"] and all(df.count() for df in held)
