@@ -81,6 +81,40 @@ def test_lines_against_brute_force(spark, min_lines, min_words):
         assert got[i] == ("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone), len(gone)), i
 
 
+def brute_runs(rows):
+    """Maximal runs per row: of each place the lines shared with the earliest place that shares the largest power of two of them."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    lines = [rows[k][1].split("\n") if rows[k][1] is not None else [] for k in range(len(rows))]
+    places = [(k, at) for k in order for at in range(len(lines[k]))]
+    found = defaultdict(dict)
+    longest = max((len(x) for x in lines), default=0)
+    for h in (1 << k for k in range(longest.bit_length())):
+        first = {}
+        for k, at in places:
+            if at + h > len(lines[k]):
+                continue
+            run = tuple(lines[k][at : at + h])
+            if run in first:
+                j, b = first[run]
+                n = next((n for n in range(len(lines[k])) if at + n >= len(lines[k]) or b + n >= len(lines[j]) or lines[k][at + n] != lines[j][b + n]), len(lines[k]))
+                found[k][at] = (n, rows[j][0], b)
+            else:
+                first[run] = (k, at)
+    return [[(at, *own[at]) for at in sorted(own) if not (at - 1 in own and own[at - 1][0] > own[at][0])] for own in (found[k] for k in range(len(rows)))]
+
+
+def test_maximal_runs_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    long = [f"line {k}" for k in range(1000)]
+    rows = [(i, "\n".join(rng.choice(list("abc"), rng.integers(0, 20)))) for i in range(15)]
+    rows += [(20, "\n".join(long)), (21, "\n".join(["new", *long, "newer"])), (22, "\n".join(long[300:700])), (None, "a\na\na\na\na"), (23, None), (24, "")]
+    df = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "doc_id long, text string")
+    got = {r["id"]: [tuple(x) for x in r["runs"] or []] for r in line_dedup.dedup_lines(df).collect()}
+    want = dict(zip([i for i, _ in rows], brute_runs(rows), strict=True))
+    assert got == want
+    assert want[21] == [(1, 1000, 20, 0)] and want[22] == [(0, 400, 20, 300)] and want[None][0][1] >= 1
+
+
 def test_lines_on_odd_rows(odd, empty):
     rows = [(r["id"], r["lines"], r["deleted"], r["text"]) for r in line_dedup.dedup_lines(odd).collect()]
     assert len(rows) == len(ODD)
