@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +17,26 @@ LOCAL_SHARED = "/tmp/checkpoints"
 #: Rows, and bytes of their strings, that a table may have to be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
+#: Bytes of a batch of rows that a task sends to Python.
+BATCH_BYTES = 4 << 20
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space of the word contracts: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """While a table is written, batches of rows for Python have BATCH_BYTES at most, however long the texts are."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(limit, before)
+
+
 class Scratch:
     """Tables written to the shared folder that the session names in spark.checkpoint.dir.
 
@@ -40,7 +56,8 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with _small_batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

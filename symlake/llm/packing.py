@@ -140,7 +140,7 @@ def _strips(own: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of a tokenizer file."""
+    """The worker's encoder of a tokenizer file; its cache is emptied when a task ends."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -174,6 +174,8 @@ def _pieces(path: str, end_id: int, longest: int):
         for batch in batches:
             for some in _slabs(batch.column(1)):
                 yield pieces(batch, some, own)
+        # workers outlive tasks, and other stages need the memory
+        own.cache.clear()
         release()
 
     def pieces(batch: pa.RecordBatch, some: list[int], own: Encoder) -> pa.RecordBatch:
