@@ -10,21 +10,21 @@ from .scan import CLOSERS, OPENERS, mask, tag_problems
 
 #: Problems shown for one snippet.
 MOST = 8
-# Words that are coloured, by language.
+# Words that are coloured, by language; any other language takes those of scripts.
+SCRIPT_KEYWORDS = "function class const let var return if else for while switch case break continue import from export default extends implements interface type enum new this async await try catch finally throw null true false undefined"
 KEYWORDS = {
-    "js": "async await break case catch class const continue default delete do else export extends finally for from function if import in instanceof let new null return static super switch this throw true false try typeof undefined var void while yield",
-    "python": "and as assert async await break class continue def del elif else except False finally for from global if import in is lambda None nonlocal not or pass raise return True try while with yield",
-    "java": "abstract boolean break case catch class const continue default do double else enum extends final finally float for if implements import instanceof int interface long new null package private protected public return static super switch this throw throws true false try void while",
-    "csharp": "abstract as async await base bool break case catch class const continue default do else enum event false finally for foreach if in int interface internal is namespace new null object out override private protected public readonly ref return sealed static string struct switch this throw true try using var virtual void while",
-    "rust": "as async await break const continue crate else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while",
-    "php": "abstract array as break case catch class const continue default do echo else elseif extends final finally fn for foreach function global if implements interface namespace new null private protected public return static switch this throw trait true false try use var while",
-    "cpp": "auto bool break case catch char class const constexpr continue default delete do double else enum explicit extern false final float for friend if inline int long namespace new nullptr operator override private protected public return short signed sizeof static struct switch template this throw true try typedef typename union unsigned using virtual void volatile while",
-    "objc": "BOOL NO YES break case const continue default do else enum extern for goto id if implementation import in int interface long nil property protocol return self static struct super switch typedef void while",
-    "css": "important inherit initial unset auto none",
-    "qml": "import property signal function id on readonly default component return var let if else for while true false null",
+    "php": "class function public private protected static return if else foreach for while extends implements interface trait const new namespace use null true false",
+    "css": "@media @supports @keyframes display position color background font grid flex padding margin",
+    "qml": "import property signal function readonly default required id anchors states transitions component onClicked onTriggered true false null",
+    "json": "true false null",
+    "python": "def class return if elif else for while import from as try except finally with lambda async await True False None",
+    "cpp": "#include class struct namespace template return if else for while switch case public private protected const static virtual using auto nullptr",
+    "java": "class interface enum record public private protected static return if else for while switch case new using import namespace throws async await null true false",
+    "csharp": "class interface enum record public private protected static return if else for while switch case new using import namespace throws async await null true false",
+    "rust": "fn struct enum trait impl pub let mut use mod crate self super match if else for while loop return async await const static",
+    "objc": "@interface @implementation @property @protocol @end @class #import #include if else for while return nil self super static extern",
 }
-KEYWORDS |= {"jsx": KEYWORDS["js"], "ts": KEYWORDS["js"] + " abstract any as boolean declare enum implements interface keyof namespace never number private protected public readonly string type unknown"}
-KEYWORDS["tsx"] = KEYWORDS["ts"]
+_SCRIPT_WORDS = frozenset(SCRIPT_KEYWORDS.split())
 _WORDS = {language: frozenset(words.split()) for language, words in KEYWORDS.items()}
 
 
@@ -74,8 +74,8 @@ def highlighted(text: str, language: str) -> str:
         pattern = re.compile(r"(?P<comment><!--.*?-->)|(?P<tag></?[A-Za-z][\w:-]*|/?>)|(?P<attr>\b[\w:-]+(?==))|(?P<string>\"[^\"]*\"|'[^']*')", re.S)
     else:
         comment = r"\#[^\n]*|//[^\n]*|/\*.*?\*/" if language == "php" else r"/\*.*?\*/" if language == "css" else r"//[^\n]*|/\*.*?\*/"
-        pattern = re.compile(rf"(?P<comment>{comment})|(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<number>\b\d[\w.]*)|(?P<word>[A-Za-z_]\w*)", re.S)
-    words, out, at = _WORDS.get(language, frozenset()), [], 0
+        pattern = re.compile(rf"(?P<comment>{comment})|(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<number>\b\d[\w.]*)|(?P<word>[@#]?[A-Za-z_]\w*)", re.S)
+    words, out, at = _WORDS.get(language, _SCRIPT_WORDS if language != "html" else frozenset()), [], 0
     for m in pattern.finditer(text):
         out.append(html.escape(text[at : m.start()], quote=False))
         kind = m.lastgroup

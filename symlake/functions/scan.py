@@ -3,51 +3,52 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from functools import lru_cache
 
 OPENERS, CLOSERS = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
 
 
+_BRACKET = re.compile(r"[()\[\]{}]")
+
+
+def blank(text: str) -> str:
+    """As many spaces, with the newlines of the text."""
+    return " " * len(text) if "\n" not in text else "\n".join(" " * len(line) for line in text.split("\n"))
+
+
+@lru_cache(32)
+def _lexis(line_comments: tuple[str, ...], block: tuple[str, str] | None, quotes: str, char_quote: bool) -> re.Pattern:
+    """Comments (group c), characters (group k) and strings (group s); what opens first wins."""
+    comments = [re.escape(c) + r"[^\n]*" for c in line_comments]
+    if block:
+        comments.append(rf"{re.escape(block[0])}(?s:.*?)(?:{re.escape(block[1])}|\Z)")
+    strings, characters = [], []
+    for q in quotes:
+        if q == "'" and char_quote:
+            characters.append(r"'(?:\\.[^']*|[^\\'])'")
+        else:
+            strings.append(rf"{q}(?:\\(?s:.)|[^\\{q}{'' if q == '`' else chr(92) + 'n'}])*(?:{q}|\\?)")
+    parts = [f"(?P<{name}>{'|'.join(some)})" for name, some in (("c", comments), ("k", characters), ("s", strings)) if some]
+    return re.compile("|".join(parts))
+
+
+def _masked(m: re.Match) -> str:
+    found = m.group()
+    if m.lastgroup == "c":
+        return blank(found)
+    inner = found[1:-1]
+    if m.lastgroup == "k" or len(found) > 1 and found[-1] == found[0] and (len(inner) - len(inner.rstrip("\\"))) % 2 == 0:
+        return found[0] + blank(inner) + found[-1]
+    return found[0] + blank(found[1:])
+
+
 def mask(text: str, line_comments: tuple[str, ...] = ("//",), block: tuple[str, str] | None = ("/*", "*/"), quotes: str = "\"'", char_quote: bool = False) -> str:
     """The text with the inside of strings and comments blanked; offsets and newlines stay.
 
     char_quote: a single quote opens only a character such as 'a' or '\\n' (so lifetimes and labels are left).
     """
-    out, at, n = list(text), 0, len(text)
-
-    def blank(a: int, b: int) -> None:
-        for k in range(a, min(b, n)):
-            if out[k] != "\n":
-                out[k] = " "
-
-    while at < n:
-        if any(text.startswith(c, at) for c in line_comments):
-            end = text.find("\n", at)
-            end = n if end < 0 else end
-            blank(at, end)
-            at = end
-        elif block and text.startswith(block[0], at):
-            end = text.find(block[1], at + len(block[0]))
-            end = n if end < 0 else end + len(block[1])
-            blank(at, end)
-            at = end
-        elif text[at] in quotes:
-            quote = text[at]
-            if quote == "'" and char_quote:
-                found = re.compile(r"'(?:\\.[^']*|[^\\'])'").match(text, at)
-                if not found:
-                    at += 1
-                    continue
-                blank(at + 1, found.end() - 1)
-                at = found.end()
-                continue
-            end = at + 1
-            while end < n and text[end] != quote and not (text[end] == "\n" and quote != "`"):
-                end += 2 if text[end] == "\\" else 1
-            blank(at + 1, end)
-            at = end + 1
-        else:
-            at += 1
-    return "".join(out)
+    return _lexis(tuple(line_comments), block, quotes, char_quote).sub(_masked, text)
 
 
 def brackets(masked: str) -> tuple[dict[int, int], bool]:
@@ -55,36 +56,50 @@ def brackets(masked: str) -> tuple[dict[int, int], bool]:
     stack: list[int] = []
     pairs: dict[int, int] = {}
     broken = False
-    for at, c in enumerate(masked):
+    for m in _BRACKET.finditer(masked):
+        at, c = m.start(), m.group()
         if c in OPENERS:
             stack.append(at)
-        elif c in CLOSERS:
-            if stack and masked[stack[-1]] == CLOSERS[c]:
-                pairs[stack.pop()] = at
-            else:
-                broken = True
-                # drop openers that a later closer skips, so that outer scopes still close
-                for k in range(len(stack) - 1, -1, -1):
-                    if masked[stack[k]] == CLOSERS[c]:
-                        pairs[stack[k]] = at
-                        del stack[k:]
-                        break
+        elif stack and masked[stack[-1]] == CLOSERS[c]:
+            pairs[stack.pop()] = at
+        else:
+            broken = True
+            # drop openers that a later closer skips, so that outer scopes still close
+            for k in range(len(stack) - 1, -1, -1):
+                if masked[stack[k]] == CLOSERS[c]:
+                    pairs[stack[k]] = at
+                    del stack[k:]
+                    break
     return pairs, broken or bool(stack)
 
 
+@lru_cache(8)
+def _breaks(text: str) -> list[int]:
+    """Where the lines of a text end, without the last; found once for all places that are looked up in it."""
+    return [m.start() for m in re.finditer("\n", text)]
+
+
 def line_of(text: str, offset: int) -> int:
-    return text.count("\n", 0, offset) + 1
+    return bisect_left(_breaks(text), offset) + 1
+
+
+def lines_between(text: str, first: int, last: int) -> str:
+    """Lines first to last (from 1), as far as there are such."""
+    breaks = _breaks(text)
+    first = max(1, first)
+    if first > len(breaks) + 1 or last < first:
+        return ""
+    return text[breaks[first - 2] + 1 if first > 1 else 0 : breaks[last - 1] if last <= len(breaks) else len(text)]
 
 
 def first_lines(text: str, limit: int = 10) -> str:
-    lines = text.split("\n")
+    lines = text.split("\n", limit)
     return "\n".join(lines[:limit]).rstrip() + "\n..." if len(lines) > limit else text.rstrip()
 
 
 def excerpt(text: str, line: int, context: int = 0, limit: int = 220) -> str:
     """The lines around a line, trimmed and cut at a length."""
-    lines = text.split("\n")[max(0, line - 1 - context) : line + context]
-    found = "\n".join(lines).strip()
+    found = lines_between(text, line - context, line + context).strip()
     return found if len(found) <= limit else found[:limit].strip() + " ..."
 
 

@@ -108,7 +108,7 @@ def normalized(path: Column) -> Column:
     return F.aggregate(parts, F.array().cast("array<string>"), step, lambda acc: F.array_join(acc, "/"))
 
 
-def diagnostics_mode(kind: Column, language: Column, snippet_kind: Column) -> Column:
-    """none for contextual snippets and for members in languages whose members do not parse alone."""
-    member = kind.isin("method", "constructor", "property", "field", "constant", "variant") & language.isin("php", "java", "csharp", "rust", "objc", "cpp")
-    return F.when(snippet_kind.isin("file_preview", "block_excerpt", "line_excerpt", "context_excerpt") | member, "none").otherwise("parse_snippet")
+def target_path(source: Column, path: Column, fallback: Column) -> Column:
+    """Where a symbol is found: the file it came from, else its own path, else the file at hand."""
+    known = lambda c: F.when(c != "", c)
+    return F.coalesce(known(source), known(path), fallback)

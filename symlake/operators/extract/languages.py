@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+from bisect import bisect_right
 from itertools import accumulate
 
 from ...functions.scan import brackets, excerpt, first_lines, line_of, mask
@@ -93,7 +94,7 @@ SWIFT = Grammar(
 
 CPP = Grammar(
     [
-        Rule("class", _R(r"(?m)^[ \t]*(?:template\s*<[^>]*>\s*)?(?:class|struct)\s+(?:\w+\s+)?(?P<name>\w+)(?=\s*(?:final\s*)?(?::[^:;{][^;{]*)?\{)")),
+        Rule("class", _R(r"(?m)^[ \t]*(?:template\s*<[^>]*>\s*)?(?:class|struct)\s+(?:\w+\s+)?(?P<name>(?!final\b)\w+)(?=\s*(?:final\s*)?(?::[^:;{][^;{]*)?\{)")),
         Rule("function", _R(r"(?m)^[ \t]*(?:template\s*<[^>]*>\s*)?(?:(?:inline|static|constexpr|virtual|explicit|extern|friend)\s+)*(?!return\b|else\b|new\b|delete\b|throw\b|case\b)[A-Za-z_][\w:<>,&*~ \t]*?[\s&*]+(?:\w+::)*(?P<name>~?\w+)\s*(?=\([^;{}]*\)\s*(?:const|noexcept|override|final|\s)*(?:->[^;{]*)?(?:\{|$))"), where="any"),
     ],
     control=_CONTROL,
@@ -111,14 +112,11 @@ def _line_stop(masked: str, at: int) -> int:
     return end if end >= 0 else len(masked)
 
 
-def _depths(masked: str, pairs: dict[int, int]) -> list[int]:
-    """How many matched braces are open at each position."""
-    change = [0] * (len(masked) + 2)
-    for a, b in pairs.items():
-        if masked[a] == "{":
-            change[a + 1] += 1
-            change[b] -= 1
-    return list(accumulate(change))
+def _nesting(masked: str, pairs: dict[int, int]):
+    """A function that says whether matched braces are open at a position."""
+    turns = sorted([(a + 1, 1) for a in pairs if masked[a] == "{"] + [(b, -1) for a, b in pairs.items() if masked[a] == "{"])
+    places, depths = [at for at, _ in turns], list(accumulate(n for _, n in turns))
+    return lambda at: (k := bisect_right(places, at)) > 0 and depths[k - 1] > 0
 
 
 def script(text: str, language: str, lenient: bool = False) -> tuple[list[Symbol], bool]:
@@ -130,8 +128,7 @@ def script(text: str, language: str, lenient: bool = False) -> tuple[list[Symbol
     pairs, broken = brackets(masked)
     react = language in ("jsx", "tsx")
     depth_free = lenient or language in ("script", "jsx")
-    depth = _depths(masked, pairs)
-    nested = lambda at: depth[at] > 0
+    nested = _nesting(masked, pairs)
     head = r"(?m)^[ \t]*(?:export\s+)?(?:default\s+)?"
     rules = [
         ("function", _R(head + r"(?:async\s+)?function\s*\*?\s+(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\s*(?=\()")),
@@ -177,14 +174,14 @@ def script(text: str, language: str, lenient: bool = False) -> tuple[list[Symbol
 def _direct(masked: str, pairs: dict[int, int], body: tuple[int, int]) -> str:
     """The text of a block with all inner blocks blanked."""
     out, at = [], body[0]
-    while at < body[1]:
-        if masked[at] == "{" and at in pairs and pairs[at] <= body[1]:
-            out.append("{" + " " * (pairs[at] - at - 1) + "}")
-            at = pairs[at] + 1
+    while (opened := masked.find("{", at, body[1])) >= 0:
+        if opened in pairs and pairs[opened] <= body[1]:
+            out += [masked[at : opened + 1], " " * (pairs[opened] - opened - 1), "}"]
+            at = pairs[opened] + 1
         else:
-            out.append(masked[at])
-            at += 1
-    return "".join(out)
+            out.append(masked[at : opened + 1])
+            at = opened + 1
+    return "".join([*out, masked[at : body[1]]])
 
 
 def _member(text: str, masked: str, pairs: dict[int, int], base: int, m: re.Match, kind: str) -> Symbol:
@@ -300,7 +297,7 @@ def css(text: str) -> list[Symbol]:
     for m in re.finditer(r"\.(-?[A-Za-z_][\w-]*)(?=[^{}]*\{)|(--[A-Za-z_][\w-]*)(?=\s*:)", masked):
         name = m.group(1) or m.group(2)
         line = masked.rfind("\n", 0, m.start()) + 1
-        head = text[line:].split("\n", 1)[0].strip()
+        head = text[line : _line_stop(text, line)].strip()
         out.append(Symbol("class" if m.group(1) else "custom-property", name, m.start(), m.end(), line_of(text, m.start()), head[:100]))
     return out
 
@@ -334,6 +331,22 @@ def qml(text: str) -> list[Symbol]:
     return [one]
 
 
+def csharp_variables(text: str) -> list[Symbol]:
+    """Variables that a line begins to declare, for text that is broken."""
+    masked = mask(text)
+    return [Symbol("variable", m.group(1), m.start(), m.end(), (line := line_of(text, m.start(1))), excerpt(text, line, 1)) for m in re.finditer(r"(?m)^[ \t]*var\s+([A-Za-z_]\w*)\s*=", masked)]
+
+
+def anchored(snippet: str, name: str) -> str:
+    """A partial construct from its own declaration on: what is left of the one before it goes."""
+    lines = snippet.split("\n")
+    while lines and lines[0].strip() in ("", "}", "};", "*/"):
+        lines.pop(0)
+    starts = tuple(f"{word} {name}" for word in ("function", "async function", "class", "const", "let", "var"))
+    at = next((k for k, line in enumerate(lines) if name and line.strip().startswith(starts)), 0)
+    return "\n".join(lines[at:]).strip()
+
+
 def json_symbols(path: str, text: str) -> list[Symbol]:
     """Scripts of package.json, routes of OpenAPI documents."""
     name = path.rsplit("/", 1)[-1]

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ...functions.scan import signature
+from ...functions.text import byte_size
 from ...schemas import ANALYSIS
+from ...sources.tree import MAX_FILE_BYTES
 from ..merge import merge_symbols
 from . import languages as L
 from . import side
@@ -38,12 +40,16 @@ def parse(path: str, text: str, language: str) -> tuple[list[Symbol], str, bool]
     if language in ("ts", "tsx"):
         symbols, broken = L.script(text, language)
         if broken:
-            return merge_symbols(symbols, L.script(text, language, lenient=True)[0]), "recovered", True
+            found = merge_symbols(symbols, L.script(text, language, lenient=True)[0])
+            for s in found:
+                s.snippet = L.anchored(s.snippet, s.name)
+            return found, "recovered", True
         return symbols, "ast", False
     if language in GRAMMARS:
         symbols, broken = outline(text, GRAMMARS[language])
         if broken and language != "swift":
-            return merge_symbols(symbols, outline(text, GRAMMARS[language], lenient=True)[0]), "recovered", True
+            lenient = outline(text, GRAMMARS[language], lenient=True)[0]
+            return merge_symbols(symbols, lenient + (L.csharp_variables(text) if language == "csharp" else [])), "recovered", True
         return symbols, "ast", broken
     if language in ("script", "jsx"):
         return L.script(text, language)[0], "heuristic", False
@@ -72,7 +78,7 @@ def _rows(symbols: list[Symbol], language: str, mode: str, confidence: str) -> l
             line_only = language == "css"
             out.append(
                 {"sym_id": number, "parent_id": parent, "depth": depth, "ord": n, "kind": s.kind, "name": s.name, "line": s.line, "detail": s.detail, "snippet": s.snippet,
-                 "snippet_kind": "line_excerpt" if line_only else "exact_construct" if s.snippet else "file_preview", "diagnostics_mode": "none" if member or line_only or not s.snippet else "parse_snippet",
+                 "snippet_kind": "line_excerpt" if line_only else "exact_construct" if s.snippet else "file_preview", "diagnostics_mode": "none" if member or line_only or not s.snippet or (mode == "recovered" and language in ("ts", "tsx")) else "parse_snippet",
                  "source_mode": s.source_mode or mode, "confidence": confidence, "parameters": parameters, "returns": returns, "calls": s.calls}
             )
             add(s.members, number, depth + 1)
@@ -85,7 +91,9 @@ def analyse(file_id: str, path: str, text: str | None, language: str, gate: str
     """The analysis document of a file. A null text is an unreadable file; a parser's failure is a notice, not an error."""
     empty = {"file_id": file_id, "path": path, "language": language, "source_mode": "heuristic", "confidence": "low", "has_ast_errors": False, "partial": False, "symbols": [], "dependencies": [], "routes": [], "notices": [], "package": None}
     if text is None or gate != "ok":
+        gate, _, sizes = gate.partition(" ")
         severity, message = GATE_NOTICES[gate if gate != "ok" else "unreadable"]
+        message += f" ({sizes})" if sizes else ""
         return empty | {"partial": True, "summary": message, "notices": [{"severity": severity, "message": message}]}
     text = text.replace("\r\n", "\n")
     try:
@@ -113,4 +121,7 @@ def extract(files: DataFrame) -> DataFrame:
     """Analyses (schemas.ANALYSIS) of files with file_id, path, text, language and perhaps gate; a row in, a row out, no shuffle."""
     gate = F.coalesce("gate", F.lit("ok")) if "gate" in files.columns else F.lit("ok")
     text = F.when(gate == "ok", F.col("text"))
-    return files.select("file_id", "path", text, F.coalesce("language", F.lit("script")), gate).mapInArrow(_analyse, ANALYSIS)
+    if "length" in files.columns:  # the notice of an oversized file tells its size
+        sizes = F.concat(F.lit("oversized "), byte_size(F.col("length")), F.lit(", limit "), byte_size(F.lit(MAX_FILE_BYTES)))
+        gate = F.when(gate == "oversized", sizes).otherwise(gate)
+    return files.select("file_id", "path", text.alias("text"), F.coalesce("language", F.lit("script")).alias("language"), gate.alias("gate")).mapInArrow(_analyse, ANALYSIS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schemas import CALLABLE_KINDS, SCRIPT_LANGUAGES
+from .merge import with_notice
 
 # Which kinds a name resolves to first.
 PRIORITY = (
@@ -16,6 +17,12 @@ PRIORITY = (
     ("variable",),
     ("property",),
 )
+# Languages besides scripts whose snippets are searched for calls.
+SNIPPET_LANGUAGES = ("swift", "php", "python", "java", "csharp", "rust")
+# What is said of a file with more relations than were looked at.
+CUT_IMPORTED = "Relationship graph truncated after scanning many imported files."
+CUT_INCOMING = "Incoming relationship scan stopped after reaching the file analysis limit."
+CUT_SUFFIX = "Relationship graph partial."
 # Imported and importing files looked at for one file, where the caps are wanted.
 MAX_IMPORTED, MAX_INCOMING = 24, 48
 
@@ -54,12 +61,18 @@ def same_file_calls(symbols: DataFrame, calls: DataFrame | None = None) -> DataF
     return calls.join(name_targets(symbols), ["file_id", "name"]).where("owner_id <> target_id").select("file_id", "owner_id", "target_id").distinct()
 
 
-def snippet_calls(symbols: DataFrame, any_kind: bool = False) -> DataFrame:
-    """Call names in snippets; owners are callables, or any kind in script languages."""
+def snippet_calls(symbols: DataFrame) -> DataFrame:
+    """file_id, owner_id, name: call names in snippets; owners are callables, in script languages symbols of any kind."""
     from ..functions.text import call_names
 
-    owners = symbols if any_kind else symbols.where(can_own_calls(F.col("kind")))
-    return owners.select("file_id", F.col("sym_id").alias("owner_id"), F.explode(call_names(F.col("snippet"))).alias("name"))
+    owns = F.col("language").isin(*SCRIPT_LANGUAGES) | (can_own_calls(F.col("kind")) & F.col("language").isin(*SNIPPET_LANGUAGES))
+    return symbols.where(owns).select("file_id", F.col("sym_id").alias("owner_id"), F.explode(call_names(F.col("snippet"))).alias("name"))
+
+
+def relations(symbols: DataFrame) -> DataFrame:
+    """file_id, owner_id, target_id: calls by extracted names and by names in snippets, each once."""
+    named = symbols.where(can_own_calls(F.col("kind"))).select("file_id", F.col("sym_id").alias("owner_id"), F.explode("calls").alias("name"))
+    return same_file_calls(symbols, named.unionByName(snippet_calls(symbols)).distinct())
 
 
 def with_reverse(edges: DataFrame) -> DataFrame:
@@ -69,15 +82,6 @@ def with_reverse(edges: DataFrame) -> DataFrame:
     return calls.unionByName(back)
 
 
-def dedupe_relations(relations: DataFrame, key: list[str]) -> DataFrame:
-    """Of relations of one owner with the same kind and name, those within a line of an earlier one go."""
-    order = Window.partitionBy(*key, "kind", "name").orderBy("line")
-    apart = F.col("line") - F.lag("line").over(order)
-    group = F.sum(F.when(apart.isNull() | (apart > 1), 1).otherwise(0)).over(order)
-    first = Window.partitionBy(*key, "kind", "name", "__g").orderBy("line")
-    return relations.withColumn("__g", group).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__g", "__n")
-
-
 def cross_file_calls(symbols: DataFrame, dependencies: DataFrame, max_imported: int | None = None) -> DataFrame:
     """file_id, owner_id, target_file_id, target_id, name: calls of names that an imported file has.
 
@@ -114,10 +118,39 @@ def incoming_calls(edges: DataFrame, max_incoming: int | None = None) -> DataFra
 
 def worth_incoming(symbols: DataFrame) -> DataFrame:
     """Files with a callable, a type or a module: the only ones whose callers are looked for."""
-    return symbols.where(kind_priority(F.col("kind")) <= 2).select("file_id").distinct()
+    kinds = [k for some in PRIORITY[:3] for k in some]
+    return symbols.where(F.col("kind").isin(*kinds)).select("file_id").distinct()
 
 
-def rebuild(symbols: DataFrame) -> DataFrame:
-    """file_id, sym_id, path of names from the top: the tree of symbols again, level by level of the stored depth."""
-    parent = symbols.select("file_id", F.col("sym_id").alias("parent_id"), F.col("name").alias("parent_name"))
-    return symbols.join(parent, ["file_id", "parent_id"], "left").select("file_id", "sym_id", "depth", F.concat_ws(".", "parent_name", "name").alias("path"))
+def noticed(analyses: DataFrame, dependencies: DataFrame, edges: DataFrame, max_imported: int | None, max_incoming: int | None) -> DataFrame:
+    """The analyses, with a notice and a summary that says so where a cap has cut imported or calling files.
+
+    edges: cross-file calls before max_incoming is applied.
+    """
+    over = lambda rows, file, other, most: rows.select(F.col(file).alias("file_id"), F.col(other).alias("other")).distinct().groupBy("file_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
+    cuts = []
+    if max_imported is not None:
+        linked = dependencies.where("target_file_id IS NOT NULL AND target_file_id <> file_id")
+        cuts.append((CUT_IMPORTED, over(linked, "file_id", "ord", max_imported)))
+    if max_incoming is not None:
+        cuts.append((CUT_INCOMING, over(edges, "target_file_id", "file_id", max_incoming)))
+    out = analyses
+    for message, files in cuts:
+        cut = F.col("__n").isNotNull()
+        suffixed = F.when(F.col("summary").endswith(CUT_SUFFIX), F.col("summary")).otherwise(F.concat_ws(" ", "summary", F.lit(CUT_SUFFIX)))
+        out = out.join(files, "file_id", "left").withColumns(
+            {"notices": F.when(cut, with_notice(F.col("notices"), "warning", message)).otherwise(F.col("notices")), "partial": F.col("partial") | cut, "summary": F.when(cut, suffixed).otherwise(F.col("summary"))}
+        ).drop("__n")
+    return out.select(*analyses.columns)
+
+
+def paths_of_names(symbols: DataFrame) -> DataFrame:
+    """file_id, sym_id, depth, path: names from the top down to each symbol, joined one level of the tree after another."""
+    levels = symbols.agg(F.max("depth")).first()[0] or 0
+    known = symbols.where("depth = 0").select("file_id", "sym_id", "depth", F.col("name").alias("path"))
+    out = known
+    for level in range(1, levels + 1):
+        above = known.select("file_id", F.col("sym_id").alias("parent_id"), F.col("path").alias("above"))
+        known = symbols.where(F.col("depth") == level).join(above, ["file_id", "parent_id"]).select("file_id", "sym_id", "depth", F.concat_ws(".", "above", "name").alias("path"))
+        out = out.unionByName(known)
+    return out

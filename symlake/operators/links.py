@@ -5,22 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalized
+from ..functions.text import normalized, rust_label
+from ..sources.tree import name_of
+from .merge import provenance
 
 # What is tried, in order, for a relative target of an import.
 CANDIDATES = ("", ".js", ".json", ".ts", ".tsx", ".py", ".php", ".java", ".cs", ".cpp", ".hpp", "/index.js", "/index.ts", "/index.tsx", "/__init__.py")
+# The same for imports that a parser of scripts finds.
+SHORT_CANDIDATES = ("", ".js", ".json", ".ts", ".tsx", "/index.js", "/index.ts")
+# Where the file of a Rust module may be, in order.
+MODULE_CANDIDATES = (".rs", "/mod.rs")
+# Languages whose imports name no files.
+NAMED_ONLY = ("python", "java", "csharp")
 # Related files by (pattern of the own name, candidate relative to the own directory, type); {b} is the
 # name without its last suffix, {d} the directory's name, {t} the name without .test or .spec.
 RELATED = (
-    [(r"\.(test|spec)\.", "../{t}", "implementation")]
-    + [(r"^(?!.*\.(test|spec)\.)", f"{d}tests/{{b}}{x}", "test") for d, xs in (("", (".test.js", ".spec.js", ".test.ts", ".spec.ts")), ("../", (".test.js", ".spec.js"))) for x in xs]
-    + [(r"^index\.(js|ts)$", "package.json", "package"), (r"^index\.(js|ts)$", "public_html/index.html", "frontend")]
-    + [(r"\.(cpp|cc|cxx)$", "{b}" + x, "header") for x in (".h", ".hpp")]
-    + [(r"\.(h|hpp|hh|hxx)$", "{b}" + x, "implementation") for x in (".cpp", ".cc", ".cxx")]
-    + [(r"\.py$", x, "test") for x in ("test_{b}.py", "{b}_test.py", "tests/test_{b}.py")]
-    + [(r"\.cs$", "{d}.csproj", "project"), (r"\.mm?$", "{b}.h", "header")]
-    + [(r"\.rs$", "mod.rs", "module"), (r"\.rs$", "lib.rs", "crate"), (r"\.rs$", "main.rs", "entrypoint")]
-    + [(r"^package\.json$", x, "entrypoint") for x in ("index.js", "index.ts")]
+    (r"\.(test|spec)\.", "../{t}", "implementation"),
+    (r"^(?!.*\.(test|spec)\.)", "tests/{b}.test.js", "test"),
+    (r"^(?!.*\.(test|spec)\.)", "tests/{b}.spec.js", "test"),
+    (r"^(?!.*\.(test|spec)\.)", "tests/{b}.test.ts", "test"),
+    (r"^(?!.*\.(test|spec)\.)", "tests/{b}.spec.ts", "test"),
+    (r"^(?!.*\.(test|spec)\.)", "../tests/{b}.test.js", "test"),
+    (r"^(?!.*\.(test|spec)\.)", "../tests/{b}.spec.js", "test"),
+    (r"^index\.(js|ts)$", "package.json", "package"),
+    (r"^index\.(js|ts)$", "public_html/index.html", "frontend"),
+    (r"\.(cpp|cc|cxx)$", "{b}.h", "header"),
+    (r"\.(cpp|cc|cxx)$", "{b}.hpp", "header"),
+    (r"\.(h|hpp|hh|hxx)$", "{b}.cpp", "implementation"),
+    (r"\.(h|hpp|hh|hxx)$", "{b}.cc", "implementation"),
+    (r"\.(h|hpp|hh|hxx)$", "{b}.cxx", "implementation"),
+    (r"\.py$", "test_{b}.py", "test"),
+    (r"\.py$", "{b}_test.py", "test"),
+    (r"\.py$", "tests/test_{b}.py", "test"),
+    (r"\.cs$", "{d}.csproj", "project"),
+    (r"\.mm?$", "{b}.h", "header"),
+    (r"\.rs$", "mod.rs", "module"),
+    (r"\.rs$", "lib.rs", "crate"),
+    (r"\.rs$", "main.rs", "entrypoint"),
+    (r"^package\.json$", "index.js", "entrypoint"),
+    (r"^package\.json$", "index.ts", "entrypoint"),
 )
 
 
@@ -29,23 +52,31 @@ def joined(directory: Column, target: Column) -> Column:
 
 
 def dependency_rows(analyses: DataFrame) -> DataFrame:
-    """file_id, path, and the fields of each dependency."""
-    return analyses.select("file_id", "path", "language", F.explode("dependencies").alias("d")).select("file_id", "path", "language", "d.*")
+    """file_id, path, language, the fields of each dependency, and where it comes from (source_mode, confidence)."""
+    origin = ["file_id", "path", "language", "source_mode", provenance(F.col("source_mode"), F.col("has_ast_errors")).alias("confidence")]
+    return analyses.select(*origin, F.explode("dependencies").alias("d")).select("file_id", "path", "language", "d.*", "source_mode", "confidence")
 
 
 def resolve(dependencies: DataFrame, files: DataFrame, candidates: tuple[str, ...] = CANDIDATES) -> DataFrame:
-    """Adds target_file_id and exists: the first candidate of a relative target that is a file of the root.
+    """Adds target_file_id, target_path, exists and label: the first candidate of a target that is a file of the root.
 
-    dependencies: root, file_id, dir, ord, target and more; files: root, rel_path, file_id. Targets that are not
-    relative resolve to nothing here. A join per candidate position is one join on the exploded candidates.
+    dependencies: root, file_id, dir, language, ord, type, target and more; files: root, rel_path, file_id. Scripts try
+    the candidates of relative targets; includes are looked for relative to the own directory, and Rust modules as files
+    beside it. Imports of modules and packages name no file and count as existing; so do includes without a directory.
+    A join per candidate position is one join on the exploded candidates.
     """
-    relative = F.col("target").rlike(r"^\.{0,2}/")
-    tried = dependencies.where(relative).select("root", "file_id", "ord", F.posexplode(F.array(*[F.concat("target", F.lit(c)) for c in candidates])).alias("pos", "candidate"), "dir")
+    target, language = F.col("target"), F.col("language")
+    include, module = language.isin("cpp", "objc"), (language == "rust") & (F.col("type") == "module")
+    several = lambda ends: F.array(*[F.concat(target, F.lit(c)) for c in ends])
+    tries = F.when(include, F.array(target)).when(module, several(MODULE_CANDIDATES)).when(~language.isin("rust", *NAMED_ONLY) & target.rlike(r"^\.{0,2}/"), several(candidates))
+    tried = dependencies.select("root", "file_id", "ord", F.posexplode(tries).alias("pos", "candidate"), "dir")
     tried = tried.withColumn("rel_path", joined(F.col("dir"), F.col("candidate"))).where("rel_path IS NOT NULL")
     known = files.select("root", "rel_path", F.col("file_id").alias("target_file_id"))
     first = tried.join(known, ["root", "rel_path"]).groupBy("file_id", "ord").agg(F.min_by(F.struct("target_file_id", "rel_path"), "pos").alias("t"))
     out = dependencies.join(first, ["file_id", "ord"], "left")
-    return out.select(*dependencies.columns, F.col("t.target_file_id").alias("target_file_id"), F.col("t.rel_path").alias("target_path"), F.col("t").isNotNull().alias("exists"))
+    exists = F.col("t").isNotNull() | language.isin(*NAMED_ONLY) | ((language == "rust") & ~module) | (include & ~target.contains("/"))
+    label = F.when((language == "rust") & ~module, rust_label(target)).when(F.col("t").isNotNull() & ~include, name_of(F.col("t.rel_path"))).otherwise(target)
+    return out.select(*dependencies.columns, F.col("t.target_file_id").alias("target_file_id"), F.col("t.rel_path").alias("target_path"), exists.alias("exists"), label.alias("label"))
 
 
 def related(files: DataFrame) -> DataFrame:

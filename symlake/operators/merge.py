@@ -1,4 +1,8 @@
-"""Merging of parser and heuristic results, of flat lists and of notices."""
+"""Merging of parser and heuristic results, of flat lists, of relations and of notices.
+
+Several merges here depend on the order of a list and on what was kept of it before. They fold the sorted array of
+those rows that can meet at all (of one owner, or file, with one kind and name) with built-in higher-order functions.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,18 @@ def compatible_snippets(a: str, b: str) -> bool:
     return not a or not b or a in b or b in a
 
 
+def compatible(a: Column, b: Column) -> Column:
+    """compatible_snippets of two columns; null counts as blank."""
+    a, b = (F.trim(F.coalesce(x, F.lit(""))) for x in (a, b))
+    return (a == "") | (b == "") | F.contains(a, b) | F.contains(b, a)
+
+
+def close(a: Column, b: Column) -> Column:
+    """same_symbol of two structs with line and snippet and the same kind and name."""
+    known, apart = (a["line"] > 0) & (b["line"] > 0), F.abs(a["line"] - b["line"])
+    return (known & (apart <= 1)) | ((~known | (apart <= 3)) & compatible(a["snippet"], b["snippet"]))
+
+
 def same_symbol(a, b) -> bool:
     """Same kind and name, at lines that differ by at most 1, or by 2 or 3 (or unknown) with compatible snippets."""
     if (a.kind, a.name) != (b.kind, b.name):
@@ -33,7 +49,7 @@ def merge_symbols(primary: list, secondary: list) -> list:
                 other.source_mode = other.source_mode or "heuristic"
                 out.append(other)
             continue
-        match.detail, match.snippet = match.detail or other.detail, match.snippet or other.snippet
+        match.detail, match.snippet, match.line = match.detail or other.detail, match.snippet or other.snippet, match.line or other.line
         match.calls = list(dict.fromkeys([*match.calls, *other.calls]))
         match.members = merge_symbols(match.members, other.members)
     return out
@@ -47,37 +63,64 @@ def merge_flat(primary: DataFrame, secondary: DataFrame, key: list[str], order:
 
 
 def merge_symbol_tables(primary: DataFrame, secondary: DataFrame, scope: list[str], values: list[str]) -> DataFrame:
-    """Symbol tables (scope, kind, name, line, snippet, ord and values) merged by same_symbol as a band join.
+    """Symbol tables (scope, kind, name, line, snippet, ord and string columns values) merged by same_symbol.
+
+    The secondary rows are taken in order. Each fills the blank values, snippet and unknown line of the first row of the
+    list so far that is the same symbol, be it a primary row or one added before; without one it is added itself.
+    """
+    key, own = [*scope, "kind", "name"], list(dict.fromkeys(["line", "snippet", "ord", *values]))
+    rows = primary.select(*key, *own, F.lit(0).alias("__side")).unionByName(secondary.select(*key, *own, F.lit(1).alias("__side")))
+    lists = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__side", "ord", *[c for c in own if c != "ord"]))).alias("rows"))
+    blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
 
-    Each secondary row takes the nearest compatible primary row (the first in order of ties); matched rows fill the
-    primary's blank values, the others are added after it.
+    def fill(old: Column, new: Column) -> Column:
+        out = old
+        for c in dict.fromkeys(["snippet", *values]):
+            out = out.withField(c, F.when(blank(old[c]), new[c]).otherwise(old[c]))
+        return out.withField("line", F.when(old["line"] <= 0, new["line"]).otherwise(old["line"]))
+
+    def step(merged: Column, new: Column) -> Column:
+        place = F.array_position(F.transform(merged, lambda old: close(old, new)), True)
+        filled = F.transform(merged, lambda old, k: F.when(k == place - 1, fill(old, new)).otherwise(old))
+        return F.when(place > 0, filled).otherwise(F.concat(merged, F.array(new)))
+
+    first = F.filter("rows", lambda r: r["__side"] == 0)
+    merged = F.aggregate(F.filter("rows", lambda r: r["__side"] == 1), first, step)
+    return lists.select(*key, F.explode(merged).alias("r")).select(*key, *[F.col(f"r.{c}").alias(c) for c in own])
+
+
+def dedupe_relations(relations: DataFrame, key: list[str]) -> DataFrame:
+    """Of an owner's relations (kind, name, line, snippet, ord) those that repeat one kept before them go.
+
+    A relation repeats another of the same kind and name if both lines are known and at most 1 apart, or if the
+    snippets are compatible. What was dropped is compared with nothing.
     """
-    left = primary.select(*[F.col(c).alias(f"p_{c}") for c in dict.fromkeys([*scope, "kind", "name", "line", "snippet", "ord", *values])])
-    apart = F.abs(F.col("p_line") - F.col("line"))
-    known = (F.col("p_line") > 0) & (F.col("line") > 0)
-    alike = (F.trim("p_snippet") == "") | (F.trim("snippet") == "") | F.contains(F.trim("p_snippet"), F.trim("snippet")) | F.contains(F.trim("snippet"), F.trim("p_snippet"))
-    keys = [F.col(f"p_{c}") == F.col(c) for c in (*scope, "kind", "name")]
-    fits = (known & (apart <= 1)) | ((~known | (apart <= 3)) & alike)
-    pairs = secondary.join(left, [*keys, fits], "left")
-    best = Window.partitionBy(*scope, "kind", "name", "line", "ord").orderBy(apart.asc_nulls_last(), "p_ord")
-    pairs = pairs.withColumn("__n", F.row_number().over(best)).where("__n = 1")
-    filled = pairs.where("p_ord IS NOT NULL").groupBy(*[F.col(f"p_{c}").alias(c) for c in scope], F.col("p_ord").alias("ord")).agg(*[F.min_by(c, "ord").alias(f"s_{c}") for c in values])
-    merged = primary.join(filled, [*scope, "ord"], "left").select(*[c for c in primary.columns if c not in values], *[F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"s_{c}"), F.lit("")).alias(c) for c in values])
-    return merged.unionByName(pairs.where("p_ord IS NULL").select(*merged.columns))
+    group = [*key, "kind", "name"]
+    rest = [c for c in relations.columns if c not in (*group, "ord")]
+    lists = relations.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("ord", *rest))).alias("rows"))
+
+    def repeats(kept: Column, new: Column) -> Column:
+        near = (kept["line"] > 0) & (new["line"] > 0) & (F.abs(kept["line"] - new["line"]) <= 1)
+        return near | compatible(kept["snippet"], new["snippet"])
+
+    none = F.slice("rows", 1, 0)
+    kept = F.aggregate("rows", none, lambda kept, new: F.when(F.exists(kept, lambda old: repeats(old, new)), kept).otherwise(F.concat(kept, F.array(new))))
+    return lists.select(*group, F.explode(kept).alias("r")).select(*[F.col(c) if c in group else F.col(f"r.{c}").alias(c) for c in relations.columns])
 
 
 def canonical(relations: DataFrame, symbols: DataFrame, scope: list[str]) -> DataFrame:
-    """Relations (scope, owner_id, kind, name, line and more) with target_id: the surviving top-level symbol they mean.
+    """Relations (scope, owner_id, kind, name, line, snippet, ord) as the surviving top-level symbols they mean, with target_id.
 
-    That is the one of the same kind and name whose line is nearest, the first of ties; relations without one keep a
-    null, and of relations of an owner that mean the same symbol one stays.
+    That is the first symbol in order of the same kind and name that same_symbol allows, and its line and snippet
+    stand for the relation's; a relation without one stays as it is, with a null. What then repeats goes.
     """
-    top = symbols.where("depth = 0").select(*[F.col(c).alias(f"t_{c}") for c in (*scope, "kind", "name", "line", "sym_id")])
-    keys = [F.col(f"t_{c}") == F.col(c) for c in (*scope, "kind", "name")]
-    pairs = relations.join(top, keys, "left").groupBy(*relations.columns).agg(F.min(F.struct(F.abs(F.col("t_line") - F.col("line")), "t_sym_id")).alias("best"))
-    meant = pairs.withColumn("target_id", F.col("best.t_sym_id")).drop("best")
-    first = Window.partitionBy(*scope, "owner_id", F.coalesce(F.col("target_id").cast("string"), F.concat_ws("|", "kind", "name", "line"))).orderBy("line")
-    return meant.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    top = symbols.where("depth = 0").select(*scope, "kind", "name", F.struct(F.col("sym_id"), F.col("line"), F.col("snippet")).alias("t"))
+    lists = top.groupBy(*scope, "kind", "name").agg(F.array_sort(F.collect_list("t")).alias("__symbols"))
+    meant = F.get(F.filter(F.coalesce("__symbols", F.array().cast(lists.schema["__symbols"].dataType)), lambda t: close(t, F.struct(F.col("line"), F.col("snippet")))), F.lit(0))
+    rows = relations.join(lists, [*scope, "kind", "name"], "left").withColumn("__t", meant)
+    found = F.col("__t").isNotNull()
+    rows = rows.select(*[c for c in relations.columns if c not in ("line", "snippet")], F.when(found, F.col("__t.line")).otherwise(F.col("line")).alias("line"), F.when(found, F.col("__t.snippet")).otherwise(F.col("snippet")).alias("snippet"), F.col("__t.sym_id").alias("target_id"))
+    return dedupe_relations(rows, [*scope, "owner_id"])
 
 
 def provenance(mode: Column, errors: Column) -> Column:

@@ -77,15 +77,21 @@ def class_usage(pages: DataFrame, styles: DataFrame, links: DataFrame) -> DataFr
     return used.join(available, ["root", "file_id", "class"], "left").select("root", "file_id", "class", F.when(F.col("src_path").isNotNull(), "matched").otherwise("missing").alias("role"), "src_path")
 
 
-def style_consumers(links: DataFrame, usage_pages: DataFrame, styles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages of the same directory that link a style, and the classes they use of it (matched, missing).
+def style_consumers(links: DataFrame, pages: DataFrame, styles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages of a style's own directory that link it, and the classes they use of it or miss in it.
 
-    Returns (root, file_id of the style, page_id) and (root, file_id, class, role).
+    Returns (root, file_id of the style, page_id, page) and (root, file_id, class, role, page, rule): page is the
+    first by name that uses the class, rule the line of the style that has it (null if it is missing).
     """
+    place = pages.select(F.col("file_id").alias("page_id"), F.col("dir").alias("page_dir"), F.col("name").alias("page"))
+    own = styles.select(F.col("file_id"), F.col("dir").alias("style_dir"))
     consumers = links.where("type = 'stylesheet' AND exists").select("root", F.col("target_file_id").alias("file_id"), F.col("file_id").alias("page_id")).distinct()
-    used = consumers.join(usage_pages.select(F.col("file_id").alias("page_id"), F.explode(html_classes(F.col("text"))).alias("class")), "page_id").select("root", "file_id", "class").distinct()
-    defined = styles.select("root", "file_id", F.explode(css_classes(F.col("text"))).alias("class"), F.lit(True).alias("has"))
-    roles = used.join(defined, ["root", "file_id", "class"], "left").select("root", "file_id", "class", F.when(F.col("has"), "matched").otherwise("missing").alias("role"))
+    consumers = consumers.join(place, "page_id").join(own, "file_id").where("page_dir = style_dir").select("root", "file_id", "page_id", "page")
+    classes = pages.select(F.col("file_id").alias("page_id"), F.explode(html_classes(F.col("text"))).alias("class"))
+    used = consumers.join(classes, "page_id").groupBy("root", "file_id", "class").agg(F.min_by("page", F.struct(F.lower("page"), "page")).alias("page"))
+    text = F.col("text")
+    defined = styles.select("root", "file_id", F.explode(css_classes(text)).alias("class"), text).select("root", "file_id", "class", rule_line(text, F.col("class")).alias("rule"))
+    roles = used.join(defined, ["root", "file_id", "class"], "left").select("root", "file_id", "class", F.when(F.col("rule").isNotNull(), "matched").otherwise("missing").alias("role"), "page", "rule")
     return consumers, roles
 
 

@@ -11,6 +11,7 @@ from ..functions.scan import tag_problems
 from ..operators import graph, links, summary, web
 from ..operators.extract import extract
 from ..sources import tree
+from .shared import Shared
 
 
 @dataclass
@@ -21,8 +22,10 @@ class Project:
     analyses: DataFrame
     symbols: DataFrame
     calls: DataFrame
+    relations: DataFrame
     dependencies: DataFrame
     cross_calls: DataFrame
+    incoming_calls: DataFrame
     related: DataFrame
     packages: DataFrame
     quick_links: DataFrame
@@ -38,39 +41,47 @@ class Project:
             table.createOrReplaceTempView(prefix + name)
 
 
-def project(files: DataFrame, max_imported: int | None = None, max_side_bytes: int = tree.MAX_SIDE_BYTES, persist: bool = False) -> Project:
+def project(files: DataFrame, max_imported: int | None = None, max_incoming: int | None = None, max_side_bytes: int = tree.MAX_SIDE_BYTES, shared: Shared | None = None, listing: DataFrame | None = None) -> Project:
     """Tables of files with root, rel_path, path, length, text, gate, file_id and the classified columns.
 
-    Web joins read HTML and CSS up to max_side_bytes. Cross-file relations have no cap unless one is given. With
-    persist, files are parsed once for all tables (memory, then disk) instead of once for each use.
+    Web joins read HTML and CSS up to max_side_bytes. Cross-file relations have no cap unless one is given; files that a
+    cap cuts get a notice. With a shared folder files are parsed once, into a table there, instead of once for each use. Files of the listing whose text got lost on the way are unreadable.
     """
     analyses = extract(files)
-    if persist:
-        analyses = analyses.persist()
+    if shared is not None:
+        analyses = shared.table(analyses, "analyses")
+    if listing is not None:
+        lost = listing.join(analyses.select("file_id"), "file_id", "left_anti").withColumns({"text": F.lit(None).cast("string"), "gate": F.lit("unreadable")})
+        analyses = analyses.unionByName(extract(lost))
     symbols = graph.symbols(analyses)
-    named = graph.same_file_calls(symbols)
+    calls = graph.relations(symbols)
     place = files.select("file_id", "root", "dir")
     deps = links.resolve(links.dependency_rows(analyses).join(place, "file_id"), files)
+    cross = graph.cross_file_calls(symbols, deps, max_imported)
+    worth = graph.worth_incoming(symbols).select(F.col("file_id").alias("target_file_id"))
+    incoming = cross.join(worth, "target_file_id", "left_semi")
     side = files.where((F.col("length") <= max_side_bytes) & F.col("text").isNotNull())
     pages, styles = side.where("language = 'html'"), side.where("language = 'css'")
     quick = web.quick_links(pages, files)
     consumers, usage = web.style_consumers(quick, pages, styles)
     return Project(
-        files=files, analyses=analyses, symbols=symbols, calls=named, dependencies=deps, cross_calls=graph.cross_file_calls(symbols, deps, max_imported), related=links.related(files),
-        packages=links.packages(files), quick_links=quick, css_usage=web.class_usage(pages, styles, quick), style_consumers=consumers, style_usage=usage,
-        script_consumers=web.script_consumers(quick, files), summary=summary.project_summary(files),
+        files=files, analyses=graph.noticed(analyses, deps, incoming, max_imported, max_incoming), symbols=symbols, calls=calls, relations=graph.with_reverse(calls), dependencies=deps, cross_calls=cross,
+        incoming_calls=graph.incoming_calls(incoming, max_incoming), related=links.related(files), packages=links.packages(files), quick_links=quick, css_usage=web.class_usage(pages, styles, quick),
+        style_consumers=consumers, style_usage=usage, script_consumers=web.script_consumers(quick, files), summary=summary.project_summary(files),
     )
 
 
 def open_tree(spark: SparkSession, root: str, **how) -> Project:
-    """The project of a folder that Spark can read."""
+    """The project of a folder that Spark can read; its files are parsed once. A file that cannot be read gets a notice."""
+    shared = how.pop("shared", None) or Shared(spark, "tree")
     crawled = tree.limited(tree.crawl(tree.read_tree(spark, root)))
-    return project(tree.sources(crawled), **how)
+    return project(tree.sources(crawled), shared=shared, listing=tree.sources(crawled.withColumn("content", F.lit(None).cast("binary"))), **how)
 
 
-def from_texts(texts: DataFrame, **how) -> Project:
-    """The project of a table with root, rel_path and text."""
-    files = tree.crawl(texts.withColumns({"path": F.concat_ws("/", "root", "rel_path"), "length": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")}))
+def from_texts(texts: DataFrame, any_suffix: bool = False, **how) -> Project:
+    """The project of a table with root, rel_path and text; files that a crawl would leave out take part with any_suffix."""
+    files = texts.withColumns({"path": F.concat_ws("/", "root", "rel_path"), "length": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
+    files = tree.classify(files) if any_suffix else tree.crawl(files)
     files = files.withColumns({"file_id": F.md5(F.concat_ws("\u0000", "root", "rel_path")), "gate": tree.gate(F.col("name"), F.col("language"), F.col("length"), F.col("text"))})
     return project(files, **how)
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph, links, merge, summary, web
-from ..operators.extract import extract
 from ..sources import tree
 from . import project as P
+from .shared import Shared
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -164,51 +164,63 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.lit("shop").alias("root"), F.format_string("src/order_%d.ts", "o").alias("rel_path"), F.concat("imports", F.format_string("\n\nexport function order_%d(count: number): number {\n", "o"), "body", F.lit("\n  return count;\n}\n")).alias("text"))
 
 
-def _project(texts: DataFrame, persist: bool = False) -> P.Project:
+def _project(texts: DataFrame, **how) -> P.Project:
     """The rendered texts are small and parsing them is not, so they are dealt to all tasks."""
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return P.from_texts(texts.repartition(tasks, "rel_path"), persist=persist)
+    return P.from_texts(texts.repartition(tasks, "rel_path"), **how)
+
+
+_SHOPS: dict[tuple[str, str], P.Project] = {}
+
+
+def shop(spark: SparkSession, sf_dir: str) -> P.Project:
+    """The project of supplier and order files; a session renders and parses it once, for all queries over it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SHOPS:
+        shared = Shared(spark, "shop")
+        texts = shared.table(order_files(spark, sf_dir).unionByName(supplier_files(spark, sf_dir)), "texts")
+        _SHOPS[key] = _project(texts, shared=shared)
+    return _SHOPS[key]
 
 
 def h8_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _project(supplier_files(spark, sf_dir)).symbols
+    found = shop(spark, sf_dir).symbols.where("file_path LIKE 'shop/lib/%'")
     return found.where("kind = 'function'").select("file_path", "kind", "name", F.element_at("returns", 1).alias("returns"))
 
 
 def t12_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _project(order_files(spark, sf_dir)).symbols.where("kind = 'function'")
+    found = shop(spark, sf_dir).symbols.where("file_path LIKE 'shop/src/%' AND kind = 'function'")
     one = F.element_at("parameters", 1)
     return found.select("name", one["name"].alias("parameter"), one["type"].alias("type"), F.element_at("returns", 1).alias("returns"))
 
 
 def g3_same_file_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _project(supplier_files(spark, sf_dir), persist=True)
-    names = p.symbols.select("file_id", "file_path", "sym_id", "name")
-    edges = graph.same_file_calls(p.symbols, graph.snippet_calls(p.symbols)).unionByName(p.calls).distinct()
+    p = shop(spark, sf_dir)
+    names, edges = p.symbols.where("file_path LIKE 'shop/lib/%'").select("file_id", "file_path", "sym_id", "name"), p.calls
     owner = names.select("file_id", F.col("sym_id").alias("owner_id"), "file_path", F.col("name").alias("owner"))
     target = names.select("file_id", F.col("sym_id").alias("target_id"), F.col("name").alias("target"))
     return edges.join(owner, ["file_id", "owner_id"]).join(target, ["file_id", "target_id"]).groupBy("file_path", "target").agg(F.count(F.lit(1)).alias("callers"))
 
 
 def d1_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _project(order_files(spark, sf_dir).unionByName(supplier_files(spark, sf_dir)), persist=True)
+    p = shop(spark, sf_dir)
     return p.dependencies.groupBy("target_path").agg(F.count(F.lit(1)).alias("importers"), F.sum(F.size("bindings")).alias("bindings"))
 
 
 def x1_cross_file_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _project(order_files(spark, sf_dir).unionByName(supplier_files(spark, sf_dir)), persist=True)
+    p = shop(spark, sf_dir)
     place = p.files.select(F.col("file_id").alias("target_file_id"), "rel_path")
     return p.cross_calls.join(place, "target_file_id").groupBy("rel_path").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("file_id").alias("files"))
 
 
 def x2_incoming_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _project(order_files(spark, sf_dir).unionByName(supplier_files(spark, sf_dir)), persist=True)
+    p = shop(spark, sf_dir)
     names = p.symbols.select("file_id", F.col("sym_id").alias("symbol_id"), "name")
-    return graph.incoming_calls(p.cross_calls).join(names, ["file_id", "symbol_id"]).where("name LIKE 'part%'").groupBy("name").agg(F.countDistinct("caller_file_id").alias("callers"))
+    return p.incoming_calls.join(names, ["file_id", "symbol_id"]).where("name LIKE 'part%'").groupBy("name").agg(F.countDistinct("caller_file_id").alias("callers"))
 
 
 def r1_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _project(supplier_files(spark, sf_dir)).analyses.select(F.explode("routes").alias("r"))
+    found = shop(spark, sf_dir).analyses.select(F.explode("routes").alias("r"))
     return found.select("r.owner", "r.method", "r.path", "r.label", F.col("r.line").cast("long").alias("line"))
 
 
@@ -247,18 +259,17 @@ def m3_flat_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m1_band_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "lineitem").where("l_linenumber <= 6").select(F.col("l_orderkey").alias("file_id"), F.lit("method").alias("kind"), F.col("l_partkey").cast("string").alias("name"), (F.col("l_linenumber") * 10).cast("int").alias("line")).distinct()
-    rows = items.withColumn("ord", F.col("line"))
-    first = rows.where("line <= 30").select("*", F.lit("").alias("snippet"), F.lit("").alias("detail"))
-    second = rows.select("file_id", "kind", "name", (F.col("line") + 1).alias("line"), "ord", F.lit("text").alias("snippet"), F.lit("found").alias("detail"))
-    out = merge.merge_symbol_tables(first, second, ["file_id"], ["detail"])
-    return out.groupBy("file_id").agg(F.count(F.lit(1)).alias("symbols"), F.sum(F.when(F.col("detail") == "found", 1).otherwise(0)).alias("filled"), F.sum("line").alias("lines"))
+    """Parts as symbols of suppliers, merged from two lists whose lines are near each other, some with snippets in common."""
+    snippet = F.when(F.col("l_quantity") >= 48, "").otherwise(F.concat(F.lit("f"), (F.col("l_orderkey") % 100).cast("string")))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file_id"), F.lit("method").alias("kind"), (F.col("l_partkey") % 10).cast("string").alias("name"), (F.col("l_partkey") % 41).cast("int").alias("line"), snippet.alias("snippet"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), F.when(F.col("l_linenumber") > 2, F.col("l_returnflag")).otherwise("").alias("detail"))
+    out = merge.merge_symbol_tables(rows.where("ord % 2 = 0"), rows.where("ord % 2 = 1"), ["file_id"], ["detail"])
+    return out.groupBy("file_id", "name").agg(F.count(F.lit(1)).alias("symbols"), F.sum(F.when(F.col("detail") != "", 1).otherwise(0)).alias("filled"), F.sum("line").alias("lines"), F.sum("ord").alias("ords"))
 
 
 def j1_analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .session import analyses_json
 
-    return analyses_json(_project(supplier_files(spark, sf_dir)).analyses).select("path", F.get_json_object("value", "$.language").alias("language"), F.get_json_object("value", "$.source_mode").alias("source_mode"))
+    return analyses_json(shop(spark, sf_dir).analyses.where("path LIKE 'shop/lib/%'")).select("path", F.get_json_object("value", "$.language").alias("language"), F.get_json_object("value", "$.source_mode").alias("source_mode"))
 
 
 # a rendered corpus of all languages: a file per nation and template, @ being the nation's key
@@ -272,10 +283,14 @@ TEMPLATES = (
     ("a/p_@.php", "<?php\nclass W@ {\n    private $x@;\n    const MAX@ = 1;\n    public function go_@() {\n        return 1;\n    }\n}\nfunction top_@() {\n    return 2;\n}\n", (("class", "W@", 0), ("property", "x@", 1), ("constant", "MAX@", 1), ("method", "go_@", 1), ("function", "top_@", 0)), (), ()),
     ("a/s_@.swift", "protocol P@ {\n}\nstruct S@ {\n    var v@: Int\n    func go_@() {\n        top_@()\n    }\n}\nfunc top_@() {\n}\n", (("protocol", "P@", 0), ("struct", "S@", 0), ("property", "v@", 1), ("method", "go_@", 1), ("function", "top_@", 0)), (), ()),
     ("a/c_@.cpp", "#include \"h@.h\"\nclass K@ {\n};\nint do_@(int a) {\n    return a;\n}\n", (("class", "K@", 0), ("function", "do_@", 0)), (("include", "h@.h"),), ()),
-    ("a/o_@.m", "#import \"O@.h\"\n@implementation O@\n- (int)say_@ {\n    return 1;\n}\n@end\n".replace("@implementation", "\u0002implementation").replace("@end", "\u0002end"), (("class", "O@", 0), ("method", "say_@", 1)), (("include", "O@.h"),), ()),
+    ("a/o_@.m", "#import \"O@.h\"\n@implementation O@\n- (int)say_@ {\n    return 1;\n}\n@end\n".replace("@implementation", "\u0002implementation").replace("@end", "\u0002end"), (("class", "O@", 0), ("method", "say_@", 1)), (("import", "O@.h"),), ()),
     ("a/q_@.qml", "import Qt@ 2.0\nItem {\n    property int w@: 1\n    signal done@()\n    function f@(a) {\n        return a\n    }\n}\n", (("component", "Item", 0), ("property", "w@", 1), ("signal", "done@", 1), ("function", "f@", 1)), (("import", "Qt@"),), ()),
     ("a/y_@.css", ".a@ {\n  --v@: 1;\n}\n.b@:hover, .d@ {\n}\n", (("class", "a@", 0), ("custom-property", "--v@", 0), ("class", "b@", 0), ("class", "d@", 0)), (), ()),
     ("a/x_@.jsx", "import Z@ from 'z@';\nexport function Card@(props) {\n  return null;\n}\nconst useIt@ = () => {\n  return 1;\n};\nrouter.post('/x@', it);\n", (("component", "Card@", 0), ("hook", "useIt@", 0)), (("import", "z@"),), (("POST", "/x@"),)),
+    ("a/w_@.py", "\u0002route('/b@')\ndef b_@():\n    return 1\n\n@app.post('/p@')\ndef p_@():\n    return 2\n", (("function", "b_@", 0), ("function", "p_@", 0)), (), (("GET", "/b@"), ("POST", "/p@"))),
+    ("a/W@.cs", "class W@ {\n    void Map@() {\n        app.MapMethods(\"/m@\", verbs, it);\n        app.MapControllerRoute(name: \"d@\", pattern: \"{controller}/x@\");\n        app.MapControllerRoute(it);\n    }\n}\n", (("class", "W@", 0), ("method", "Map@", 1)), (), (("METHODS", "/m@"), ("ROUTE", "{controller}/x@"), ("ROUTE", "{controller=Home}/{action=Index}/{id?}"))),
+    ("a/openapi_@.json", '{"openapi": "3.0.0", "paths": {"/n@": {"get": {}, "post": {}}, "/m@": {"delete": {}}}}', (("route", "DELETE /m@", 0), ("route", "GET /n@", 0), ("route", "POST /n@", 0)), (), ()),
+    ("k@/package.json", '{"name": "k@", "scripts": {"start": "node @", "test": "node t"}}', (("script", "start", 0), ("script", "test", 0)), (), ()),
     ("a/t_@.ts", "export interface I@ {\n}\ntype T@ = string;\nclass D@ {\n  constructor(a: number) {\n  }\n  run_@(): void {\n  }\n}\n", (("props", "I@", 0), ("type", "T@", 0), ("class", "D@", 0), ("constructor", "constructor", 1), ("method", "run_@", 1)), (), ()),
 )
 
@@ -308,16 +323,189 @@ def t22_shown_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(p.symbols).join(p.symbols.select("file_id", "sym_id", "language"), ["file_id", "sym_id"]).groupBy("language").agg(F.count(F.lit(1)).alias("snippets"), F.sum(F.size("diagnostics")).alias("problems"), F.sum(F.when(F.col("display_html").contains("keyword"), 1).otherwise(0)).alias("coloured"))
 
 
+def _called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """owner_id, kind, name, line, snippet, ord: parts as relations of suppliers; snippets hold each other, or are blank."""
+    snippet = F.when(F.col("l_quantity") >= 48, "").otherwise(F.concat(F.lit("f"), (F.col("l_orderkey") % 100).cast("string")))
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("owner_id"), F.lit("function").alias("kind"), (F.col("l_partkey") % 10).cast("string").alias("name"), (F.col("l_partkey") % 37).alias("line"), snippet.alias("snippet"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"))
+
+
 def m4_canonical_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file_id"), F.lit("function").alias("kind"), F.col("l_partkey").cast("string").alias("name"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("owner_id"))
-    symbols = lines.groupBy("file_id", "kind", "name").agg(F.min("line").alias("line")).withColumns({"sym_id": F.col("name").cast("int"), "depth": F.lit(0)})
-    found = merge.canonical(lines.distinct(), symbols, ["file_id"])
-    return found.groupBy("file_id").agg(F.count(F.lit(1)).alias("relations"), F.countDistinct("target_id").alias("targets"))
+    relations = _called(spark, sf_dir).withColumn("file_id", F.col("owner_id") % 5)
+    k = F.col("p_partkey")
+    symbols = read(spark, sf_dir, "part").where("p_partkey <= 100").select((k % 5).alias("file_id"), F.lit("function").alias("kind"), (k % 10).cast("string").alias("name"), (k % 37 + 2).alias("line"), F.concat(F.lit("f"), (k % 100).cast("string")).alias("snippet"), k.alias("sym_id"), F.lit(0).alias("depth"))
+    found = merge.canonical(relations, symbols, ["file_id"])
+    return found.groupBy("owner_id", "name").agg(F.count(F.lit(1)).alias("relations"), F.countDistinct("target_id").alias("targets"), F.sum("line").alias("lines"), F.sum("ord").alias("ords"))
 
 
 def g6_deduped_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("owner_id"), F.lit("function").alias("kind"), F.col("l_returnflag").alias("name"), (F.col("l_partkey") % 50).alias("line")).distinct()
-    return graph.dedupe_relations(lines, ["owner_id"]).groupBy("owner_id", "name").agg(F.count(F.lit(1)).alias("relations"), F.sum("line").alias("lines"))
+    found = merge.dedupe_relations(_called(spark, sf_dir), ["owner_id"])
+    return found.groupBy("owner_id", "name").agg(F.count(F.lit(1)).alias("relations"), F.sum("line").alias("lines"), F.sum("ord").alias("ords"))
+
+
+# resolution of what files of several languages name; a corpus of web files; notices, packages and gates
+
+
+# (path, text, every how many nations have the file)
+LINKED = (
+    ("c/m_@.cpp", '#include "h_@.h"\n#include <vector>\n#include "sub/gone_@.h"\n', 1), ("c/h_@.h", "int h_@();\n", 2),
+    ("o/O_@.m", '#import "O_@.h"\n#import <Foundation/Foundation.h>\n', 1), ("o/O_@.h", "int o_@();\n", 3),
+    ("r/lib_@.rs", "use std::fmt_@ as short_@;\nmod a_@;\npub mod b_@;\nmod c_@;\n", 1), ("r/a_@.rs", "fn a_@() {}\n", 2), ("r/b_@/mod.rs", "fn b_@() {}\n", 3),
+    ("p/m_@.py", "import os, sys_@ as s, json.x_@\nfrom pkg_@ import z\n", 1), ("j/M_@.java", "import a.b_@;\n", 1), ("s/S_@.cs", "using S_@;\n", 1),
+    ("t/m_@.ts", 'import x from "./n_@";\nimport y from "pkg_@";\n', 1), ("t/n_@.tsx", "export const x = 1;\n", 2),
+)
+# (path, type, target, target_path, every how many nations have it, exists without it, label with it, label without it)
+NAMED = (
+    ("c/m_@.cpp", "include", "h_@.h", "c/h_@.h", 2, True, "h_@.h", "h_@.h"), ("c/m_@.cpp", "include", "vector", "", 0, True, "", "vector"), ("c/m_@.cpp", "include", "sub/gone_@.h", "", 0, False, "", "sub/gone_@.h"),
+    ("o/O_@.m", "import", "O_@.h", "o/O_@.h", 3, True, "O_@.h", "O_@.h"), ("o/O_@.m", "import", "Foundation/Foundation.h", "", 0, False, "", "Foundation/Foundation.h"),
+    ("r/lib_@.rs", "use", "std::fmt_@ as short_@", "", 0, True, "", "short_@"), ("r/lib_@.rs", "module", "a_@", "r/a_@.rs", 2, False, "a_@.rs", "a_@"), ("r/lib_@.rs", "module", "b_@", "r/b_@/mod.rs", 3, False, "mod.rs", "b_@"), ("r/lib_@.rs", "module", "c_@", "", 0, False, "", "c_@"),
+    ("p/m_@.py", "import", "os", "", 0, True, "", "os"), ("p/m_@.py", "import", "sys_@", "", 0, True, "", "sys_@"), ("p/m_@.py", "import", "json.x_@", "", 0, True, "", "json.x_@"), ("p/m_@.py", "import", "pkg_@", "", 0, True, "", "pkg_@"),
+    ("j/M_@.java", "import", "a.b_@", "", 0, True, "", "a.b_@"), ("s/S_@.cs", "using", "S_@", "", 0, True, "", "S_@"),
+    ("t/m_@.ts", "import", "./n_@", "t/n_@.tsx", 2, False, "n_@.tsx", "./n_@"), ("t/m_@.ts", "import", "pkg_@", "", 0, False, "", "pkg_@"),
+)
+
+
+def d5_resolved_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    files = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("text"), F.lit(every).alias("every")) for p, t, every in LINKED])).alias("f")
+    put = lambda c: F.replace(F.col(c), F.lit("@"), F.col("n").cast("string"))
+    texts = read(spark, sf_dir, "nation").select(n.alias("n"), files).where("n % f.every = 0").select(F.lit("x").alias("root"), put("f.path").alias("rel_path"), put("f.text").alias("text"))
+    found = _project(texts).dependencies
+    return found.select(F.col("path").alias("file_path"), "type", "target", F.coalesce("target_path", F.lit("")).alias("target_path"), "exists", "label")
+
+
+def web_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with styles and scripts, in a folder per nation."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    sup = read(spark, sf_dir, "supplier")
+    page = '<html><head>\n<link href="../css/main.css" rel="stylesheet">\n<link rel="stylesheet" href="local.css?v=1">\n<script src="./app_%d.js"></script>\n<script src="https://cdn/x.js"></script>\n<script src="/static/boot.js"></script></head>\n<body><div class="c%d hero"></div></body></html>'
+    rows = [
+        (F.format_string("n%d/p%d.html", n, k), F.format_string(page, k, k % 10), F.lit(True)), (F.format_string("n%d/app_%d.js", n, k), F.lit("function go() {\n}\n"), k % 2 == 0),
+        (F.lit("css/main.css"), F.lit(".hero { }\n.c1, .c2 { color: red }\n"), F.lit(True)), (F.format_string("n%d/local.css", n), F.format_string("\n  .c%d { margin: 0 }\n", n % 10), F.lit(True)), (F.format_string("n%d/boot.js", n), F.lit("var x = 1;\n"), F.lit(True)),
+    ]
+    files = F.explode(F.array(*[F.struct(p.alias("rel_path"), t.alias("text"), has.alias("has")) for p, t, has in rows])).alias("f")
+    return sup.select(files).where("f.has").select(F.lit("w").alias("root"), "f.rel_path", "f.text").distinct()
+
+
+def w5_quick_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _project(web_files(spark, sf_dir))
+    pages = p.files.select("file_id", F.col("rel_path").alias("page"))
+    return p.quick_links.join(pages, "file_id").select("page", F.col("ord").cast("long").alias("ord"), "type", "target", F.col("line").cast("long").alias("line"), "rel_path", "exists")
+
+
+def w8_style_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _project(web_files(spark, sf_dir))
+    styles = p.files.select("file_id", F.col("rel_path").alias("style"))
+    return p.style_usage.join(styles, "file_id").select("style", "class", "role", "page", F.coalesce("rule", F.lit("")).alias("rule"))
+
+
+def w9_script_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _project(web_files(spark, sf_dir))
+    place = p.files.select("file_id", "rel_path")
+    return p.script_consumers.join(place.withColumnRenamed("rel_path", "script"), "file_id").join(place.select(F.col("file_id").alias("page_id"), F.col("rel_path").alias("page")), "page_id").select("script", "page")
+
+
+def j2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .session import documents
+
+    found = documents(_project(web_files(spark, sf_dir), shared=Shared(spark, "documents")))
+    count = lambda c: F.size(c).cast("long")
+    return found.select("path", count("quickLinks").alias("links"), count("cssSummary").alias("classes"), count(F.filter("cssSummary", lambda c: c["role"] == "missing")).alias("missing"))
+
+
+def g5_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    text = F.format_string("class D%d {\n  run_%d() {\n    help_%d();\n  }\n}\n\nfunction help_%d() {\n}\n", n, n, n, n)
+    java = F.format_string("class D%d {\n    int run_%d() {\n        return help_%d();\n    }\n\n    int help_%d() {\n        return 1;\n    }\n}\n", n, n, n, n)
+    rows = F.explode(F.array(F.struct(F.format_string("d_%d.ts", n).alias("rel_path"), text.alias("text")), F.struct(F.format_string("D%d.java", n).alias("rel_path"), java.alias("text")))).alias("f")
+    p = _project(read(spark, sf_dir, "nation").select(rows).select(F.lit("g").alias("root"), "f.*"))
+    name = p.symbols.select("file_id", "file_path", F.col("sym_id").alias("symbol_id"), F.col("name").alias("symbol"))
+    other = p.symbols.select("file_id", F.col("sym_id").alias("other_id"), F.col("name").alias("other"))
+    return p.relations.join(name, ["file_id", "symbol_id"]).join(other, ["file_id", "other_id"]).select("file_path", "symbol", "direction", "other")
+
+
+def g8_symbol_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _project(many_languages(spark, sf_dir))
+    files = p.symbols.select("file_id", "sym_id", "file_path", "kind")
+    return graph.paths_of_names(p.symbols).join(files, ["file_id", "sym_id"]).where("depth > 0").select("file_path", "kind", F.element_at(F.split("path", r"\."), -1).alias("name"), F.col("depth").cast("long").alias("depth"))
+
+
+def x3_cut_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = shop(spark, sf_dir)
+    found = graph.noticed(p.analyses, p.dependencies, p.cross_calls, 2, 3)
+    return found.where("partial").select("path", F.col("notices")[0]["message"].alias("message"), F.col("summary").endswith(graph.CUT_SUFFIX).alias("said"))
+
+
+def x4_incoming_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _project(many_languages(spark, sf_dir))
+    return graph.worth_incoming(p.symbols).join(p.files.select("file_id", "language"), "file_id").groupBy("language").agg(F.count(F.lit(1)).alias("files"))
+
+
+def m5_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    ts = F.format_string("export function one_%d(v: number) {\n  if (v) {\n    return two_%d(v);\n  return 1;\n}\n\nexport function two_%d(v: number) {\n  return v;\n}\n", n, n, n)
+    cs = F.format_string("class K%d {\n    int Go%d(int a) {\n        var x%d = a;\n        return Up%d(a;\n    }\n\n    int Up%d(int a) {\n        return a;\n    }\n}\n", n, n, n, n, n)
+    rows = F.explode(F.array(F.struct(F.format_string("b_%d.ts", n).alias("rel_path"), ts.alias("text")), F.struct(F.format_string("B%d.cs", n).alias("rel_path"), cs.alias("text")))).alias("f")
+    p = _project(read(spark, sf_dir, "nation").select(rows).select(F.lit("m").alias("root"), "f.*"))
+    state = p.analyses.select("file_id", F.col("source_mode").alias("mode"), "partial", F.size("notices").cast("long").alias("notices"))
+    return p.symbols.join(state, "file_id").select("file_path", "kind", "name", "mode", "partial", "notices")
+
+
+def q2_package_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    package = F.when(k % 4 == 0, '{"main": "./lib/a.js"}').when(k % 4 == 1, '{"main": "lib/a.js", "browser": "web.js"}').when(k % 4 == 2, '{"main": "gone.js", "scripts": {"build": "x"}}').otherwise('{"name": "none"}')
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("rel_path"), t.alias("text")) for p, t in (("package.json", package), ("lib/a.js", F.lit("")), ("web.js", F.lit("")), ("src/index.ts", F.lit("")), ("src/index.js", F.lit("")))])).alias("f")
+    files = tree.crawl(read(spark, sf_dir, "supplier").select(F.format_string("r%d", k).alias("root"), rows).select("root", "f.*"))
+    return summary.package_entry(files).select("root", "entry")
+
+
+def q5_visible_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .session import Session
+
+    session = Session(spark, P.from_texts(paths(spark, sf_dir).withColumn("text", F.lit(""))))
+    session.toggle_expanded("src")
+    return session.visible_entries().select("path", "is_dir", F.col("depth").cast("long").alias("depth"))
+
+
+def q6_selected_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols of one selected file, by index and by data."""
+    from .session import Session
+
+    session = Session(spark, _project(many_languages(spark, sf_dir)))
+    out = []
+    for choose in (lambda: session.select_symbol(1), lambda: session.select_symbol_by_data("run_1", "method", 7), lambda: session.select_symbol(99)):
+        session.select_path("a/m_1.py")
+        choose()
+        found, shown = session.symbol or {}, session.snippet()
+        out.append((found.get("name", ""), found.get("kind", ""), shown["name"], shown["kind"]))
+    return spark.createDataFrame(out, "name string, kind string, shown string, shown_kind string")
+
+
+def s7_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.skipped(tree.crawl(paths(spark, sf_dir).withColumn("root", F.lit("all")).distinct()), per_dir=1).select("root", "dir", "skipped")
+
+
+def s10_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    text = F.when(k % 50 == 1, F.repeat(F.lit("x"), 2 * 1024 * 1024 + 1)).when(k % 50 == 2, F.repeat(F.lit("y"), 17000)).when(k % 50 == 3, F.lit(None).cast("string")).otherwise("let a = 1;\n")
+    p = _project(read(spark, sf_dir, "supplier").where("s_suppkey <= 100").select(F.lit("z").alias("root"), F.format_string("f%d.js", k).alias("rel_path"), text.alias("text")))
+    return p.analyses.select("path", "partial", F.coalesce(F.get("notices", F.lit(0))["message"], F.lit("")).alias("message"))
+
+
+def t5_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.format_string("  ($v_%d = call_%d(x)) end_%d ", "p_size", "p_partkey", "p_size")
+    return read(spark, sf_dir, "part").select("p_partkey", T.first_identifier(code).alias("first"), T.variable_name(code).alias("variable"), T.last_identifier(code).alias("last"), T.unquoted(F.concat(F.lit(" '"), "p_name", F.lit("'"))).alias("bare"))
+
+
+def t8_rust_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    use = F.explode(F.array(F.format_string("std::fmt_%d as f_%d", n, n), F.format_string("crate_%d::{a, b as c}", n), F.format_string("::core_%d::x", n))).alias("use")
+    return read(spark, sf_dir, "nation").select(use).select("use", T.rust_label(F.col("use")).alias("label"))
+
+
+def t23_target_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    source, own = F.when(k % 3 == 0, F.format_string("/s/%d", k)).otherwise(""), F.when(k % 2 == 0, F.format_string("/p/%d", k))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", T.target_path(source, own, F.lit("/f")).alias("path"))
 
 
 QUERIES = {
@@ -327,6 +515,8 @@ QUERIES = {
         t15_truncation, t16_tag_diagnostics, t24_relative_paths, s12_line_statistics, s14_previews, s2_crawl, s5_limits, q1_file_types, q3_main_entries, h8_symbols, t12_signatures,
         g3_same_file_calls, d1_dependencies, x1_cross_file_calls, x2_incoming_calls, r1_routes, f1_related_files, w6_class_usage, p1_packages, h12_json_keys, m3_flat_merge, m1_band_merge, j1_analysis_json,
         h1_all_languages, d3_language_dependencies, r2_language_routes, t22_shown_snippets, m4_canonical_relations, g6_deduped_relations,
+        d5_resolved_targets, w5_quick_links, w8_style_consumers, w9_script_consumers, j2_documents, g5_relations, g8_symbol_paths, x3_cut_relations, x4_incoming_surface, m5_recovered, q2_package_entries,
+        q5_visible_entries, q6_selected_symbols, s7_skipped, s10_gates, t5_identifiers, t8_rust_labels, t23_target_paths,
     )
 }
 
@@ -344,17 +534,74 @@ def _expected(columns: str, pick) -> str:
     return "\nUNION ALL ".join("SELECT " + ", ".join(f"{f'CAST({value(v)} AS BIGINT)' if isinstance(v, int) else value(v)} AS {n}" for v, n in zip(("all/" + path, *row), names, strict=True)) + " FROM nation" for path, row in rows)
 
 
+_CALLED = """
+WITH RECURSIVE called AS (
+  SELECT l_suppkey AS owner_id, CAST(l_partkey % 10 AS VARCHAR) AS name, l_partkey % 37 AS line, CASE WHEN l_quantity >= 48 THEN '' ELSE 'f' || l_orderkey % 100 END AS snippet, l_orderkey * 8 + l_linenumber AS ord FROM lineitem)"""
+# keeps, in order, the relations of `given` that repeat none kept before
+_FOLD = """steps AS (SELECT *, row_number() OVER (PARTITION BY owner_id, name ORDER BY ord) AS n FROM given),
+run AS (
+  SELECT owner_id, name, n, [{'line': line, 'snippet': snippet, 'ord': ord, 'target_id': target_id}] AS kept FROM steps WHERE n = 1
+  UNION ALL
+  SELECT r.owner_id, r.name, s.n, CASE WHEN len(list_filter(r.kept, lambda k: (k.line > 0 AND s.line > 0 AND abs(k.line - s.line) <= 1) OR k.snippet = '' OR s.snippet = '' OR contains(k.snippet, s.snippet) OR contains(s.snippet, k.snippet))) > 0
+    THEN r.kept ELSE list_append(r.kept, {'line': s.line, 'snippet': s.snippet, 'ord': s.ord, 'target_id': s.target_id}) END
+  FROM run r JOIN steps s ON s.owner_id = r.owner_id AND s.name = r.name AND s.n = r.n + 1),
+left_over AS (SELECT owner_id, name, unnest(max_by(kept, n)) AS k FROM run GROUP BY owner_id, name)"""
+
+
+def _named() -> str:
+    """What d5_resolved_targets should find: a row per nation and entry of NAMED."""
+    put = lambda x: f"replace('{x}', '@', CAST(n AS VARCHAR))"
+    rows = []
+    for path, kind, target, at, every, alone, label, other in NAMED:
+        has = f"n % {every} = 0" if every else "false"
+        rows.append(f"SELECT {put('x/' + path)} AS file_path, '{kind}' AS type, {put(target)} AS target, CASE WHEN {has} THEN {put(at)} ELSE '' END AS target_path, {has} OR {str(alone).lower()} AS \"exists\", CASE WHEN {has} THEN {put(label)} ELSE {put(other)} END AS label FROM nations")
+    return "WITH nations AS (SELECT n_nationkey AS n FROM nation)\n" + "\nUNION ALL ".join(rows)
+
+
+# tags of pages in order, with their places, and the stack that each leaves
+_TAGS = r"""
+WITH RECURSIVE marked AS (
+  SELECT page_id, string_split(regexp_replace(coalesce(html, ''), '(?is)(<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|</?[a-z][a-zA-Z0-9_:-]*(?:"[^"]*"|''[^'']*''|[^>"''])*>)', chr(1) || '\1', 'g'), chr(1)) AS pieces FROM pages),
+parts AS (SELECT page_id, generate_subscripts(pieces, 1) AS pos, unnest(pieces) AS piece, pieces FROM marked),
+placed AS (
+  SELECT page_id, pos, regexp_extract(piece, '(?is)^</?([a-z][a-zA-Z0-9_:-]*)', 1) AS tag, regexp_extract(piece, '(?is)^<[^!](?:"[^"]*"|''[^'']*''|[^>"''])*>') AS whole, array_to_string(pieces[1:pos - 1], '') AS earlier, piece FROM parts WHERE pos > 1),
+tags AS (
+  SELECT page_id, lower(tag) AS tag, starts_with(piece, '</') AS closes, len(string_split(earlier, chr(10))) AS line, length(string_split(earlier, chr(10))[-1]) + 1 AS col,
+         row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n
+  FROM placed WHERE tag <> '' AND NOT regexp_matches(piece, '(?is)^(<script\b[^>]*>.*</script\s*>|<style\b[^>]*>.*</style\s*>)') AND NOT regexp_matches(whole, '/\s*>$')
+    AND lower(tag) NOT IN ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'param', 'source', 'track', 'wbr')),
+run AS (
+  SELECT page_id, 0::BIGINT AS n, []::STRUCT(tag VARCHAR, line BIGINT, col BIGINT)[] AS stack, NULL::VARCHAR AS message, 0::BIGINT AS line, 0::BIGINT AS col FROM (SELECT DISTINCT page_id FROM tags)
+  UNION ALL
+  SELECT r.page_id, t.n, CASE WHEN NOT t.closes THEN list_append(r.stack, {'tag': t.tag, 'line': t.line, 'col': t.col}) WHEN len(r.stack) = 0 THEN r.stack ELSE r.stack[1:len(r.stack) - 1] END,
+         CASE WHEN NOT t.closes THEN NULL WHEN len(r.stack) = 0 THEN 'Unexpected closing tag </' || t.tag || '>' WHEN r.stack[-1].tag <> t.tag THEN 'Mismatched closing tag </' || t.tag || '>, expected </' || r.stack[-1].tag || '>' END, t.line, t.col
+  FROM run r JOIN tags t ON t.page_id = r.page_id AND t.n = r.n + 1),
+ends AS (SELECT page_id, unnest(max_by(stack, n)) AS s, generate_subscripts(max_by(stack, n), 1) AS k FROM run GROUP BY page_id),
+found AS (
+  SELECT page_id, 0 AS late, n AS k, message, line, col FROM run WHERE message IS NOT NULL
+  UNION ALL SELECT page_id, 1, k, 'Unclosed tag <' || s.tag || '>', s.line, s.col FROM ends)
+SELECT page_id AS key, CAST(row_number() OVER (PARTITION BY page_id ORDER BY late, k) - 1 AS INTEGER) AS ord, message, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col FROM found"""
+
+_FIRST = _SUPPLIES + """, names AS (SELECT o, s, string_agg('part_' || p || ' as item_' || p, ', ' ORDER BY 'part_' || p || ' as item_' || p) AS names FROM supplies GROUP BY o, s),
+first AS (SELECT o, p, min_by(s, 'import { ' || names || ' } from "../lib/sup_' || s || '";') AS s FROM supplies JOIN names USING (o, s) GROUP BY o, p)"""
+
+
 ORACLES = {
     "h1_all_languages": _expected("file_path, kind, name, depth", lambda t: t[2]),
     "d3_language_dependencies": _expected("file_path, type, target", lambda t: t[3]),
     "r2_language_routes": _expected("file_path, method, route", lambda t: t[4]),
-    "m4_canonical_relations": """
-WITH lines AS (SELECT DISTINCT l_suppkey AS f, l_orderkey AS o, l_partkey AS p FROM lineitem)
-SELECT f AS file_id, count(*) AS relations, count(DISTINCT p) AS targets FROM lines GROUP BY f""",
-    "g6_deduped_relations": """
-WITH lines AS (SELECT DISTINCT l_suppkey AS o, l_returnflag AS name, l_partkey % 50 AS line FROM lineitem),
-apart AS (SELECT *, lag(line) OVER (PARTITION BY o, name ORDER BY line) AS last FROM lines)
-SELECT o AS owner_id, name, count(*) AS relations, CAST(sum(line) AS BIGINT) AS lines FROM apart WHERE last IS NULL OR line - last > 1 GROUP BY o, name""",
+    "m4_canonical_relations": _CALLED + """,
+symbols AS (SELECT p_partkey % 5 AS file_id, CAST(p_partkey % 10 AS VARCHAR) AS name, p_partkey % 37 + 2 AS line, 'f' || p_partkey % 100 AS snippet, p_partkey AS sym_id FROM part WHERE p_partkey <= 100),
+meant AS (SELECT c.owner_id, c.name, c.ord, c.line, c.snippet, min(s.sym_id) AS target_id FROM called c LEFT JOIN symbols s ON s.file_id = c.owner_id % 5 AND s.name = c.name
+  AND ((s.line > 0 AND c.line > 0 AND abs(s.line - c.line) <= 1) OR ((s.line <= 0 OR c.line <= 0 OR abs(s.line - c.line) <= 3) AND (s.snippet = '' OR c.snippet = '' OR contains(s.snippet, c.snippet) OR contains(c.snippet, s.snippet))))
+  GROUP BY ALL),
+given AS (SELECT m.owner_id, m.name, m.ord, coalesce(s.line, m.line) AS line, coalesce(s.snippet, m.snippet) AS snippet, m.target_id FROM meant m LEFT JOIN symbols s ON m.target_id = s.sym_id),
+""" + _FOLD + """
+SELECT owner_id, name, count(*) AS relations, count(DISTINCT k.target_id) AS targets, CAST(sum(k.line) AS BIGINT) AS lines, CAST(sum(k.ord) AS BIGINT) AS ords FROM left_over GROUP BY owner_id, name""",
+    "g6_deduped_relations": _CALLED + """,
+given AS (SELECT *, NULL::BIGINT AS target_id FROM called),
+""" + _FOLD + """
+SELECT owner_id, name, count(*) AS relations, CAST(sum(k.line) AS BIGINT) AS lines, CAST(sum(k.ord) AS BIGINT) AS ords FROM left_over GROUP BY owner_id, name""",
     "w2_html_classes": f"""
 WITH lists AS (SELECT page_id, unnest(regexp_extract_all({_CLASSES}, '(?i)\\bclass\\s*=\\s*"([^"]*)"', 1)) AS l FROM pages),
 names AS (SELECT DISTINCT page_id, unnest(regexp_split_to_array(trim(l), '\\s+')) AS class FROM lists)
@@ -423,11 +670,84 @@ SELECT class, CASE WHEN has THEN 'matched' ELSE 'missing' END AS role, count(*)
     "h12_json_keys": """
 WITH keys AS (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events)
 SELECT event_type, key, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.' || key) AS BIGINT)) AS BIGINT) AS total FROM keys GROUP BY event_type, key""",
+    "d5_resolved_targets": _named(),
+    "t16_tag_diagnostics": _TAGS,
+    "q3_main_entries": _PATHS + f""", lists AS (SELECT {list(summary.CONVENTIONAL)} AS conventional, {list(summary.PREFERRED)} AS preferred),
+points AS (SELECT unnest({list(summary.NAME_POINTS)}) AS name, unnest({list(summary.NAME_POINTS.values())}) AS points),
+scored AS (
+  SELECT t.root, t.rel_path, list_position(l.conventional, t.rel_path) AS place, regexp_matches(lower(t.rel_path), '/src/main/java/.*mainactivity\\.java$') AS android,
+         regexp_matches(lower(t.rel_path), '^(third_party|vendor|node_modules|dist|build|coverage|tests|test|docs)/|/src/test/|/src/androidtest/|/tests/|/test/') AS never,
+         CASE WHEN list_position(l.preferred, lower(t.rel_path)) > 0 THEN 201 - list_position(l.preferred, lower(t.rel_path)) ELSE 0 END + CASE WHEN starts_with(lower(t.rel_path), 'src/') THEN 80 ELSE 0 END
+         + CASE WHEN contains(lower(t.rel_path), '/src/main/') THEN 95 ELSE 0 END + CASE WHEN regexp_matches(lower(t.rel_path), '/src/main/(java|kotlin|csharp|cs)/') THEN 45 ELSE 0 END
+         + CASE WHEN dir = '' THEN 30 ELSE 0 END - CASE WHEN regexp_matches(lower(t.rel_path), '/(assets|wwwroot|www)/') THEN 40 ELSE 0 END - 8 * (len(string_split(t.rel_path, '/')) - 1) + coalesce(p.points, 0) AS score
+  FROM taken t CROSS JOIN lists l LEFT JOIN points p ON p.name = lower(t.name))
+SELECT root, coalesce(min_by(rel_path, place) FILTER (place > 0), min(rel_path) FILTER (android AND NOT never), min_by(rel_path, (-score, rel_path)) FILTER (NOT never), '') AS main_entry FROM scored GROUP BY root""",
+    "w5_quick_links": """
+WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier),
+rows AS (
+  SELECT k, n, 0 AS ord, 'script' AS type, './app_' || k || '.js' AS target, 4 AS line, 'n' || n || '/app_' || k || '.js' AS rel_path, k % 2 = 0 AS has FROM s
+  UNION ALL SELECT k, n, 2, 'script', '/static/boot.js', 6, 'n' || n || '/static/boot.js', false FROM s
+  UNION ALL SELECT k, n, 3, 'stylesheet', '../css/main.css', 2, 'css/main.css', true FROM s
+  UNION ALL SELECT k, n, 4, 'stylesheet', 'local.css?v=1', 3, 'n' || n || '/local.css', true FROM s)
+SELECT 'n' || n || '/p' || k || '.html' AS page, CAST(ord AS BIGINT) AS ord, type, target, CAST(line AS BIGINT) AS line, rel_path, has AS "exists" FROM rows""",
+    "w8_style_consumers": """
+WITH used AS (SELECT s_nationkey AS n, 'c' || s_suppkey % 10 AS class, 'p' || s_suppkey || '.html' AS page FROM supplier UNION ALL SELECT s_nationkey, 'hero', 'p' || s_suppkey || '.html' FROM supplier)
+SELECT 'n' || n || '/local.css' AS style, class, CASE WHEN class = 'c' || n % 10 THEN 'matched' ELSE 'missing' END AS role, min(page) AS page, CASE WHEN class = 'c' || n % 10 THEN '.' || class || ' { margin: 0 }' ELSE '' END AS rule FROM used GROUP BY n, class""",
+    "w9_script_consumers": """
+SELECT 'n' || s_nationkey || '/app_' || s_suppkey || '.js' AS script, 'n' || s_nationkey || '/p' || s_suppkey || '.html' AS page FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT 'n' || s_nationkey || '/boot.js', 'n' || s_nationkey || '/p' || s_suppkey || '.html' FROM supplier""",
+    "j2_documents": """
+WITH pages AS (SELECT s_nationkey AS n, s_suppkey AS k, 'c' || s_suppkey % 10 AS c FROM supplier),
+styles AS (SELECT n, list_distinct(list_append(list(c), 'hero')) AS used FROM pages GROUP BY n)
+SELECT 'w/n' || n || '/p' || k || '.html' AS path, CAST(4 AS BIGINT) AS links, CAST(2 AS BIGINT) AS classes, CAST(CASE WHEN c IN ('c1', 'c2', 'c' || n % 10) THEN 0 ELSE 1 END AS BIGINT) AS missing FROM pages
+UNION ALL SELECT 'w/n' || n || '/app_' || k || '.js', 0, 0, 0 FROM pages WHERE k % 2 = 0 UNION ALL SELECT DISTINCT 'w/n' || n || '/boot.js', 0, 0, 0 FROM pages
+UNION ALL SELECT 'w/css/main.css', 0, 0, 0 UNION ALL SELECT 'w/n' || n || '/local.css', 0, len(used), len(list_filter(used, lambda x: x <> 'c' || n % 10)) FROM styles""",
+    "g5_relations": """
+WITH calls AS (
+  SELECT 'g/d_' || n_nationkey || '.ts' AS f, unnest(['D', 'D', 'run_']) || n_nationkey AS a, unnest(['run_', 'help_', 'help_']) || n_nationkey AS b FROM nation
+  UNION ALL SELECT 'g/D' || n_nationkey || '.java', 'run_' || n_nationkey, 'help_' || n_nationkey FROM nation)
+SELECT f AS file_path, a AS symbol, 'calls' AS direction, b AS other FROM calls UNION ALL SELECT f, b, 'calledBy', a FROM calls""",
+    "g8_symbol_paths": _expected("file_path, kind, name, depth", lambda t: [x for x in t[2] if x[2] > 0]),
+    "x3_cut_relations": _FIRST + f"""
+SELECT 'shop/src/order_' || o || '.ts' AS path, '{graph.CUT_IMPORTED}' AS message, true AS said FROM supplies GROUP BY o HAVING count(DISTINCT s) > 2
+UNION ALL SELECT 'shop/lib/sup_' || s || '.ts', '{graph.CUT_INCOMING}', true FROM first GROUP BY s HAVING count(DISTINCT o) > 3""",
+    "x4_incoming_surface": "SELECT language, (SELECT count(*) FROM nation) * n AS files FROM (VALUES ('python', 2), ('java', 1), ('csharp', 2), ('rust', 1), ('php', 1), ('swift', 1), ('cpp', 1), ('objc', 1), ('qml', 1), ('css', 1), ('jsx', 1), ('ts', 1)) v(language, n)",
+    "m5_recovered": """
+SELECT 'm/b_' || n_nationkey || '.ts' AS file_path, 'function' AS kind, unnest(['one_', 'two_']) || n_nationkey AS name, 'recovered' AS mode, true AS partial, CAST(1 AS BIGINT) AS notices FROM nation
+UNION ALL SELECT 'm/B' || n_nationkey || '.cs', unnest(['class', 'method', 'method', 'variable']), unnest(['K', 'Go', 'Up', 'x']) || n_nationkey, 'recovered', true, 1 FROM nation""",
+    "q2_package_entries": "SELECT 'r' || s_suppkey AS root, CASE s_suppkey % 4 WHEN 0 THEN 'lib/a.js' WHEN 1 THEN 'web.js' ELSE 'src/index.ts' END AS entry FROM supplier WHERE s_suppkey % 4 < 3",
+    "q5_visible_entries": _PATHS + """, entries AS (SELECT string_split(rel_path, '/') AS p FROM taken)
+SELECT DISTINCT p[1] AS path, len(p) > 1 AS is_dir, CAST(0 AS BIGINT) AS depth FROM entries UNION SELECT p[1] || '/' || p[2], len(p) > 2, 1 FROM entries WHERE p[1] = 'src'""",
+    "q6_selected_symbols": "SELECT * FROM (VALUES ('C1', 'class', 'C1', 'class'), ('run_1', 'method', 'run_1', 'method'), ('', '', 'm_1.py', 'file')) v(name, kind, shown, shown_kind)",
+    "s7_skipped": _PATHS + "SELECT 'all' AS root, dir, count(DISTINCT rel_path) - 1 AS skipped FROM taken GROUP BY dir HAVING count(DISTINCT rel_path) > 1",
+    "s10_gates": """
+SELECT 'z/f' || s_suppkey || '.js' AS path, s_suppkey % 50 IN (1, 2, 3) AS partial, CASE s_suppkey % 50 WHEN 1 THEN 'Analysis skipped: file is too large (2.0 MB, limit 2.0 MB)' WHEN 2 THEN 'Analysis skipped: file looks minified' WHEN 3 THEN 'Unable to read file' ELSE '' END AS message
+FROM supplier WHERE s_suppkey <= 100""",
+    "t5_identifiers": "SELECT p_partkey, 'v_' || p_size AS first, '$v_' || p_size AS variable, 'end_' || p_size AS last, p_name AS bare FROM part",
+    "t8_rust_labels": """
+SELECT 'std::fmt_' || n_nationkey || ' as f_' || n_nationkey AS use, 'f_' || n_nationkey AS label FROM nation
+UNION ALL SELECT 'crate_' || n_nationkey || '::{a, b as c}', 'crate_' || n_nationkey FROM nation UNION ALL SELECT '::core_' || n_nationkey || '::x', 'core_' || n_nationkey FROM nation""",
+    "t23_target_paths": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '/s/' || s_suppkey WHEN s_suppkey % 2 = 0 THEN '/p/' || s_suppkey ELSE '/f' END AS path FROM supplier",
     "m3_flat_merge": """
 WITH sides AS (SELECT o_custkey AS target, o_orderkey AS ord, o_orderstatus AS origin, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END, o_orderkey) AS n FROM orders WHERE o_orderstatus IN ('O', 'F'))
 SELECT 'import' AS type, target, ord, origin FROM sides WHERE n = 1""",
     "m1_band_merge": """
-WITH items AS (SELECT DISTINCT l_orderkey AS f, l_partkey AS p, l_linenumber * 10 AS l FROM lineitem WHERE l_linenumber <= 6)
-SELECT f AS file_id, count(*) AS symbols, CAST(count(*) AS BIGINT) AS filled, CAST(sum(CASE WHEN l <= 30 THEN l ELSE l + 1 END) AS BIGINT) AS lines FROM items GROUP BY f""",
+WITH RECURSIVE given AS (
+  SELECT l_suppkey AS f, CAST(l_partkey % 10 AS VARCHAR) AS name, l_partkey % 41 AS line, CASE WHEN l_quantity >= 48 THEN '' ELSE 'f' || l_orderkey % 100 END AS snippet,
+         l_orderkey * 8 + l_linenumber AS ord, CASE WHEN l_linenumber > 2 THEN l_returnflag ELSE '' END AS detail FROM lineitem),
+steps AS (SELECT *, row_number() OVER (PARTITION BY f, name ORDER BY ord) AS n FROM given WHERE ord % 2 = 1),
+groups AS (SELECT DISTINCT f, name FROM given),
+firsts AS (SELECT g.f, g.name, coalesce(list({'line': x.line, 'snippet': x.snippet, 'ord': x.ord, 'detail': x.detail} ORDER BY x.ord) FILTER (x.ord IS NOT NULL), []) AS kept
+  FROM groups g LEFT JOIN given x ON x.f = g.f AND x.name = g.name AND x.ord % 2 = 0 GROUP BY g.f, g.name),
+run AS (
+  SELECT f, name, 0::BIGINT AS n, kept FROM firsts
+  UNION ALL
+  SELECT r.f, r.name, s.n, CASE WHEN p.place IS NULL OR p.place = 0 THEN list_append(r.kept, {'line': s.line, 'snippet': s.snippet, 'ord': s.ord, 'detail': s.detail})
+    ELSE list_transform(r.kept, lambda k, i: CASE WHEN i = p.place THEN {'line': CASE WHEN k.line <= 0 THEN s.line ELSE k.line END, 'snippet': CASE WHEN k.snippet = '' THEN s.snippet ELSE k.snippet END, 'ord': k.ord, 'detail': CASE WHEN k.detail = '' THEN s.detail ELSE k.detail END} ELSE k END) END
+  FROM run r JOIN steps s ON s.f = r.f AND s.name = r.name AND s.n = r.n + 1,
+  LATERAL (SELECT list_position(list_transform(r.kept, lambda k: (k.line > 0 AND s.line > 0 AND abs(k.line - s.line) <= 1)
+    OR ((k.line <= 0 OR s.line <= 0 OR abs(k.line - s.line) <= 3) AND (k.snippet = '' OR s.snippet = '' OR contains(k.snippet, s.snippet) OR contains(s.snippet, k.snippet)))), true) AS place) p),
+last AS (SELECT f, name, unnest(max_by(kept, n)) AS k FROM run GROUP BY f, name)
+SELECT f AS file_id, name, count(*) AS symbols, CAST(count(*) FILTER (k.detail <> '') AS BIGINT) AS filled, CAST(sum(k.line) AS BIGINT) AS lines, CAST(sum(k.ord) AS BIGINT) AS ords FROM last GROUP BY f, name""",
     "j1_analysis_json": "SELECT DISTINCT 'shop/lib/sup_' || l_suppkey || '.ts' AS path, 'ts' AS language, 'ast' AS source_mode FROM lineitem",
 }

@@ -105,6 +105,40 @@ class Session:
             yield json.dumps(self.project_summary() if name == "getProjectSummary" else self.state(), separators=(",", ":"), default=str)
 
 
+def documents(project: Project) -> DataFrame:
+    """The analyses with all that belongs to a file: resolved dependencies, relations, related files, quick links, classes.
+
+    Each list is made of the project's table by the file's id; files without entries get empty lists.
+    """
+    names = project.symbols.select("file_id", F.col("sym_id").alias("other_id"), "kind", "name", "line")
+    relations = project.relations.join(names, ["file_id", "other_id"])
+    usage = project.css_usage.unionByName(project.style_usage.select("root", "file_id", "class", "role", F.col("page").alias("src_path")))
+    lists = {
+        "dependencies": (project.dependencies, ["ord", "type", "target", "label", "line", "snippet", "target_path", "exists", "bindings"]), "relations": (relations, ["symbol_id", "direction", "kind", "name", "line", "other_id"]),
+        "relatedFiles": (project.related, ["path", "type"]), "quickLinks": (project.quick_links, ["ord", "type", "target", "line", "rel_path", "exists"]), "cssSummary": (usage, ["class", "role", "src_path"]),
+    }
+    out = project.analyses.drop("dependencies")
+    for name, (rows, columns) in lists.items():
+        listed = rows.groupBy("file_id").agg(F.collect_list(F.struct(*columns)).alias(name))
+        listed = listed.select("file_id", F.array_sort(name, _by(columns)).alias(name))
+        kind = listed.schema[name].dataType
+        out = out.join(listed, "file_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    return out
+
+
+def _by(columns: list[str]):
+    """Orders structs by their plain columns (a list of structs inside has no order that matters)."""
+    def compare(a, b):
+        out = F.lit(0)
+        for c in reversed([c for c in columns if c != "bindings"]):
+            x, y = F.coalesce(a[c].cast("string"), F.lit("")), F.coalesce(b[c].cast("string"), F.lit(""))
+            x, y = (a[c], b[c]) if c in ("ord", "symbol_id", "line", "other_id") else (x, y)
+            out = F.when(x < y, -1).when(x > y, 1).otherwise(out)
+        return out
+
+    return compare
+
+
 def analyses_json(analyses: DataFrame) -> DataFrame:
     """One compact JSON text per file, to be written as text by any number of tasks."""
     return analyses.select("path", F.to_json(F.struct(*analyses.columns)).alias("value"))

@@ -92,8 +92,11 @@ def skipped(crawled: DataFrame, root: str = "root", per_dir: int = MAX_ENTRIES)
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """root, path, rel_path, length, content of all files below a root; `content` is read only where it is used."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """root, path, rel_path, length, content of all files below a root; `content` is read only where it is used.
+
+    A file that is gone or broken when its content is read gives no row there; a listing, without content, has it.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(root)
     rel = F.regexp_replace(F.col("path"), "^" + r"(?:file:)?/*\Q" + root.strip("/") + r"\E/*", "")
     return found.select(F.lit(root).alias("root"), "path", rel.alias("rel_path"), "length", "content")
 
