@@ -711,6 +711,10 @@ SELECT f AS file_path, a AS symbol, 'calls' AS direction, b AS other FROM calls
     "x3_cut_relations": _FIRST + f"""
 SELECT 'shop/src/order_' || o || '.ts' AS path, '{graph.CUT_IMPORTED}' AS message, true AS said FROM supplies GROUP BY o HAVING count(DISTINCT s) > 2
 UNION ALL SELECT 'shop/lib/sup_' || s || '.ts', '{graph.CUT_INCOMING}', true FROM first GROUP BY s HAVING count(DISTINCT o) > 3""",
+    # per nation: symbols, and those whose snippet has a word that its language colours; all brackets match
+    "t22_shown_snippets": """
+SELECT language, (SELECT count(*) FROM nation) * n AS snippets, CAST(0 AS BIGINT) AS problems, (SELECT count(*) FROM nation) * c AS coloured
+FROM (VALUES ('python', 5, 5), ('java', 4, 4), ('csharp', 5, 4), ('rust', 4, 4), ('php', 5, 5), ('swift', 5, 2), ('cpp', 2, 2), ('objc', 2, 2), ('qml', 4, 4), ('css', 4, 0), ('jsx', 2, 2), ('ts', 5, 3), ('json', 5, 0)) v(language, n, c)""",
     "x4_incoming_surface": "SELECT language, (SELECT count(*) FROM nation) * n AS files FROM (VALUES ('python', 2), ('java', 1), ('csharp', 2), ('rust', 1), ('php', 1), ('swift', 1), ('cpp', 1), ('objc', 1), ('qml', 1), ('css', 1), ('jsx', 1), ('ts', 1)) v(language, n)",
     "m5_recovered": """
 SELECT 'm/b_' || n_nationkey || '.ts' AS file_path, 'function' AS kind, unnest(['one_', 'two_']) || n_nationkey AS name, 'recovered' AS mode, true AS partial, CAST(1 AS BIGINT) AS notices FROM nation
