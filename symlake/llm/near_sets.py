@@ -5,13 +5,14 @@ each is verified by the exact similarity of the shingle sets. Texts of similarit
 bits, so that they need not share any byte at the same position: an index by bytes alone would miss nearly all of
 them. What it leaves is found by prefix filtering: texts whose sets have a Jaccard similarity of at least 4/5 share
 one of the first n - ceil(4n/5) + 1 members of each set in any order common to all sets, so lists by these members
-hold every such pair. The order puts shingles that are frequent in a bounded sample of texts last; it decides the
-length of the lists, never the result. A pair is left if verified links connect it already, or if the sizes or the
+hold every such pair. The order puts shingles last that are frequent in a bounded sample of texts; then the lists are
+counted, and the shingles of long lists are put last too, for which only the rows in them are filed anew (the others keep
+their place in the common order). The order decides the length of the lists, never the result. A pair is left if verified links connect it already, or if the sizes or the
 parities of bins of shingles rule it out (odd sketches: two sets differ at least in as many members as bins), first
 those of 256 bins, then of two to four bins for each shingle. All others are decided by the intersection.
 
-A list over `limit` rows is first tied to a few of its rows; only its pairs that are not connected after
-that are compared.
+A list that is still over `limit` rows, as those of large groups of near copies, is first tied to a few of its rows;
+only its pairs that are not connected after that are compared, each in one of the lists that it shares.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .components import components
 NUM, DEN = 4, 5
 #: Texts sampled for the order, shingles put last at most, rows that a long list is tied to, parts of a long list.
 SAMPLE, FREQUENT, CENTRES, PARTS = 8000, 100_000, 8, 16
+#: How often long lists are counted and their rows filed anew.
+REFINED = 2
 
 
 def shingles(text: bytes | None, width: int) -> tuple[np.ndarray, int]:
@@ -68,10 +71,10 @@ def _prefixes(width: int, frequent: np.ndarray, counts: np.ndarray):
                 sizes, fps, sketches, parities, keys = [], [], [], [], []
                 for text in some.column(3):
                     own, fp = shingles(text.as_py(), width)
-                    n, often = len(own), np.zeros(len(own), np.int64)
+                    n, often = len(own), np.zeros(len(own))
                     if len(frequent):
                         where = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-                        often = np.where(frequent[where] == own, counts[where], 0)
+                        often = np.where(frequent[where] == own, counts[where], 0.0)
                     keys.append(own[np.lexsort((own, often))[: n + 1 - -(-NUM * n // DEN)]].view(np.int64))
                     sketches.append(_parity(own >> np.uint64(56), 256))
                     parities.append(_parity(own, max(256, 1 << (2 * n - 1).bit_length())))
@@ -203,17 +206,46 @@ def _simhash_links(scratch: Scratch, texts: DataFrame, filed: DataFrame, width:
     return _similar(scratch, texts, filed, pairs, width, "close-similar")
 
 
-def file(scratch: Scratch, texts: DataFrame, width: int) -> DataFrame:
-    """One row per row of texts (id, digest, text): row (a number), id, digest, size, fingerprint, sketches and the shingles it is filed under."""
+def file(scratch: Scratch, texts: DataFrame, width: int) -> tuple[DataFrame, dict[int, float]]:
+    """One row per row of texts (id, digest, text): row (a number), id, digest, size, fingerprint, sketches and the shingles it is filed under.
+
+    Also the shingles that come last in the order, with about how many texts have them.
+    """
     total = texts.count()
     part = texts.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(1, total)) * (1 << 30))))
     sampled = part.select(F.lit(0).cast("long").alias("row"), "text").mapInArrow(_sets(width), "row long, set array<long>").select(F.explode("set").alias("key"))
     often = sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
-    frequent, counts = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
-    order = np.argsort(frequent)
+    frequent = {int(k): n * max(1.0, total / SAMPLE) for k, n in zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True)}
     shape = f"row long, id {texts.schema['id'].dataType.simpleString()}, digest binary, size long, fp long, s0 long, s1 long, s2 long, s3 long, parity array<long>, keys array<long>"
     # written once, since all uses must see the same row numbers
-    return scratch.table(texts.select(F.monotonically_increasing_id().alias("row"), "id", "digest", "text").mapInArrow(_prefixes(width, frequent[order], counts[order]), shape), "filed")
+    return scratch.table(texts.select(F.monotonically_increasing_id().alias("row"), "id", "digest", "text").mapInArrow(_prefixes(width, *_order(frequent)), shape), "filed"), frequent
+
+
+def _order(frequent: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that come last, and how many texts about have them."""
+    keys = np.array(list(frequent), np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array(list(frequent.values()), np.float64)[order]
+
+
+def refine(scratch: Scratch, texts: DataFrame, filed: DataFrame, frequent: dict[int, float], width: int, limit: int) -> DataFrame:
+    """The table with rows in long lists filed anew, those lists' shingles being put last; FREQUENT of the longest lists at most."""
+    for turn in range(REFINED):
+        lists = filed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+        long = {r["key"]: float(r["n"]) for r in lists.orderBy(F.desc("n"), "key").limit(FREQUENT).collect() if r["key"] not in frequent}
+        if not long:
+            break
+        frequent = frequent | long
+        keys = scratch.table(texts.sparkSession.createDataFrame([(k,) for k in long], "key long"), f"long-{turn}")
+        rows = filed.select("row", F.explode("keys").alias("key")).join(F.broadcast(keys), "key", "left_semi").select("row").distinct()
+        rows = scratch.table(filed.select("row", F.col("id").alias("of"), F.col("digest").alias("is")).join(rows, "row", "left_semi"), f"again-{turn}")
+        found = texts.join(small(rows), F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("is"))).select("row", "id", "digest", "text")
+        shape = ", ".join(f"{c} {kind}" for c, kind in filed.dtypes)
+        new = found.mapInArrow(_prefixes(width, *_order(frequent)), shape)
+        # rows that repeat id and text are filed alike
+        new = new.groupBy("row").agg(F.any_value(F.struct(*filed.columns[1:])).alias("r")).select("row", "r.*")
+        filed = scratch.table(filed.join(small(rows.select("row")), "row", "left_anti").unionByName(new), f"filed-{turn}")
+    return filed
 
 
 def links(scratch: Scratch, texts: DataFrame, filed: DataFrame, width: int, limit: int = 64) -> DataFrame:
@@ -236,10 +268,13 @@ def links(scratch: Scratch, texts: DataFrame, filed: DataFrame, width: int, limi
     parts = scratch.table(lists.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "parts")
     most = parts.groupBy("key").agg(F.max_by("label", "n").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     lists = scratch.table(lists.join(most, "key").join(sketches, "row"), "lists")
+    # of the long lists that two rows share the one with the smallest key compares them
+    lists = lists.join(lists.groupBy("row").agg(F.collect_set("key").alias("own")), "row")
     one = lists.where("label != most").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int"))
     other = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part"))
-    more = one.alias("a").join(other.alias("b"), same & (F.col("a.label") != F.col("b.label")) & _possible("a", "b"))
+    first = F.array_min(F.array_intersect("a.own", "b.own")) == F.col("a.key")
+    more = one.alias("a").join(other.alias("b"), same & (F.col("a.label") != F.col("b.label")) & _possible("a", "b") & first)
     more = scratch.table(more.select(F.least("a.row", "b.row").alias("u"), F.greatest("a.row", "b.row").alias("v")).distinct(), "more")
     return tied.unionByName(_similar(scratch, texts, filed, more, width, "more-similar"))
 
@@ -256,11 +291,12 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(df.sparkSession, "near-sets")
     digest = F.unhex(F.md5(lowered(F.col(text_col)).cast("binary")))
     texts = df.select(F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).cast("binary").alias("text"))
-    filed = file(scratch, texts, width)
+    filed, frequent = file(scratch, texts, width)
     reps = filed.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
     reps = scratch.table(reps, "reps")
     copied = reps.where("n > 1").limit(1).count() > 0
     nodes = scratch.table(filed.join(reps.select("first.row"), "row", "left_semi"), "nodes") if copied else filed
+    nodes = refine(scratch, texts, nodes, frequent, width, limit)
     labels = components(scratch, links(scratch, texts, nodes, width, limit))
     own = reps.join(labels, F.col("first.row") == F.col("node"), "left").where("node IS NOT NULL OR n > 1").select("digest", "first", F.coalesce("label", "first.row").alias("label"))
     own = scratch.table(own, "own")
