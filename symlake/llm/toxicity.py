@@ -10,8 +10,8 @@ words `APART` places away; a term that stands in one phrase only, but in many do
 A token scores its best feature, any other token costs `drift`. A linear scan (Ruzzo and Tompa) finds all
 maximal scoring segments of a text. Under clean text, segment scores S of n tokens follow an extreme-value
 law with decay lambda, which solves sum p(s) exp(lambda s) = 1; a passage's evidence is lambda S - ln n
-where positive, summed over passages. A logistic curve fitted to the training documents maps it to 0..1
-(the law's constant K only shifts it, and so is part of its intercept).
+where positive, summed over passages. A logistic curve of its logarithm (plus 1), fitted to the training documents,
+maps it to 0..1.
 """
 
 from __future__ import annotations
@@ -260,9 +260,9 @@ def detect(
     found = scratch.table(held.mapInArrow(_scan(terms, rate, drift), f"id {kind}, held_out boolean, evidence double, passages array<struct<start:int,end:int,evidence:double>>, digest binary"), "found")
     step = F.floor(F.log1p("evidence") * BINS).cast("int")
     scratch.keep("marked", "found")
-    fit = found.where("NOT held_out").join(small(marked), F.col("id") == F.col("of")).groupBy(step.alias("bin")).agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"), F.avg("evidence").alias("x")).collect()
+    fit = found.where("NOT held_out").join(small(marked), F.col("id") == F.col("of")).groupBy(step.alias("bin")).agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"), F.avg(F.log1p("evidence")).alias("x")).collect()
     a, b = logistic(*(np.array([float(r[k]) for r in fit]) for k in ("x", "toxic", "n")))
-    score = F.lit(1.0) / (1 + F.exp(-(F.lit(a) + F.lit(max(b, 0.0)) * F.col("evidence"))))
+    score = F.lit(1.0) / (1 + F.exp(-(F.lit(a) + F.lit(max(b, 0.0)) * F.log1p("evidence"))))
     return found.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
