@@ -34,6 +34,8 @@ NUM, DEN = 4, 5
 SAMPLE, FREQUENT, CENTRES, PARTS = 8000, 100_000, 8, 16
 #: How often long lists are counted and their rows filed anew.
 REFINED = 2
+#: Rows of a table that the driver may broadcast to find their texts, and bits that a larger table is told by first.
+TOLD, BITS = 100_000, 1 << 24
 
 
 def shingles(text: bytes | None, width: int) -> tuple[np.ndarray, int]:
@@ -176,6 +178,28 @@ def _bits_apart(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda n, x: n + x)
 
 
+def _marked(scratch: Scratch, rows: DataFrame, digest: str, wanted: DataFrame, name: str) -> DataFrame:
+    """The rows with __told, which is true of all whose digest is in wanted (is) and of few others; the table of bits has BITS / 64 rows at most."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    words = wanted.select(bit("is").alias("b")).groupBy(F.shiftright("b", 6).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(63).cast("int"))).alias("__bits"))
+    words = scratch.table(words, name)
+    placed = rows.withColumn("__bit", bit(digest)).withColumn("__word", F.shiftright("__bit", 6)).join(F.broadcast(words), "__word", "left")
+    told = F.coalesce(F.getbit("__bits", F.col("__bit").bitwiseAND(63).cast("int")) == 1, F.lit(False))
+    return placed.withColumn("__told", told).drop("__bit", "__word", "__bits")
+
+
+def _few(df: DataFrame) -> bool:
+    return df.limit(TOLD + 1).count() <= TOLD
+
+
+def _of(scratch: Scratch, texts: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The texts (id, digest, text) with the rows of wanted (of, is) that they belong to; of a large table only the texts that it may want are shuffled."""
+    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("is"))
+    if _few(wanted):
+        return texts.join(F.broadcast(wanted), same)
+    return _marked(scratch, texts, "digest", wanted, name).where("__told").drop("__told").join(wanted, same)
+
+
 def _similar(scratch: Scratch, texts: DataFrame, filed: DataFrame, pairs: DataFrame, width: int, name: str) -> DataFrame:
     """The pairs (u, v) whose sets are similar; texts: id, digest, text."""
     own = filed.select("row", "size", "parity")
@@ -183,13 +207,13 @@ def _similar(scratch: Scratch, texts: DataFrame, filed: DataFrame, pairs: DataFr
     pairs = scratch.table(near.where(_allowed(_bits_apart(F.col("a.parity"), F.col("b.parity")), "a", "b")).select("u", "v"), f"{name}-pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
     wanted = scratch.table(filed.select("row", F.col("id").alias("of"), F.col("digest").alias("is")).join(wanted, "row", "left_semi"), f"{name}-wanted")
-    found = texts.join(small(wanted), F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("is"))).select("row", "text")
+    found = _of(scratch, texts, wanted, f"{name}-bits").select("row", "text")
     # rows that repeat id and text give the same set
     sets = scratch.table(found.mapInArrow(_sets(width), "row long, set array<long>").groupBy("row").agg(F.any_value("set").alias("set")), f"{name}-sets")
     both = pairs.join(sets.select(F.col("row").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("row").alias("v"), F.col("set").alias("b")), "v")
     similar = both.where(F.size(F.array_intersect("a", "b")) * (NUM + DEN) >= (F.size("a") + F.size("b")) * NUM).select("u", "v")
     similar = scratch.table(similar, name)
-    scratch.drop(f"{name}-sets", f"{name}-pairs", f"{name}-wanted")
+    scratch.drop(f"{name}-sets", f"{name}-pairs", f"{name}-wanted", f"{name}-bits")
     return similar
 
 
@@ -206,45 +230,57 @@ def _simhash_links(scratch: Scratch, texts: DataFrame, filed: DataFrame, width:
     return _similar(scratch, texts, filed, pairs, width, "close-similar")
 
 
-def file(scratch: Scratch, texts: DataFrame, width: int) -> tuple[DataFrame, dict[int, float]]:
+def file(scratch: Scratch, texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """One row per row of texts (id, digest, text): row (a number), id, digest, size, fingerprint, sketches and the shingles it is filed under.
 
-    Also the shingles that come last in the order, with about how many texts have them.
+    Also the shingles (key) that come last in the order, with about how many texts (n) have them.
     """
     total = texts.count()
     part = texts.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(1, total)) * (1 << 30))))
     sampled = part.select(F.lit(0).cast("long").alias("row"), "text").mapInArrow(_sets(width), "row long, set array<long>").select(F.explode("set").alias("key"))
-    often = sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
-    frequent = {int(k): n * max(1.0, total / SAMPLE) for k, n in zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True)}
+    often = sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(FREQUENT)
+    frequent = scratch.table(often.select("key", (F.col("n") * max(1.0, total / SAMPLE)).alias("n")), "frequent")
     shape = f"row long, id {texts.schema['id'].dataType.simpleString()}, digest binary, size long, fp long, s0 long, s1 long, s2 long, s3 long, parity array<long>, keys array<long>"
     # written once, since all uses must see the same row numbers
     return scratch.table(texts.select(F.monotonically_increasing_id().alias("row"), "id", "digest", "text").mapInArrow(_prefixes(width, *_order(frequent)), shape), "filed"), frequent
 
 
-def _order(frequent: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+def _order(frequent: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that come last, and how many texts about have them."""
-    keys = np.array(list(frequent), np.int64).view(np.uint64)
+    found = frequent.toArrow()
+    keys = found.column(0).to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], np.array(list(frequent.values()), np.float64)[order]
+    return keys[order], found.column(1).to_numpy()[order]
+
+
+def _longest(lists: DataFrame) -> DataFrame:
+    """Of lists (key, n) about FREQUENT of the longest at most; the driver sees only how many lists have which length."""
+    lengths, before = lists.groupBy("n").agg(F.count(F.lit(1)).alias("lists")).orderBy(F.desc("n")).toArrow(), 0
+    for n, count in zip(lengths.column(0).to_pylist(), lengths.column(1).to_pylist(), strict=True):
+        if before + count > FREQUENT:
+            share = int((FREQUENT - before) / count * (1 << 30))
+            return lists.where((F.col("n") > n) | ((F.col("n") == n) & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share)))
+        before += count
+    return lists
 
 
-def refine(scratch: Scratch, texts: DataFrame, filed: DataFrame, frequent: dict[int, float], width: int, limit: int) -> DataFrame:
-    """The table with rows in long lists filed anew, those lists' shingles being put last; FREQUENT of the longest lists at most."""
+def refine(scratch: Scratch, texts: DataFrame, filed: DataFrame, frequent: DataFrame, width: int, limit: int) -> DataFrame:
+    """The table with rows in long lists filed anew, those lists' shingles being put last; about FREQUENT of the longest lists at most."""
     for turn in range(REFINED):
         lists = filed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-        long = {r["key"]: float(r["n"]) for r in lists.orderBy(F.desc("n"), "key").limit(FREQUENT).collect() if r["key"] not in frequent}
-        if not long:
+        lists = scratch.table(lists.join(frequent.select("key"), "key", "left_anti"), f"counted-{turn}")
+        keys = scratch.table(_longest(lists).select("key", F.col("n").cast("double").alias("n")), f"long-{turn}")
+        if not keys.limit(1).count():
             break
-        frequent = frequent | long
-        keys = scratch.table(texts.sparkSession.createDataFrame([(k,) for k in long], "key long"), f"long-{turn}")
-        rows = filed.select("row", F.explode("keys").alias("key")).join(F.broadcast(keys), "key", "left_semi").select("row").distinct()
+        frequent = scratch.table(frequent.unionByName(keys), f"frequent-{turn}")
+        rows = filed.select("row", F.explode("keys").alias("key")).join(F.broadcast(keys.select("key")), "key", "left_semi").select("row").distinct()
         rows = scratch.table(filed.select("row", F.col("id").alias("of"), F.col("digest").alias("is")).join(rows, "row", "left_semi"), f"again-{turn}")
-        found = texts.join(small(rows), F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("is"))).select("row", "id", "digest", "text")
+        found = _of(scratch, texts, rows, f"again-bits-{turn}").select("row", "id", "digest", "text")
         shape = ", ".join(f"{c} {kind}" for c, kind in filed.dtypes)
         new = found.mapInArrow(_prefixes(width, *_order(frequent)), shape)
         # rows that repeat id and text are filed alike
         new = new.groupBy("row").agg(F.any_value(F.struct(*filed.columns[1:])).alias("r")).select("row", "r.*")
-        filed = scratch.table(filed.join(small(rows.select("row")), "row", "left_anti").unionByName(new), f"filed-{turn}")
+        filed = scratch.table(filed.join(small(rows.select("row"), TOLD), "row", "left_anti").unionByName(new), f"filed-{turn}")
     return filed
 
 
@@ -270,8 +306,9 @@ def links(scratch: Scratch, texts: DataFrame, filed: DataFrame, width: int, limi
     lists = scratch.table(lists.join(most, "key").join(sketches, "row"), "lists")
     # of the long lists that two rows share the one with the smallest key compares them
     lists = lists.join(lists.groupBy("row").agg(F.collect_set("key").alias("own")), "row")
-    one = lists.where("label != most").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int"))
-    other = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    # the smaller side goes to all parts; rows made so do not count in the planner's sizes, so it must not choose a broadcast
+    one = lists.where("label != most").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).hint("merge")
+    other = lists.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int"))
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part"))
     first = F.array_min(F.array_intersect("a.own", "b.own")) == F.col("a.key")
     more = one.alias("a").join(other.alias("b"), same & (F.col("a.label") != F.col("b.label")) & _possible("a", "b") & first)
@@ -307,5 +344,10 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = scratch.table(gone.distinct(), "gone")
     scratch.keep("filed", "gone")
     keyed = df.withColumn("__digest", digest)
-    stay = keyed.join(small(gone), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone")), "left_anti")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone"))
+    if _few(gone):
+        stay = keyed.join(F.broadcast(gone), same, "left_anti")
+    else:
+        told = _marked(scratch, keyed, "__digest", gone.select(F.col("__gone").alias("is")), "gone-bits")
+        stay = told.where("NOT __told").unionByName(told.where("__told").join(gone, same, "left_anti")).drop("__told")
     return (one_of_each(stay, [id_col, "__digest"], filed.select(F.col("id").alias(id_col), F.col("digest").alias("__digest"))) if copied else stay).select(*df.columns)

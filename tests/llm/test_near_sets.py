@@ -1,9 +1,11 @@
 """The pipeline's near copies against brute-force Jaccard."""
 
 import itertools
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from symlake.llm import near_sets
@@ -55,6 +57,21 @@ def test_near_copies_against_brute_jaccard(spark, limit):
     assert near_sets.drop_near_copies(df.limit(0)).count() == 0
 
 
+def test_broadcasts_stay_bounded(spark, monkeypatch):
+    bound, broadcast, seen = 40, F.broadcast, []
+    for name, value in (("TOLD", 10), ("BITS", 64 * bound), ("FREQUENT", bound)):
+        monkeypatch.setattr(near_sets, name, value, raising=False)
+    monkeypatch.setattr(F, "broadcast", lambda df: seen.append(df.count()) or broadcast(df))
+    plans, table = {}, near_sets.Scratch.table
+    monkeypatch.setattr(near_sets.Scratch, "table", lambda self, df, name: plans.update({name: df._jdf.queryExecution().toString()}) or table(self, df, name))
+    rows = varied(5, 20, 12)
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place long").coalesce(1)
+    assert {r["place"] for r in near_sets.drop_near_copies(df, limit=3).collect()} == brute_kept(rows)
+    assert seen and max(seen) <= 1.5 * bound
+    # rows dealt to all parts are more than the planner thinks
+    assert re.search(r"SortMergeJoin \[key#\d+L, part#\d+\]", plans["more"])
+
+
 def test_the_stage_drops_copies_of_similarity_four_fifths(spark):
     words = [f"w{k}" for k in range(204)]
     near, far = list(words), list(words)
