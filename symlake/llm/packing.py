@@ -5,34 +5,38 @@ piece being the sequence length; every piece is a sequence of its own. Sequences
 bucket, none crosses documents and none is padded. No rows are shuffled.
 
 Tokens are found chunk by chunk: the tokenizer's own rules never let a token or a merge cross ASCII
-white space, so a chunk's ids are kept and reused while the worker lives. The rules lower-case all text, so
-chunks are looked up in lower case, and words of plain letters skip the rules and go to the merges at once.
+white space. Texts are split and their different chunks numbered in native code; signs after a word are
+taken off, and the ids of words and other chunks are kept and reused while a task runs. The rules lower-case
+all text, so chunks are looked up in lower case, and words of plain letters skip the rules and go to the merges at once.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, release
+from ._common import release
 
-#: Chunks whose ids a worker keeps before it lets go those that the text at hand does not use, and the longest chunk kept, in bytes.
+#: Words and chunks whose ids a worker keeps before it lets go those that the text at hand does not use, and the longest kept, in bytes.
 CACHE_CHUNKS, CACHE_BYTES = 450_000, 64
-#: Bytes of text looked up and chunks encoded at once, so that many or very long texts need no more memory than others.
-TEXT_BYTES, STEP = 2 << 20, 1 << 14
+#: Bytes of text and chunks looked up at once, new ones encoded at once, and bytes of ids in a batch of pieces,
+#: so that many or very long texts need no more memory than others.
+TEXT_BYTES, STRIP, STEP, IDS_BYTES = 4 << 20, 1 << 19, 1 << 14, 32 << 20
 #: The tokenizer's special token that separates chunks in a text to encode, and how its special tokens begin.
 SEPARATOR, SPECIAL = "<|startoftext|>", b"<|"
 #: ASCII signs: a run of them at the end of a word is split from it by the tokenizer's rules.
 SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-#: Below this code point every letter is composed already, so that the rules leave it as it is but for its case.
-COMPOSED = 0x250
+#: Words of letters up to U+024F but U+0130 in UTF-8: each is composed already, so that the rules leave it as it is but for its case.
+PLAIN = r"^(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|\xC4[\x80-\xAF\xB1-\xBF]|[\xC5-\xC8][\x80-\xBF]|\xC9[\x80-\x8F])+$"
 
-_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_PLAIN = re.compile(PLAIN.encode())
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -68,57 +72,83 @@ class Encoder:
             return [self._raw(self.whole, text).tobytes() for text in texts]
         return _parts(ids, cuts, 0)
 
-    def plain(self, own: list[str]) -> list[bytes]:
-        """The ids of each word of lower-case letters; the last token of a word ends it."""
-        if not own:
-            return []
-        ids = self._raw(self.words, " ".join(own))
+    def plain(self, own: str) -> list[bytes]:
+        """The ids of each word of lower-case letters, the words being separated by blanks; the last token of a word ends it."""
+        ids = self._raw(self.words, own)
         return _parts(ids, np.flatnonzero(self.ends[ids]) + 1, 1)
 
     def learn(self, new: list[bytes]) -> None:
-        """Puts the ids of new chunks in lower case into the cache; of a word with signs after it, both are found by themselves."""
-        cache, words, others, parts = self.cache, {}, [], []
-        for chunk in new:
-            base = chunk.rstrip(SIGNS)
-            if base.isalpha():
-                words[base] = base.lower().decode()  # a text with special tokens is not folded
-            elif base and (text := base.decode("utf-8", "replace").lower()).isalpha() and max(map(ord, text)) < COMPOSED:
-                words[base] = text
-            else:
-                others.append(chunk)
-                continue
-            if base != chunk:
-                parts.append((chunk, base, chunk[len(base) :]))
-        others += [s for s in {s for _, _, s in parts} if s not in cache]
-        missing = [w for w in words if w not in cache]
-        for at in range(0, len(missing), STEP):
-            some = missing[at : at + STEP]
-            cache.update(zip(some, self.plain([words[w] for w in some]), strict=True))
+        """Puts the ids of new words and other chunks into the cache."""
+        words, others = [], []
+        for c in new:
+            (words if _PLAIN.match(c) else others).append(c)
+        for at in range(0, len(words), STEP):
+            some = words[at : at + STEP]
+            self.cache.update(zip(some, self.plain(b" ".join(some).decode().lower()), strict=True))
         for at in range(0, len(others), STEP):
-            cache.update(zip(others[at : at + STEP], self.chunks(others[at : at + STEP]), strict=True))
-        cache.update([(chunk, cache[base] + cache[signs]) for chunk, base, signs in parts])
+            self.cache.update(zip(others[at : at + STEP], self.chunks(others[at : at + STEP]), strict=True))
+
+    def values(self, keys: list[bytes]) -> list[bytes]:
+        """The ids of each word, chunk or run of signs; those of long ones and of special tokens are not kept."""
+        cache = self.cache
+        found = list(map(cache.get, keys))
+        places = [k for k, ids in enumerate(found) if ids is None]
+        if len(cache) + len(places) > CACHE_CHUNKS:
+            kept = {c: ids for c, ids in zip(keys, found, strict=True) if ids is not None}
+            cache.clear()
+            cache.update(kept)
+        self.learn([c for c in map(keys.__getitem__, places) if len(c) <= CACHE_BYTES and SPECIAL not in c])
+        for k in places:
+            c = keys[k]
+            found[k] = cache[c] if c in cache else self.chunks([c])[0]
+        return found
+
+    def strip(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks one after another, and how many bytes of them each chunk has."""
+        coded = chunks.dictionary_encode()
+        own = coded.dictionary
+        base = pc.ascii_rtrim(own, characters=SIGNS.decode())
+        plain = pc.match_substring_regex(base.view(pa.binary()), PLAIN)
+        special = pc.match_substring(own, SPECIAL.decode())
+        if special.true_count:
+            plain = pc.and_not(plain, special)
+        keys = pc.if_else(plain, base, own).dictionary_encode()
+        # signs after a word are found by themselves; place 0 is for none
+        signs, after = {b"": 0}, np.zeros(len(own), np.int32)
+        ended = np.flatnonzero(plain.to_numpy(zero_copy_only=False) & (_sizes(base) < _sizes(own)))
+        if len(ended):
+            words = zip(_list(own.take(pa.array(ended))), _sizes(base)[ended].tolist(), strict=True)
+            after[ended] = [signs.setdefault(c[n:], len(signs)) for c, n in words]
+        words = _list(keys.dictionary)
+        found = self.values([*words, *list(signs)[1:]])
+        ids = pa.array(found[: len(words)], pa.large_binary()).take(keys.indices)
+        if len(ended):
+            more = pa.array([b"", *found[len(words) :]], pa.large_binary()).take(pa.array(after))
+            ids = pc.binary_join_element_wise(ids, more, pa.scalar(b"", pa.large_binary()))
+        ids = ids.take(coded.indices)
+        offsets = np.frombuffer(ids.buffers()[1], "<i8")[ids.offset : ids.offset + len(ids) + 1]
+        data = ids.buffers()[2]
+        return (np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)), np.diff(offsets)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of binary texts without nulls one after another, and how many each text has."""
+        texts = texts.view(pa.string())  # nothing below asks for valid UTF-8
+        lowered, special = pc.ascii_lower(texts), pc.match_substring(texts, SPECIAL.decode())
+        if special.true_count:  # a text with special tokens is not folded
+            lowered = pc.if_else(special, texts, lowered)
+        own = pc.ascii_split_whitespace(lowered)
+        chunks, ends = own.flatten(), np.zeros(len(own) + 1, np.int64)
+        np.cumsum(pc.list_value_length(own).to_numpy(), out=ends[1:])
+        strips = [self.strip(chunks.slice(at, STRIP)) for at in range(0, len(chunks), STRIP)]
+        if not strips:
+            return np.zeros(0, "<u2"), np.zeros(len(own), np.int64)
+        places = np.concatenate([[0], *[sizes for _, sizes in strips]]).cumsum()[ends]
+        return np.concatenate([data for data, _ in strips]).view("<u2"), np.diff(places) // 2
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text; the texts should not hold much more than TEXT_BYTES together, and if they do, one chunk after another is looked up."""
-        own = [(t if SPECIAL in t else t.translate(_FOLD)).split() for t in texts]
-        cache, out = self.cache, []
-        for some in _strips(own):
-            used = set().union(*some)
-            new = used.difference(cache)
-            if len(cache) + len(new) > CACHE_CHUNKS:
-                kept = {c: cache[c] for c in used.difference(new)}
-                cache.clear()
-                cache.update(kept)
-            long = [c for c in new if len(c) > CACHE_BYTES or SPECIAL in c]
-            self.learn(list(new.difference(long)) if long else list(new))
-            if long:
-                extra = {c: self.chunks([c])[0] for c in long}
-                out.append([b"".join([extra[c] if c in extra else cache[c] for c in x]) for x in some])
-            else:
-                out.append([b"".join(map(cache.__getitem__, x)) for x in some])
-        if len(own) == 1:
-            return [b"".join(x[0] for x in out)]
-        return out[0] if out else []
+        """The ids of each text."""
+        ids, counts = self.ids(pa.array(texts, pa.binary()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
 
 def _parts(ids: np.ndarray, cuts: np.ndarray, gap: int) -> list[bytes]:
@@ -130,13 +160,12 @@ def _parts(ids: np.ndarray, cuts: np.ndarray, gap: int) -> list[bytes]:
     return out
 
 
-def _strips(own: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
-    """All texts at once, or a text by itself in strips of chunks."""
-    if len(own) != 1:
-        yield own
-    else:
-        for at in range(0, max(1, len(own[0])), 1 << 19):
-            yield [own[0][at : at + (1 << 19)]]
+def _sizes(texts: pa.Array) -> np.ndarray:
+    return pc.binary_length(texts).to_numpy(zero_copy_only=False)
+
+
+def _list(texts: pa.Array) -> list[bytes]:
+    return texts.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 def encoder(path: str) -> Encoder:
@@ -152,51 +181,51 @@ def lengths(tokens: int, longest: int) -> list[int]:
     return [longest] * whole + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def _slabs(texts: pa.Array) -> Iterator[list[int]]:
-    """Places of texts that hold TEXT_BYTES together at most, a longer text by itself."""
-    some, size = [], 0
-    for place in range(len(texts)):
-        own = texts[place].as_buffer().size if texts[place].is_valid else 0
-        if some and size + own > TEXT_BYTES:
-            yield some
-            some, size = [], 0
-        some.append(place)
+def _slabs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where runs start and stop of texts that hold TEXT_BYTES together at most, a longer text by itself."""
+    start = size = 0
+    for place, own in enumerate(_sizes(texts).tolist()):
+        if place > start and size + own > TEXT_BYTES:
+            yield start, place
+            start, size = place, 0
         size += own
-    if some:
-        yield some
+    if len(texts) > start:
+        yield start, len(texts)
 
 
 def _pieces(path: str, end_id: int, longest: int):
-    end = np.array([end_id], dtype="<u2").tobytes()
+    most = max(1, IDS_BYTES // (4 * longest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for some in _slabs(batch.column(1)):
-                yield pieces(batch, some, own)
+            texts = batch.column(1).fill_null(b"")
+            for start, stop in _slabs(texts):
+                some = texts.slice(start, stop - start).cast(pa.binary())
+                yield from pieces(batch.column(0).slice(start, stop - start), *own.ids(some))
         # workers outlive tasks, and other stages need the memory
         own.cache.clear()
         release()
 
-    def pieces(batch: pa.RecordBatch, some: list[int], own: Encoder) -> pa.RecordBatch:
-        rows: list[list] = [[], [], [], [], []]
-        for index, short in zip(some, own.texts([batch.column(1)[k].as_py() or b"" for k in some]), strict=True):
-            ids = np.frombuffer(short + end, "<u2").astype("<u4").tobytes()
-            total, start = len(ids) // 4, 0
-            for n in lengths(total, longest):
-                for column, value in zip(rows, (index, start, n, ids[4 * start : 4 * (start + n)], total), strict=True):
-                    column.append(value)
-                start += n
-        return _batch(batch, rows)
+    def pieces(keys: pa.Array, ids: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
+        cut = [lengths(n, longest) for n in (counts + 1).tolist()]
+        owner = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
+        length = np.array([n for x in cut for n in x], np.int64)
+        ends = np.cumsum(length)
+        before = np.concatenate(([0], np.cumsum(counts + 1)))
+        for at in range(0, len(length), most):
+            some = slice(at, at + most)
+            first, doc = ends[at] - length[at], owner[some]
+            offsets = np.concatenate(([0], ends[some] - first)).astype("<i4") * 4
+            data = pa.py_buffer(ids[first : first + offsets[-1] // 4].tobytes())
+            binary = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets), data])
+            columns = [keys.take(pa.array(doc)), pa.array(ends[some] - length[some] - before[doc]), pa.array(length[some]), binary, pa.array(counts[doc] + 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", "ids", "doc_tokens"])
 
     return run
 
 
-def _batch(batch: pa.RecordBatch, rows: list[list]) -> pa.RecordBatch:
-    ids = batch.column(0).take(pa.array(rows[0], pa.int64()))
-    return pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip(rows[1:], (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True))], names=["id", "start", "length", "ids", "doc_tokens"])
-
-
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, longest: int = 2048) -> DataFrame:
     """One row per piece: id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, bucket, sequence_id, offset.
 

@@ -5,6 +5,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -130,6 +131,43 @@ def test_tokens_of_random_texts_equal_the_tokenizer(monkeypatch):
         assert [np.frombuffer(x, "<u2").tolist() for x in own.texts([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_signs_after_words_are_not_learned_with_each_word():
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    texts = ["Word, wörd. word! WORD?! word", "wörd, word? ?! it's, " + "x" * 99 + "." * 70 + " word<| word"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in own.texts([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(own.cache) == {b"word", "wörd".encode(), b",", b".", b"!", b"?!", b"?", b"it's,"}
+    assert own.texts([]) == [] and own.texts([b"", b" \n"]) == [b"", b""]
+    several = own.texts([b"a \xff b", " ".join(["word,"] * 3).encode()])
+    assert np.frombuffer(several[1], "<u2").tolist() == plain.encode("word, " * 3, add_special_tokens=False).ids
+
+
+def test_words_of_each_letter_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    texts = [f"{c} a{c}b A{c}{c}s., x'{c} {c}'s" for c in map(chr, range(0x80, 0x300))]
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.texts([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_strips_and_batches_of_one_text(monkeypatch):
+    from tokenizers import Tokenizer
+
+    text = " ".join(f"word{k % 7}, and b{'é' * (k % 3)}." for k in range(500))
+    want = [*Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids, 1]
+    monkeypatch.setattr(packing, "STRIP", 13)
+    monkeypatch.setattr(packing, "IDS_BYTES", 3 * 4 * 64)
+    batch = pa.record_batch([pa.array([5, 6, 7]), pa.array([None, text.encode(), b""], pa.binary())], names=["id", "text"])
+    found = list(packing._pieces(tokenizer_path(), 1, 64)(iter([batch])))
+    rows = [r for b in found for r in b.to_pylist()]
+    assert max(b.num_rows for b in found) == 3 and [r["id"] for r in rows] == [5, *[6] * (len(rows) - 2), 7]
+    assert np.frombuffer(b"".join(r["ids"] for r in rows[1:-1]), "<u4").tolist() == want
+    assert [r["start"] for r in rows[1:-1]] == np.concatenate(([0], np.cumsum([r["length"] for r in rows[1:-2]]))).tolist()
+    assert {r["doc_tokens"] for r in rows[1:-1]} == {len(want)} and [r["doc_tokens"] for r in (rows[0], rows[-1])] == [1, 1]
+
+
 def test_pack_round_trip(spark, odd, empty):
     from tokenizers import Tokenizer
 
