@@ -3,7 +3,7 @@
 import posixpath
 import re
 
-from symlake.operators import links
+from symlake.operators import graph, links
 
 
 def plan_of(df):
@@ -36,3 +36,12 @@ def test_targets_are_resolved_once_for_all_files_that_name_them(spark):
     lines = plan_of(found).split("\n")
     tried = next(k for k, line in enumerate(lines) if "posexplode" in line)
     assert any("Aggregate" in line for line in lines[tried:])  # distinct targets are tried, not the rows of every file
+
+
+def test_names_that_no_script_has_do_not_meet_all_imports(spark):
+    shape = "file_id string, language string, sym_id int, kind string, name string, calls array<string>"
+    symbols = [("m", "ts", 0, "function", "main", ["log", "help", "other", "main2", "aliased"]), ("m", "ts", 1, "function", "main2", []), ("a", "ts", 0, "function", "help", []), ("b", "ts", 0, "class", "help", []), ("b", "ts", 1, "function", "real", []), ("c", "python", 0, "function", "log", [])]
+    deps = [("m", 0, "b", [("aliased", "real")]), ("m", 1, "a", []), ("m", 2, "c", []), ("m", 3, None, [])]
+    found = graph.cross_file_calls(spark.createDataFrame(symbols, shape), spark.createDataFrame(deps, "file_id string, ord int, target_file_id string, bindings array<struct<local:string,imported:string>>"))
+    assert sorted(tuple(r) for r in found.collect()) == [("m", 0, "b", 0, "help"), ("m", 0, "b", 1, "aliased")]
+    assert "LeftSemi" in plan_of(found)
