@@ -1,9 +1,10 @@
 """What must not grow faster than the input: resolution of dependencies, calls across files, merges; each against plain Python."""
 
 import posixpath
+import random
 import re
 
-from symlake.operators import graph, links
+from symlake.operators import graph, links, merge
 
 
 def plan_of(df):
@@ -45,3 +46,31 @@ def test_names_that_no_script_has_do_not_meet_all_imports(spark):
     found = graph.cross_file_calls(spark.createDataFrame(symbols, shape), spark.createDataFrame(deps, "file_id string, ord int, target_file_id string, bindings array<struct<local:string,imported:string>>"))
     assert sorted(tuple(r) for r in found.collect()) == [("m", 0, "b", 0, "help"), ("m", 0, "b", 1, "aliased")]
     assert "LeftSemi" in plan_of(found)
+
+
+def test_symbol_tables_merge_as_in_a_plain_list_and_without_a_fold_over_arrays(spark):
+    rnd = random.Random(3)
+    words = ["", " ", None, "a", "ab", "b", "cab", " ab "]
+    shape = "f long, kind string, name string, line int, snippet string, ord long, detail string"
+    make = lambda n, at: [(rnd.choice([1, 2, None]), "k", rnd.choice(["x", "y"]), rnd.choice([None, -1, 0, *range(1, 40)]), rnd.choice(words), at + k, rnd.choice(["", "d", None])) for k in range(n)]
+    first, second = make(150, 0), make(250, 1000)
+    found = merge.merge_symbol_tables(spark.createDataFrame(first, shape), spark.createDataFrame(second, shape), ["f"], ["detail"])
+    bare = lambda x: (x or "").strip(" ")
+
+    def near(a, b):
+        a_line, b_line = a[3], b[3]
+        alike = not bare(a[4]) or not bare(b[4]) or bare(a[4]) in bare(b[4]) or bare(b[4]) in bare(a[4])
+        if (a_line is not None and a_line <= 0) or (b_line is not None and b_line <= 0):
+            return alike
+        return a_line is not None and b_line is not None and (abs(a_line - b_line) <= 1 or (abs(a_line - b_line) <= 3 and alike))
+
+    out = [list(r) for r in first]
+    for new in second:
+        old = next((o for o in out if (o[0], o[2]) == (new[0], new[2]) and near(o, new)), None)
+        if old is None:
+            out.append(list(new))
+            continue
+        line = new[3] if old[3] is not None and old[3] <= 0 else old[3]
+        old[3], old[4], old[6] = line, old[4] if bare(old[4]) else new[4], old[6] if bare(old[6]) else new[6]
+    assert sorted(map(repr, (tuple(r) for r in out))) == sorted(repr(tuple(r)) for r in found.collect())
+    assert "aggregate(" not in plan_of(found)
