@@ -74,3 +74,11 @@ def test_symbol_tables_merge_as_in_a_plain_list_and_without_a_fold_over_arrays(s
         old[3], old[4], old[6] = line, old[4] if bare(old[4]) else new[4], old[6] if bare(old[6]) else new[6]
     assert sorted(map(repr, (tuple(r) for r in out))) == sorted(repr(tuple(r)) for r in found.collect())
     assert "aggregate(" not in plan_of(found)
+
+
+def test_call_names_of_a_symbol_are_put_together_in_its_row(spark):
+    shape = "file_id string, language string, sym_id int, kind string, name string, snippet string, calls array<string>"
+    rows = [("f", "ts", 0, "function", "a", "b(); c(); b();", ["b", "d"]), ("f", "ts", 1, "class", "b", "a() d()", ["d"]), ("f", "ts", 2, "function", "c", None, None), ("f", "ts", 3, "function", "d", "d()", []), ("g", "cpp", 0, "function", "a", "b()", ["c"]), ("g", "cpp", 1, "function", "b", "", []), ("g", "cpp", 2, "function", "c", "", [])]
+    found = graph.relations(spark.createDataFrame(rows, shape))
+    assert sorted(tuple(r) for r in found.collect()) == [("f", 0, 1), ("f", 0, 2), ("f", 0, 3), ("f", 1, 0), ("f", 1, 3), ("g", 0, 2)]
+    assert "Union" not in plan_of(found)
